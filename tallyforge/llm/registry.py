@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing",)
+MODULES = ("packing", "dedup", "store")
 
 
 def _of(kind: str) -> dict:
