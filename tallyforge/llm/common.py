@@ -115,3 +115,45 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, what:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, each with underscores before it until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def appended(docs: DataFrame, text: str, compute, fields: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
+    """docs with columns computed in Arrow batches from its text column.
+
+    compute(iterator of lists of texts) yields, per list, a list of Arrow arrays, one
+    per (name, type) of fields. Returns the DataFrame and the names that the new
+    columns got (changed only where docs has such a column).
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    small_batches(docs.sparkSession)
+    names = free_names(docs, [n for n, _ in fields])
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, fields, strict=True))).fields])
+    whole = [*docs.columns, *names]
+
+    def run(batches):
+        kept: list = []
+
+        def texts():
+            for b in batches:
+                kept.append(b)
+                yield b.column(at).to_pylist()
+
+        for arrays in compute(texts()):
+            b = kept.pop(0)
+            yield pa.record_batch([*b.columns, *arrays], names=whole)
+
+    return docs.mapInArrow(run, schema), names

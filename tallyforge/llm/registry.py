@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "dedup", "store")
+MODULES = ("packing", "dedup", "store", "language")
 
 
 def _of(kind: str) -> dict:
