@@ -157,3 +157,17 @@ def appended(docs: DataFrame, text: str, compute, fields: list[tuple[str, str]])
             yield pa.record_batch([*b.columns, *arrays], names=whole)
 
     return docs.mapInArrow(run, schema), names
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a unique long key column, and its name: doc_id where that is unique
+    and never null, else a row number of a written copy."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty() and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
+        return docs, "doc_id"
+    (key,) = free_names(docs, ["row_key"])
+    return written(docs.withColumn(key, monotone()), "rows"), key
+
+
+def monotone() -> Column:
+    return F.monotonically_increasing_id()

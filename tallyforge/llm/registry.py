@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "dedup", "store", "language")
+MODULES = ("packing", "dedup", "store", "language", "jaccard")
 
 
 def _of(kind: str) -> dict:
