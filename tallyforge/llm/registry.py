@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "dedup", "store", "language", "jaccard")
+MODULES = ("packing", "dedup", "store", "language", "jaccard", "chat", "urls")
 
 
 def _of(kind: str) -> dict:
