@@ -13,11 +13,10 @@ Ids travel as little-endian unsigned 32-bit bytes.
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import struct
 
 #: Most pieces that a worker remembers; about 200 bytes each.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 1_500_000
 
 _MEMOS: dict[str, "PieceMemo"] = {}
 
@@ -29,6 +28,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceMemo:
     """Ids of texts under one `tokenizers` vocabulary file.
 
@@ -48,11 +51,14 @@ class PieceMemo:
         if not texts:
             return []
         fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in fast(texts, add_special_tokens=False)]
+        return [packed(e.ids) for e in fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[bytes] | None:
+    def _pieces(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8")
-        return raw.split(b" ") if self.spaced else raw.split()
+        if self.spaced:
+            return raw.split(b" ")
+        # the vocabulary lowers case itself; special tokens are the exception
+        return raw.split() if b"<|" in raw else raw.lower().split()
 
     @staticmethod
     def _clean(piece: bytes) -> bool:
@@ -66,16 +72,11 @@ class PieceMemo:
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
-        fresh: dict[bytes, None] = {}
-        for pieces in cut:
-            for p in pieces[1:] if self.spaced else pieces:
-                if p not in known:
-                    fresh[p] = None
+        fresh = set().union(*cut).difference(known)
         odd: set[bytes] = set()
         if self.spaced and fresh:
             odd = {p for p in fresh if not self._clean(p)}
-            for p in odd:
-                del fresh[p]
+            fresh -= odd
         if fresh:
             new = list(fresh)
             lead = " " if self.spaced else ""
