@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "dedup", "store", "language", "jaccard", "chat", "urls", "quality")
+MODULES = ("packing", "dedup", "store", "language", "jaccard", "chat", "urls", "quality", "toxicity")
 
 
 def _of(kind: str) -> dict:
