@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "dedup", "store", "language", "jaccard", "chat", "urls", "quality", "toxicity")
+MODULES = ("packing", "language", "jaccard", "urls", "dedup", "segmentation", "quality", "store", "chat", "toxicity")
 
 
 def _of(kind: str) -> dict:
