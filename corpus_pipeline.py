@@ -1,10 +1,60 @@
-"""A corpus pipeline of five stages; filled in as the operators land."""
+"""From raw documents to packed token sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
+all but the last return the columns of their input. The frame that drives the stages
+writes each result as Parquet and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import common, dedup, jaccard, language, packing, toxicity
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a margin stay."""
+    common.clear_scratch(spark)
+    return language.accepted(docs)
+
+
+def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic stay; labels come from the labels table."""
+    common.clear_scratch(spark)
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for blanks, the longest original stays."""
+    common.clear_scratch(spark)
+    return dedup.deduplicated(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id stays."""
+    common.clear_scratch(spark)
+    return jaccard.representatives(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, with their sequence and place."""
+    common.clear_scratch(spark)
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [("language ID", language_id), ("toxicity", toxic_text), ("exact dedup", exact_copies), ("near duplicates", near_copies), ("packing", packed)]
+
+#: Compression sizes and a trained network are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = common.documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{common.shared_dir(spark)}/tallyforge-stage-{i}-{common.token()}"
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+    return out

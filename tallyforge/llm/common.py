@@ -35,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def token() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; removed at exit or by clear_scratch()."""
-    path = f"{shared_dir(spark)}/tallyforge-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyforge-{what}-{token()}"
     if not _SCRATCH:
         atexit.register(clear_scratch)
     _SCRATCH.append(path)
