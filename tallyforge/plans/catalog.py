@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "pairs", "sequences")
 
 
 def _of(kind: str) -> dict:
