@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "pairs", "sequences")
+MODULES = ("rollups", "pairs", "sequences", "texts")
 
 
 def _of(kind: str) -> dict:
