@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams; none for a shorter text."""
-    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+    some = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # one pass, however long the text
     return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
@@ -20,7 +20,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def bigram_counts(text: Column) -> Column:
     """Map of character bigrams to how often they occur."""
-    grams = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(F.length(text) >= 2, F.regexp_extract_all(text, F.lit("(?s)(?=(.{2}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.map_from_entries(F.transform(F.array_distinct(grams), lambda g: F.struct(g, F.size(F.filter(grams, lambda x: x == g)))))
 
 

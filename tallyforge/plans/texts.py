@@ -24,10 +24,10 @@ def x1(spark, d) -> DataFrame:
 _G = "WITH g AS (SELECT item_id, list_distinct(CASE WHEN length(text) >= 5 THEN [substr(text, i, 5) for i in range(1, length(text) - 3)] ELSE [] END) AS s FROM benchmark), j AS (SELECT a.item_id AS x, b.item_id AS y, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS t FROM g a JOIN g b ON a.item_id < b.item_id) "
 
 
-@R.add("x2_jaccard_self_join", _G + "SELECT x, y, round(c / (t - c), 6) AS jaccard FROM j WHERE c / (t - c) >= 0.1")
+@R.add("x2_jaccard_self_join", _G + "SELECT x, y, round(c / (t - c), 6) AS jaccard FROM j WHERE c / (t - c) >= 0.05")
 def x2(spark, d) -> DataFrame:
     sets = similarity.gram_sets(table(spark, d, "benchmark"), "item_id", "text")
-    return similarity.jaccard_pairs(sets, None, 0.1).select("x", "y", F.round("jaccard", 6).alias("jaccard"))
+    return similarity.jaccard_pairs(sets, None, 0.05).select("x", "y", F.round("jaccard", 6).alias("jaccard"))
 
 
 @R.add("x4_bigram_dice", """
