@@ -39,18 +39,19 @@ def read_strict(spark: SparkSession, folder: str, schema: StructType | str, glob
     A last line is cut when its file does not end in a line end. Files are read whole:
     a record may not be larger than a task's memory.
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     each = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "line"), F.size(F.split("value", "\n")).alias("n"))
     last = F.col("at") == F.col("n") - 1
     ok = F.try_parse_json("line").isNotNull()
     rows = each.where((F.trim("line") != "") & ~(last & ~ok))
-    checked = F.when(ok, F.from_json("line", schema)).otherwise(F.from_json(F.raise_error(F.concat(F.lit("bad line "), F.col("at").cast("string"), F.lit(" of "), F.col("path"))), schema))
-    return rows.select("path", "at", checked.alias("row")).select("path", "at", "row.*")
+    problem = F.concat(F.lit("bad line "), F.col("at").cast("string"), F.lit(" of "), F.col("path"))
+    checked = F.when(ok, F.col("line")).otherwise(F.raise_error(problem).cast("string"))
+    return rows.select("path", "at", F.from_json(checked, schema).alias("row")).select("path", "at", "row.*")
 
 
 def headers(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.jsonl") -> DataFrame:
     """The first line of each file, parsed; files with a bad first line are left out."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     first = whole.select(F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("line"))
     return first.where(F.try_parse_json("line").isNotNull()).select("path", F.from_json("line", schema).alias("row")).select("path", "row.*")
 
