@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 3_000
 #: Most bytes of text that the training sample brings to the driver.
-SAMPLE_BYTES = 60_000_000
+SAMPLE_BYTES = 40_000_000
+#: Texts that training holds as numbers at one time.
+CHUNK = 150
 WINDOW, STRIDE = 48, 32
 HIDDEN, ATTEND = 8, 8
 BUCKETS, EMBED = 1 << 14, 4
@@ -87,17 +89,21 @@ class Grams:
         return np.maximum.reduceat(table[self.gram], self.start)
 
 
-def log_odds(each: list[list[int]], labels: np.ndarray, g: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-odds per word bucket and per n-gram bucket, by presence in texts."""
-    seen = np.zeros((2, 2, BUCKETS))
+def presence(each: list[list[int]], labels: np.ndarray, g: Grams) -> np.ndarray:
+    """[word or n-gram, label, bucket]: in how many texts a bucket occurs."""
+    seen = np.zeros((2, 2, BUCKETS), np.int32)
     stops = np.append(g.start[1:], len(g.gram)) if g.n else g.start
     for ids, y in zip(each, labels, strict=True):
         words = np.unique(np.asarray(ids, np.int64))
         seen[0, y, np.unique(g.word[words])] += 1
         if len(words):
-            spans = np.concatenate([g.gram[g.start[w] : stops[w]] for w in words])
-            seen[1, y, np.unique(spans)] += 1
-    rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 0.5
+            seen[1, y, np.unique(np.concatenate([g.gram[g.start[w] : stops[w]] for w in words]))] += 1
+    return seen
+
+
+def log_odds(seen: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-odds per word bucket and per n-gram bucket."""
+    rate = min(max(rate, 1e-3), 1 - 1e-3)
     odds = np.log((seen[:, 1] + PSEUDO * rate) / (seen[:, 0] + PSEUDO * (1 - rate)) * (1 - rate) / rate)
     return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
@@ -242,25 +248,38 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | float
     if len(y) < 20 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     r = np.random.default_rng(seed)
-    each, g = numbered(texts)
     net = Network(seed)
     half = r.integers(0, 2, len(y))
     kept_back = r.random(len(y)) < 0.2
-    crossed = [log_odds([each[i] for i in np.flatnonzero(half != k)], y[half != k], g) for k in (0, 1)]
-    clue = [np.maximum(o[0][g.word], g.most(o[1])) for o in crossed]
-    cuts, target, fold = [], [], []
-    for i in np.flatnonzero(~kept_back):
-        own = windows(len(each[i]))
-        if not own:
-            continue
-        heat = [clue[half[i]][each[i][s:e]].max() for s, e in own]
-        top = int(np.argmax(heat))
-        picks = {top} if y[i] else {top, *r.integers(0, len(own), 2).tolist()}
-        for k in picks:
-            cuts.append((i, *own[k]))
-            target.append(y[i])
-            fold.append(half[i])
-    ids, target, fold = grid(each, cuts), np.array(target), np.array(fold)
+    chunks = [np.arange(i, min(i + CHUNK, len(y))) for i in range(0, len(y), CHUNK)]
+    seen = np.zeros((2, 2, 2, 2, BUCKETS), np.int32)  # by half and by whether kept back
+    for rows in chunks:
+        each, g = numbered([texts[i] for i in rows])
+        for h in (0, 1):
+            for k in (0, 1):
+                own = np.flatnonzero((half[rows] == h) & (kept_back[rows] == k))
+                seen[h, k] += presence([each[i] for i in own], y[rows[own]], g)
+    crossed = [log_odds(seen[1 - k].sum(0), y[half != k].mean()) for k in (0, 1)]
+    picked, target, fold = [], [], []
+    for rows in chunks:
+        words, distinct = split([texts[i] for i in rows])
+        at = {w: i for i, w in enumerate(distinct)}
+        g = Grams(distinct)
+        clue = [np.maximum(o[0][g.word], g.most(o[1])) for o in crossed] if g.n else []
+        for i, ws in zip(rows.tolist(), words, strict=True):
+            own = windows(len(ws))
+            if not own or kept_back[i]:
+                continue
+            heat = clue[half[i]][[at[w] for w in ws]]
+            top = int(np.argmax([heat[s:e].max() for s, e in own]))
+            for k in {top} if y[i] else {top, *r.integers(0, len(own), 2).tolist()}:
+                picked.append(ws[slice(*own[k])])
+                target.append(y[i])
+                fold.append(half[i])
+    distinct = list(dict.fromkeys(w for ws in picked for w in ws))
+    at, g = {w: i for i, w in enumerate(distinct)}, Grams(distinct)
+    each = [[at[w] for w in ws] for ws in picked]
+    ids, target, fold = grid(each, [(i, 0, len(ws)) for i, ws in enumerate(each)]), np.array(target), np.array(fold)
     weight = np.where(target > 0, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -280,13 +299,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | float
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
                     net.p[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    fit_rows = ~kept_back
-    net.odds = log_odds([each[i] for i in np.flatnonzero(fit_rows)], y[fit_rows], g)
+    net.odds = log_odds(seen[:, 0].sum(0), y[~kept_back].mean())
     back = np.flatnonzero(kept_back)
     if len(back) and y[back].min() != y[back].max():
-        logit = net.best([each[i] for i in back], net.inputs(g, net.odds))
-        net.p["bias"][0] -= cut_at(logit, y[back])
-    net.odds = log_odds(each, y, g)
+        logit = [net.best(each, net.inputs(g, net.odds)) for i in range(0, len(back), CHUNK) for each, g in [numbered([texts[j] for j in back[i : i + CHUNK]])]]
+        net.p["bias"][0] -= cut_at(np.concatenate(logit), y[back])
+    net.odds = log_odds(seen.sum((0, 1)), y.mean())
     return net
 
 
