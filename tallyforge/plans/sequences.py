@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -10,9 +10,14 @@ from .registry import Registry
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
-SO_FAR = BY_USER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_USER.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def so_far() -> WindowSpec:
+    return by_user().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def events(spark, d) -> DataFrame:
@@ -26,7 +31,7 @@ p AS (SELECT *, lag(value) OVER w AS prev, lag(event_type) OVER w AS prev_type,
 SELECT event_id, round(least(prev, value) - value / 2, 6) AS missed, round(idle, 3) AS idle, prev_type <> event_type AS changed FROM p WHERE prev IS NOT NULL AND reported AND least(prev, value) - value / 2 > 4""")
 def w1(spark, d) -> DataFrame:
     """Misses against the row before inside a segment that starts anew at each reset; counted once a hit was reported."""
-    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "signup").over(SO_FAR))
+    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "signup").over(so_far()))
     w = Window.partitionBy("user_id", "seg").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     p = s.select(
@@ -43,8 +48,8 @@ SELECT a.event_id, min(a.i - b.i) AS distance FROM o a JOIN o b ON a.user_id = b
 WHERE a.event_type <> 'purchase' GROUP BY 1""")
 def w2(spark, d) -> DataFrame:
     """Nearest equal action among the six before it, none across a changing action."""
-    w6 = BY_USER.rowsBetween(-6, -1)
-    seg = F.count_if(F.col("event_type") == "purchase").over(SO_FAR)
+    w6 = by_user().rowsBetween(-6, -1)
+    seg = F.count_if(F.col("event_type") == "purchase").over(so_far())
     o = events(spark, d).withColumn("seg", seg).withColumn("back", F.reverse(F.collect_list(F.struct("event_type", "seg")).over(w6)))
     at = F.array_position(F.transform("back", lambda b: (b["event_type"] == F.col("event_type")) & (b["seg"] == F.col("seg"))), True)
     return o.where("event_type <> 'purchase'").select("event_id", at.alias("distance")).where("distance > 0")
@@ -54,15 +59,15 @@ def w2(spark, d) -> DataFrame:
 WITH o AS (SELECT event_id, value AS a, lag(value) OVER w AS b, lag(value, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id FROM o WHERE abs(a - b) < 2 AND abs(b - c) < 2 AND abs(a - c) < 2""")
 def w3(spark, d) -> DataFrame:
-    o = events(spark, d).select("event_id", F.col("value").alias("a"), F.lag("value").over(BY_USER).alias("b"), F.lag("value", 2).over(BY_USER).alias("c"))
+    o = events(spark, d).select("event_id", F.col("value").alias("a"), F.lag("value").over(by_user()).alias("b"), F.lag("value", 2).over(by_user()).alias("c"))
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) < 2
     return o.where(near("a", "b") & near("b", "c") & near("a", "c")).select("event_id")
 
 
 @R.add("w4_failed_in_a_row", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_type = 'error' AND p = 'error'")
 def w4(spark, d) -> DataFrame:
-    two = F.min((F.col("event_type") == "error").cast("int")).over(BY_USER.rowsBetween(-1, 0))
-    n = F.count("*").over(BY_USER.rowsBetween(-1, 0))
+    two = F.min((F.col("event_type") == "error").cast("int")).over(by_user().rowsBetween(-1, 0))
+    n = F.count("*").over(by_user().rowsBetween(-1, 0))
     return events(spark, d).select("event_id", two.alias("x"), n.alias("n")).where("x = 1 and n = 2").select("event_id")
 
 
@@ -70,7 +75,7 @@ def w4(spark, d) -> DataFrame:
 WITH s AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM events)
 SELECT event_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id, seg, event_type, props ORDER BY ts, event_id) > 1""")
 def w5(spark, d) -> DataFrame:
-    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "purchase").over(SO_FAR))
+    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "purchase").over(so_far()))
     r = F.row_number().over(Window.partitionBy("user_id", "seg", "event_type", "props").orderBy("ts", "event_id"))
     return s.select("event_id", r.alias("r")).where("r > 1").select("event_id")
 
@@ -82,7 +87,7 @@ def w6(spark, d) -> DataFrame:
     sec = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long")
     e = events(spark, d).withColumn("sec", sec)
     day = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-86400, 0)
-    return e.select("event_id", F.count("*").over(BY_USER.rowsBetween(-9, 0)).alias("last_ten"), F.count("*").over(day).alias("last_day"))
+    return e.select("event_id", F.count("*").over(by_user().rowsBetween(-9, 0)).alias("last_ten"), F.count("*").over(day).alias("last_day"))
 
 
 @R.add("w7_first_last_trend", "SELECT user_id, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS trend FROM events GROUP BY 1")
@@ -95,7 +100,7 @@ def w7(spark, d) -> DataFrame:
 SELECT event_id, round(date_diff('microsecond', max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), ts) / 6e7, 4) AS minutes FROM events""")
 def w8(spark, d) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    last = F.max(F.when(F.col("event_type") == "purchase", us)).over(SO_FAR)
+    last = F.max(F.when(F.col("event_type") == "purchase", us)).over(so_far())
     return events(spark, d).select("event_id", F.round((us - last) / 6e7, 4).alias("minutes"))
 
 
@@ -118,17 +123,17 @@ def ranks(counts: DataFrame, value: str, parts: int = 64) -> DataFrame:
 
 @R.add("w10_position_band", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5 THEN '1-5' ELSE '6+' END AS band FROM events")
 def w10(spark, d) -> DataFrame:
-    return events(spark, d).select("event_id", F.when(F.row_number().over(BY_USER) <= 5, "1-5").otherwise("6+").alias("band"))
+    return events(spark, d).select("event_id", F.when(F.row_number().over(by_user()) <= 5, "1-5").otherwise("6+").alias("band"))
 
 
 @R.add("w11_repeat_of_previous", "SELECT event_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS same FROM events")
 def w11(spark, d) -> DataFrame:
-    return events(spark, d).select("event_id", (F.col("event_type") == F.lag("event_type").over(BY_USER)).alias("same"))
+    return events(spark, d).select("event_id", (F.col("event_type") == F.lag("event_type").over(by_user())).alias("same"))
 
 
 @R.add("w12_carried_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS place FROM events")
 def w12(spark, d) -> DataFrame:
-    return events(spark, d).select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("props")), ignorenulls=True).over(SO_FAR).alias("place"))
+    return events(spark, d).select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("props")), ignorenulls=True).over(so_far()).alias("place"))
 
 
 @R.add("w13_budgeted_suffix", """
@@ -166,7 +171,7 @@ def w16(spark, d) -> DataFrame:
 @R.add("w17_contiguous_blocks", """
 SELECT user_id, event_type, CAST(count(*) FILTER (WHERE event_type IS DISTINCT FROM p) AS BIGINT) AS islands FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1, 2""")
 def w17(spark, d) -> DataFrame:
-    e = events(spark, d).select("user_id", "event_type", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(BY_USER))).alias("starts"))
+    e = events(spark, d).select("user_id", "event_type", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(by_user()))).alias("starts"))
     return e.groupBy("user_id", "event_type").agg(F.count_if("starts").alias("islands"))
 
 
@@ -193,19 +198,19 @@ def w20(spark, d) -> DataFrame:
 @R.add("w21_position_thirds", "SELECT event_id, CAST(least(2, 3 * (row_number() OVER w - 1) // count(*) OVER (PARTITION BY user_id)) AS INTEGER) AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w21(spark, d) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("user_id"))
-    return events(spark, d).select("event_id", F.least(F.lit(2), F.floor(3 * (F.row_number().over(BY_USER) - 1) / n)).cast("int").alias("third"))
+    return events(spark, d).select("event_id", F.least(F.lit(2), F.floor(3 * (F.row_number().over(by_user()) - 1) / n)).cast("int").alias("third"))
 
 
 @R.add("w22_two_previous", "SELECT event_id, concat_ws(',', lag(event_type, 2) OVER w, lag(event_type) OVER w) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w22(spark, d) -> DataFrame:
-    return events(spark, d).select("event_id", F.array_join(F.collect_list("event_type").over(BY_USER.rowsBetween(-2, -1)), ",").alias("before"))
+    return events(spark, d).select("event_id", F.array_join(F.collect_list("event_type").over(by_user().rowsBetween(-2, -1)), ",").alias("before"))
 
 
 @R.add("w23_stint_length", """
 WITH s AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM events)
 SELECT event_id, row_number() OVER (PARTITION BY user_id, seg ORDER BY ts, event_id) - CASE WHEN seg > 0 THEN 1 ELSE 0 END AS steps FROM s""")
 def w23(spark, d) -> DataFrame:
-    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "signup").over(SO_FAR))
+    s = events(spark, d).withColumn("seg", F.count_if(F.col("event_type") == "signup").over(so_far()))
     r = F.row_number().over(Window.partitionBy("user_id", "seg").orderBy("ts", "event_id"))
     return s.select("event_id", (r - F.when(F.col("seg") > 0, 1).otherwise(0)).cast("long").alias("steps"))
 
@@ -214,7 +219,7 @@ def w23(spark, d) -> DataFrame:
 WITH n AS (SELECT *, lead(event_type) OVER w AS nxt, lead(event_type, 2) OVER w AS nxt2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_type AS kind, count(*) AS offered, count(*) FILTER (WHERE value > 20) AS chosen, count(*) FILTER (WHERE value > 20 AND nxt = 'purchase') AS used, count(*) FILTER (WHERE value > 20 AND (nxt = 'purchase' OR nxt2 = 'purchase')) AS anticipated FROM n GROUP BY 1""")
 def a46(spark, d) -> DataFrame:
-    n = events(spark, d).select("event_type", "value", F.lead("event_type").over(BY_USER).alias("a"), F.lead("event_type", 2).over(BY_USER).alias("b"))
+    n = events(spark, d).select("event_type", "value", F.lead("event_type").over(by_user()).alias("a"), F.lead("event_type", 2).over(by_user()).alias("b"))
     chosen = F.col("value") > 20
     one = F.coalesce(F.col("a") == "purchase", F.lit(False))
     two = F.coalesce(F.col("b") == "purchase", F.lit(False))
@@ -227,7 +232,7 @@ c AS (SELECT user_id, event_type, g, count(*) AS n FROM r GROUP BY ALL)
 SELECT user_id, max(n) AS longest, CAST(sum(n - 1) AS BIGINT) AS forced FROM c GROUP BY 1""")
 def a47(spark, d) -> DataFrame:
     kind = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    r = events(spark, d).select("user_id", "event_type", (F.row_number().over(BY_USER) - F.row_number().over(kind)).alias("g"))
+    r = events(spark, d).select("user_id", "event_type", (F.row_number().over(by_user()) - F.row_number().over(kind)).alias("g"))
     return r.groupBy("user_id", "event_type", "g").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"), F.sum(F.col("n") - 1).alias("forced"))
 
 
