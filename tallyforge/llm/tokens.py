@@ -16,7 +16,7 @@ import os
 import struct
 
 #: Most pieces that a worker remembers; about 200 bytes each.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 700_000
 
 _MEMOS: dict[str, "PieceMemo"] = {}
 
@@ -46,6 +46,7 @@ class PieceMemo:
         self.tok = Tokenizer.from_file(path)
         self.spaced, self.limit = spaced, limit
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -60,6 +61,23 @@ class PieceMemo:
         # the vocabulary lowers case itself; special tokens are the exception
         return raw.split() if b"<|" in raw else raw.lower().split()
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Ids of new pieces. A tail of points and commas after an ASCII letter or digit
+        is cut off by both vocabularies before merges, so it is looked up by itself."""
+        known, lead, rest, cut = self.known, " " if self.spaced else "", [], []
+        for p in fresh:
+            base = p.rstrip(b".,")
+            if len(base) < len(p) and base[-1:].isalnum() and b"<|" not in p:
+                cut.append((p, base))
+            else:
+                rest.append(p)
+        rest += {b for _, b in cut if b not in known and b not in fresh}
+        known.update(zip(rest, self._encode([lead + p.decode("utf-8") for p in rest]), strict=True))
+        tails = list({p[len(b) :] for p, b in cut}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode([t.decode() for t in tails]), strict=True))
+        for p, b in sorted(cut, key=lambda x: len(x[0])):
+            known[p] = known[b] + self.tails[p[len(b) :]]
+
     @staticmethod
     def _clean(piece: bytes) -> bool:
         s = piece.decode("utf-8")
@@ -78,9 +96,7 @@ class PieceMemo:
             odd = {p for p in fresh if not self._clean(p)}
             fresh -= odd
         if fresh:
-            new = list(fresh)
-            lead = " " if self.spaced else ""
-            known.update(zip(new, self._encode([lead + p.decode("utf-8") for p in new]), strict=True))
+            self._learn(fresh)
         if self.spaced:
             firsts: list[int] = []
             for i, pieces in enumerate(cut):
