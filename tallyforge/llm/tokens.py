@@ -16,7 +16,7 @@ import os
 import struct
 
 #: Most pieces that a worker remembers; about 200 bytes each.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_100_000
 
 _MEMOS: dict[str, "PieceMemo"] = {}
 
