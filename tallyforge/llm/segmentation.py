@@ -43,7 +43,7 @@ SEED = 17
 #: log weight of a piece of merge rank r: -SLOPE * log(r + SHIFT)
 SLOPE, SHIFT = 1.0, 10.0
 BYTE_WEIGHT = -12.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: The largest Gumbel that a number of uniform() gives, rounded up.
 CEILING = 37.0
 SPACE = "▁"
@@ -142,15 +142,30 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}  # word -> its first node
-        self.size = {"node": 0, "edge": 0, "id": 0}
+        self.size = {"node": 0, "edge": 0}
         self.first = np.zeros(1 << 16, np.int32)  # node -> first edge (-1: the end)
         self.to = np.zeros(1 << 17, np.int32)
         self.below = np.zeros(1 << 17, np.float32)  # probability of this edge and those before it
         self.lp = np.zeros(1 << 17, np.float32)
-        self.rest = np.zeros(1 << 17, np.float32)  # log of the other edges' probability
-        self.ids_at = np.zeros(1 << 17, np.int32)
-        self.ids_n = np.zeros(1 << 17, np.int8)
-        self.ids = np.zeros(1 << 17, np.int32)
+        self.own = np.zeros(1 << 17, np.int32)  # piece id, or -1 - character for one as bytes
+
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        ids = self.own[edges]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids
+        raws = [[self.pieces.bytes[x] for x in chr(-1 - c).encode("utf-8")] for c in ids[odd].tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[odd] = [len(r) for r in raws]
+        at, out = np.cumsum(n) - n, np.repeat(ids, n)
+        for k, r in zip(at[odd].tolist(), raws, strict=True):
+            out[k : k + len(r)] = r
+        return out
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log of the other edges' probability."""
+        with np.errstate(divide="ignore"):
+            return np.log(-np.expm1(np.minimum(self.lp[edges].astype(np.float64), 0.0)))
 
     def _room(self, kind: str, names: tuple[str, ...], more: int) -> int:
         start = self.size[kind]
@@ -158,7 +173,7 @@ class Lattices:
         for n in names:
             a = getattr(self, n)
             if len(a) < start + more:
-                setattr(self, n, np.concatenate([a, np.zeros(max(len(a), more), a.dtype)]))
+                setattr(self, n, np.concatenate([a, np.zeros(max(len(a) // 4, more), a.dtype)]))
         return start
 
     def add(self, words: list[str]) -> None:
@@ -182,23 +197,14 @@ class Lattices:
         lp = lw + beta[dst] - beta[src]
         order = np.lexsort((-lp, src))
         src, dst, lp, own = src[order], dst[order], lp[order], own[order]
-        several = np.flatnonzero(own < 0)
-        raws = [[self.pieces.bytes[x] for x in chr(-1 - c).encode("utf-8")] for c in own[several].tolist()]
-        n_own = np.ones(len(own), np.int64)
-        n_own[several] = [len(r) for r in raws]
-        ids_from = np.cumsum(n_own) - n_own
-        ids = np.repeat(own, n_own)
-        for k, r in zip(ids_from[several].tolist(), raws, strict=True):
-            ids[k : k + len(r)] = r
         p = np.exp(lp)
         total = np.cumsum(p)
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
         sizes = np.diff(np.append(heads, len(src)))
         before = np.repeat(total[heads] - p[heads], sizes)
-        single = np.repeat(sizes == 1, sizes)
+        lp[heads[sizes == 1]] = 0.0
         node0 = self._room("node", ("first",), count)
-        edge0 = self._room("edge", ("to", "below", "lp", "rest", "ids_at", "ids_n"), len(src))
-        id0 = self._room("id", ("ids",), len(ids))
+        edge0 = self._room("edge", ("to", "below", "lp", "own"), len(src))
         self.first[node0 : node0 + count] = -1
         self.first[node0 + src[heads]] = edge0 + heads
         e = slice(edge0, edge0 + len(src))
@@ -206,9 +212,7 @@ class Lattices:
         self.below[e] = np.minimum(total - before, 1.0)
         tails = heads + sizes - 1
         self.below[edge0 + tails] = 2.0  # the last edge takes what rounding leaves
-        self.rest[e] = np.where(single, -np.inf, np.log(np.maximum(-np.expm1(np.minimum(lp, -1e-12)), 1e-300)))
-        self.ids_at[e], self.ids_n[e] = id0 + ids_from, n_own
-        self.ids[id0 : id0 + len(ids)] = ids
+        self.own[e] = own
         self.at.update(zip(words, (node0 + base).tolist(), strict=True))
 
     def find(self, words: list[str]) -> np.ndarray:
@@ -300,8 +304,8 @@ class Search:
         as they can matter: beyond, `before` and CEILING bound them."""
         p = self.paths[turn]
         a = p["done"]
-        b = p["done"] = min(len(p["g"]), a + max(64, a))
-        location = p["before"][a:b] + self.lat.rest[p["edges"][a:b]]
+        b = p["done"] = min(len(p["g"]), a + max(256, a))
+        location = p["before"][a:b] + self.lat.rest(p["edges"][a:b])
         p["g"][a:b] = truncated(location, p["value"], uniform(mixed(np.array([seed_of(self.key, 1000 + turn)], np.uint64), np.arange(a, b))))
 
     def best(self) -> tuple[float, int, int]:
@@ -405,10 +409,8 @@ def sample(lat: Lattices, keys: list[int], texts: list[str | None], k: int = SAM
         kappa = s.best()[0]
         rows = []
         for p in s.paths:
-            n = lat.ids_n[p["edges"]].astype(np.int64)
-            at = np.repeat(lat.ids_at[p["edges"]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             kept = 1.0 if kappa == -np.inf else -math.expm1(-math.exp(min(p["lp"] - kappa, 700.0)))
-            rows.append((lat.ids[at], p["lp"], p["value"], kept))
+            rows.append((lat.ids_of(p["edges"]), p["lp"], p["value"], kept))
         out.append(rows)
     return out
 
