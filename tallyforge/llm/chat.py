@@ -55,12 +55,13 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     state = common.written(start.withColumn("hops", F.when(F.col("anc").isNull(), 0).otherwise(1).cast("long")), "reply-0")
     jumps, size = [], state.count()
     while 2 ** len(jumps) <= max(size, 1) and not state.where("anc is not null").isEmpty():
+        # only nodes whose root is not known yet take part; most are settled in a round or two
         jumps.append(state.where("anc is not null").select("conv_id", "node", "anc"))
         up = state.select("conv_id", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("hops").alias("hops2"), F.col("score").alias("score2"))
-        state = state.join(up, ["conv_id", "anc"], "left").select(
-            "conv_id", "node", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")
+        moved = state.where("anc is not null").join(up, ["conv_id", "anc"]).select(
+            "conv_id", "node", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("hops") + F.col("hops2")).alias("hops")
         )
-        state = common.written(state, f"reply-{len(jumps)}")
+        state = common.written(state.where("anc is null").unionByName(moved), f"reply-{len(jumps)}")
     rooted = state.where("anc is null").select("conv_id", "node", F.col("hops").alias("depth"), "score")
     inner = jumps[0].select("conv_id", F.col("anc").alias("node")).distinct() if jumps else rooted.limit(0).select("conv_id", "node")
     leaves = rooted.join(inner, ["conv_id", "node"], "left_anti")
