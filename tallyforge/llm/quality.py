@@ -6,7 +6,7 @@ words, or when more than half of its words lie in such windows.
 
 The method compares two histograms of a text with those of its language, which are
 counted over all documents: character classes, and the COMMON most frequent words of
-the language (lower case) with a rest. A text fails when the Jensen-Shannon distance
+the language (case counts) with a rest. A text fails when the Jensen-Shannon distance
 (base 2, 0 to 1) of the former exceeds CHAR_LIMIT and it has MIN_CHARS letters' worth of
 characters, or that of the latter exceeds WORD_LIMIT and it has MIN_WORDS words. Shorter
 texts are not judged by the method. The references are one row per language; beyond the
@@ -56,19 +56,11 @@ def measured(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
             "lines": lines,
-            "letters": F.length(F.regexp_replace("text", r"\P{L}+", "")),
-            "capitals": F.length(F.regexp_replace("text", r"\P{Lu}+", "")),
-            "digits": F.length(F.regexp_replace("text", r"[^0-9]+", "")),
-            "size": F.length("text"),
-            "wide": F.octet_length("text") - F.length("text"),
         }
     )
     t = t.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     t = t.withColumn("n_repeat_words", repeated_words(F.col("words")).cast("long"))
-    blanks = F.col("size") - F.col("word_chars")
-    other = F.col("word_chars") - F.col("letters") - F.col("digits")
-    chars = F.array(*[c.cast("double") for c in (F.col("letters") - F.col("capitals"), F.col("capitals"), F.col("digits"), blanks, F.greatest(other, F.lit(0)), F.col("wide"))])
-    return t.withColumn("chars", chars).drop("lines", "letters", "capitals", "digits", "size", "wide")
+    return t.withColumn("chars", classes(F.col("text"), F.length("text") - F.col("word_chars"))).drop("lines")
 
 
 def shares(counts: Column) -> Column:
@@ -83,40 +75,55 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
+def classes(t: Column, blanks: Column) -> Column:
+    """Character-class counts of a text that holds `blanks` blanks."""
+    small, capitals, digits = (F.length(F.regexp_replace(t, p, "")) for p in ("[^a-z]+", "[^A-Z]+", "[^0-9]+"))
+    other = F.length(t) - blanks - small - capitals - digits
+    return F.array(*[c.cast("double") for c in (small, capitals, digits, blanks, other, F.octet_length(t) - F.length(t))])
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """Per language (and pooled, '*'): lang, common (words), word_shares, char_counts."""
-    rows = docs.select("lang", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    """Per language (and pooled, '*'): lang, common (words), word_shares, char_shares.
+
+    Words are counted once over all documents; the character classes of a language
+    are those of its counted words and of the blanks between them.
+    """
+    rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
     each = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     each = common.written(each, "words")
     every = each.where("lang is not null").unionByName(each.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(POOLED)))
     first = every.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("turn") <= COMMON)
-    totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    named = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("turn", "word", "n"))).alias("top")).join(totals, "lang")
+    chars = classes(F.col("word"), F.lit(0))
+    sums = [F.sum(F.get("c", F.lit(i)) * F.col("n")) for i in range(6)]
+    totals = every.select("lang", "n", "word", chars.alias("c")).groupBy("lang").agg(F.sum("n").alias("total"), F.array(*sums).alias("sums"), F.sum(F.col("n") * F.length("word")).alias("inside"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("size"))
+    sizes = sizes.where("lang is not null").unionByName(sizes.groupBy().agg(F.sum("size").alias("size")).select(F.lit(POOLED).alias("lang"), "size"))
+    named = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("turn", "word", "n"))).alias("top")).join(totals, "lang").join(sizes, "lang")
     kept = named.orderBy(F.col("lang") != POOLED, F.desc("total"), "lang").limit(LANGUAGES + 1)
     counts = F.transform("top", lambda x: x["n"].cast("double"))
     rest = F.col("total") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return kept.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), shares(F.concat(counts, F.array(rest))).alias("word_shares"))
+    blanks = (F.col("size") - F.col("inside")).cast("double")
+    whole = F.transform("sums", lambda x, i: F.when(i == 3, blanks).otherwise(x))
+    return kept.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), shares(F.concat(counts, F.array(rest))).alias("word_shares"), shares(whole).alias("char_shares"))
 
 
-def char_references(measures: DataFrame) -> DataFrame:
-    sums = F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(6)])
-    both = measures.select(F.col("lang"), "chars").where("lang is not null").groupBy("lang").agg(shares(sums).alias("char_shares"))
-    return both.unionByName(measures.groupBy().agg(shares(sums).alias("char_shares")).select(F.lit(POOLED).alias("lang"), "char_shares"))
+#: A character for each of a language's common words, so that they can be counted in a string.
+MARKS = "".join(chr(0x4E00 + i) for i in range(COMMON))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, lang, text): the base measures, both distances, the verdict."""
     m = measured(docs.select("doc_id", "lang", "text"))
-    ref = references(docs).join(char_references(m.select("lang", "chars")), "lang", "left")
-    ref = common.written(ref, "references")
+    ref = common.written(references(docs), "references")
     known = ref.select("lang", "common").collect()  # at most LANGUAGES + 1 rows of COMMON words
     names = [r["lang"] for r in known]
     listed = sorted({w for r in known for w in r["common"]})
     key = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED) if names else F.lit(POOLED)
     rows = m.withColumn("_ref", key).join(F.broadcast(ref.withColumnRenamed("lang", "_ref")), "_ref", "left")
-    lower = F.transform("words", lambda w: F.lower(w))
-    rows = rows.withColumn("_seen", F.filter(lower, lambda w: w.isin(listed) if listed else F.lit(False)))
-    counts = F.transform("common", lambda c: F.size(F.filter("_seen", lambda w: w == c)).cast("double"))
+    seen = F.filter("words", lambda w: w.isin(listed) if listed else F.lit(False))
+    marks = F.array_join(F.transform(seen, lambda w: F.substr(F.lit("-" + MARKS), (F.array_position("common", w) + 1).cast("int"), F.lit(1))), "")
+    rows = rows.withColumn("_marks", marks)
+    counts = F.transform("common", lambda c, i: (F.length("_marks") - F.length(F.replace(F.col("_marks"), F.substr(F.lit(MARKS), i + 1, F.lit(1)), F.lit("")))).cast("double"))
     rows = rows.withColumn("_counts", counts)
     rest = F.col("n_words") - F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("word_distance", distance(shares(F.concat("_counts", F.array(rest))), F.col("word_shares")))
