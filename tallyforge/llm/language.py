@@ -3,9 +3,8 @@
 Per language a raw-content zstandard dictionary of DICT_BYTES is filled from a
 bounded sample: at most SAMPLE_ROWS labelled documents of the language in the order
 of a hash of their ids, each giving at most SHARE bytes from a place that the hash
-chooses. A text is reduced to its distinct words (blank-separated, lower case, in
-order of first occurrence), cut into blocks of BLOCK bytes, and every block is
-compressed under each dictionary; the language with the smallest total wins, ties go
+chooses. The whole lower-cased text is cut into blocks of BLOCK bytes, repeats and
+all, and every block is compressed under each dictionary; the language with the smallest total wins, ties go
 to the more frequent language of the training rows, then to the smaller name. A text
 is rejected when the runner-up needs less than MARGIN more bytes than the winner.
 
@@ -35,10 +34,6 @@ MARGIN = 0.002
 UNKNOWN = "und"
 
 
-def reduced(text: str) -> bytes:
-    return " ".join(dict.fromkeys(text.lower().split())).encode("utf-8")
-
-
 def fit(docs: DataFrame, usable: Column) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling frequency, learnt from documents (doc_id,
     text, lang) where `usable` is true and text and lang are not null."""
@@ -77,7 +72,7 @@ class Judge:
             self.under.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str) -> list[int]:
-        raw = reduced(text)
+        raw = text.lower().encode("utf-8")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.under]
 

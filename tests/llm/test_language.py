@@ -33,3 +33,15 @@ def test_nothing_to_learn_from(spark, docs):
     out, names = language.classify(docs([(1, "some words")]), [])
     assert [tuple(r[n] for n in names) for r in out.collect()] == [("und", 0.0, True)]
     assert language.accepted(docs([])).count() == 0
+
+
+def test_repeats_count():
+    """A German text of one line again and again, with a shorter English passage of other words."""
+    model = [(lang, " ".join(texts(lang, i) for i in range(20)).encode()) for lang in ("en", "de")]
+    judge = language.Judge(model)
+    line = "Der Hund und die Katze schlafen nicht mit dem Vogel unter einem alten Baum"
+    passage = "The quick of and with house from that river stone " + " ".join(f"{a}{b}" for a in ("river", "stone", "house", "quick") for b in ("from", "with", "that", "and", "the"))
+    assert judge(line)[0] == "de" and judge(passage)[0] == "en"
+    sizes = judge.sizes(line + ("\n" + line) * 399 + "\n" + passage)
+    assert sizes[1] < sizes[0]
+    assert judge.sizes("\n".join([line] * 400))[0] > 5 * judge.sizes(line)[0]
