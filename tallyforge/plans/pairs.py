@@ -270,7 +270,7 @@ o AS (SELECT design.c_custkey AS k, v, count(o_orderkey) AS runs FROM design LEF
 SELECT k, max(runs) FILTER (WHERE v = '1-URGENT') AS control, max(runs) FILTER (WHERE v = '5-LOW') AS treatment,
   concat_ws(',', CASE WHEN control = 0 THEN 'no control' END, CASE WHEN treatment = 0 THEN 'no treatment' END, CASE WHEN control <> treatment THEN 'uneven' END) AS reasons FROM o GROUP BY 1""")
 def j6(spark, d) -> DataFrame:
-    design = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("k"))
+    design = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     seen = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).count()
     j = design.join(seen, "k", "left").select("k", F.coalesce("1-URGENT", F.lit(0)).alias("control"), F.coalesce("5-LOW", F.lit(0)).alias("treatment"))
     reasons = F.concat_ws(",", F.when(F.col("control") == 0, "no control"), F.when(F.col("treatment") == 0, "no treatment"), F.when(F.col("control") != F.col("treatment"), "uneven"))
@@ -332,8 +332,8 @@ SELECT o_orderkey, (SELECT arg_max(event_id, (ts, event_id)) FROM events WHERE u
 def j15(spark, d) -> DataFrame:
     """As-of without an inequality join: both sides in one sorted stream, last value carried."""
     at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(o_orderkey % 30)")
-    q = table(spark, d, "orders").where("o_custkey < 150").select(F.col("o_custkey").alias("user_id"), at.alias("ts"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
-    e = table(spark, d, "events").where("event_type = 'signup'").select("user_id", "ts", F.lit(0).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
+    q = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), at.alias("ts"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
+    e = table(spark, d, "events").where("event_type = 'signup' AND user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", F.lit(0).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
     w = Window.partitionBy("user_id").orderBy("ts", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return q.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where("side = 1").select("o_orderkey", "event_id")
 
