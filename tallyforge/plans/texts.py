@@ -113,7 +113,7 @@ SELECT a.doc_id, list_count([i for i in range(1, 200) if i <= least(length(a.tex
 def x22(spark, d) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "text")
     p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    return p.select("doc_id", F.least(T.common_prefix(F.col("text"), F.col("other")), F.lit(199)).cast("long").alias("prefix"))
+    return p.select("doc_id", T.common_prefix(F.col("text"), F.col("other")).cast("long").alias("prefix"))
 
 
 @R.add("x23_byte_lengths", "SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
