@@ -43,7 +43,7 @@ def draw(replicate: Column, slot: Column, n: Column, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 13), 16, 10).cast("bigint"), n)
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, numerator: str, denominator: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: str, numerator: str, denominator: str, replicates: int = 4_000, seed: int = 1) -> DataFrame:
     """95 % interval of a ratio of sums, clusters drawn with replacement.
 
     Rows are summed per cluster first, so only replicates x clusters small rows are
