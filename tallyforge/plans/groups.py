@@ -23,7 +23,7 @@ WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a, min(doc_id)
 RECURSIVE_EDGES AS (SELECT doc_id AS x, a AS y FROM g UNION SELECT a, doc_id FROM g UNION SELECT doc_id, b FROM g UNION SELECT b, doc_id FROM g)
 SELECT 1""")
 def g1(spark, d) -> DataFrame:
-    t = table(spark, d, "documents").where("n_chars > 400").select("doc_id", "text", "source", "n_chars")
+    t = table(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
     rule = lambda *k: t.withColumn("b", F.min("doc_id").over(Window.partitionBy(*k))).select(F.col("doc_id").alias("a"), "b")
     out = graphs.components(rule("text").unionByName(rule("source", "n_chars")), t.select(F.col("doc_id").alias("node")))
     return out.select(F.col("node").alias("doc_id"), "component")
