@@ -9,8 +9,8 @@ counted over all documents: character classes, and the COMMON most frequent word
 the language (case counts) with a rest. A text fails when the Jensen-Shannon distance
 (base 2, 0 to 1) of the former exceeds CHAR_LIMIT and it has MIN_CHARS letters' worth of
 characters, or that of the latter exceeds WORD_LIMIT and it has MIN_WORDS words. Shorter
-texts are not judged by the method. The references are one row per language; beyond the
-LANGUAGES most frequent ones, and for a null language, the pooled row counts.
+texts are not judged by the method. The references are one row per language; for a language
+without words, and for a null language, the pooled row counts.
 
 A null text has no words and fails the base rules. Rows with equal ids are judged one by
 one. Very long texts are counted whole. An empty table gives an empty result.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 COMMON = 32
+#: Most languages whose references are sent out; more are joined by language.
 LANGUAGES = 200
 MIN_CHARS, MIN_WORDS = 400, 100
 CHAR_LIMIT, WORD_LIMIT = 0.28, 0.4
@@ -77,8 +78,9 @@ def distance(p: Column, q: Column) -> Column:
 
 def classes(t: Column, blanks: Column) -> Column:
     """Character-class counts of a text that holds `blanks` blanks."""
-    small, capitals, digits = (F.length(F.regexp_replace(t, p, "")) for p in ("[^a-z]+", "[^A-Z]+", "[^0-9]+"))
-    other = F.length(t) - blanks - small - capitals - digits
+    letters, capitals, digits = (F.length(F.regexp_replace(t, p, "")) for p in (r"\P{L}+", r"\P{Lu}+", "[^0-9]+"))
+    small = letters - capitals
+    other = F.length(t) - blanks - letters - digits
     return F.array(*[c.cast("double") for c in (small, capitals, digits, blanks, other, F.octet_length(t) - F.length(t))])
 
 
@@ -99,12 +101,11 @@ def references(docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("size"))
     sizes = sizes.where("lang is not null").unionByName(sizes.groupBy().agg(F.sum("size").alias("size")).select(F.lit(POOLED).alias("lang"), "size"))
     named = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("turn", "word", "n"))).alias("top")).join(totals, "lang").join(sizes, "lang")
-    kept = named.orderBy(F.col("lang") != POOLED, F.desc("total"), "lang").limit(LANGUAGES + 1)
     counts = F.transform("top", lambda x: x["n"].cast("double"))
     rest = F.col("total") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     blanks = (F.col("size") - F.col("inside")).cast("double")
     whole = F.transform("sums", lambda x, i: F.when(i == 3, blanks).otherwise(x))
-    return kept.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), shares(F.concat(counts, F.array(rest))).alias("word_shares"), shares(whole).alias("char_shares"))
+    return named.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), shares(F.concat(counts, F.array(rest))).alias("word_shares"), shares(whole).alias("char_shares"))
 
 
 #: A character for each of a language's common words, so that they can be counted in a string.
@@ -115,12 +116,20 @@ def judged(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, lang, text): the base measures, both distances, the verdict."""
     m = measured(docs.select("doc_id", "lang", "text"))
     ref = common.written(references(docs), "references")
-    known = ref.select("lang", "common").collect()  # at most LANGUAGES + 1 rows of COMMON words
-    names = [r["lang"] for r in known]
-    listed = sorted({w for r in known for w in r["common"]})
-    key = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED) if names else F.lit(POOLED)
-    rows = m.withColumn("_ref", key).join(F.broadcast(ref.withColumnRenamed("lang", "_ref")), "_ref", "left")
-    seen = F.filter("words", lambda w: w.isin(listed) if listed else F.lit(False))
+    known = ref.select("lang", "common").limit(LANGUAGES + 2).collect()
+    if len(known) <= LANGUAGES + 1:
+        names = [r["lang"] for r in known]
+        listed = sorted({w for r in known for w in r["common"]})
+        key = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED) if names else F.lit(POOLED)
+        rows = m.withColumn("_ref", key).join(F.broadcast(ref.withColumnRenamed("lang", "_ref")), "_ref", "left")
+        seen = F.filter("words", lambda w: w.isin(listed) if listed else F.lit(False))
+    else:  # more languages than are sent out: joined by language, the pooled row for those without words
+        parts = ("common", "word_shares", "char_shares")
+        own = ref.select(F.col("lang").alias("_ref"), F.struct(*parts).alias("_own"))
+        pooled = ref.where(F.col("lang") == POOLED).select(F.struct(*parts).alias("_all"))  # one row
+        rows = m.join(own, F.col("lang") == F.col("_ref"), "left").crossJoin(F.broadcast(pooled)).withColumn("_own", F.coalesce("_own", "_all"))
+        rows = rows.select(*m.columns, *[F.col("_own")[p].alias(p) for p in parts])
+        seen = F.filter("words", lambda w: F.array_contains("common", w))
     marks = F.array_join(F.transform(seen, lambda w: F.substr(F.lit("-" + MARKS), (F.array_position("common", w) + 1).cast("int"), F.lit(1))), "")
     rows = rows.withColumn("_marks", marks)
     counts = F.transform("common", lambda c, i: (F.length("_marks") - F.length(F.replace(F.col("_marks"), F.substr(F.lit(MARKS), i + 1, F.lit(1)), F.lit("")))).cast("double"))

@@ -47,3 +47,18 @@ def test_distance(spark):
     arr = lambda x: F.array(*map(F.lit, x))
     row = spark.range(1).select(quality.distance(arr(p), arr(q)).alias("d"), quality.distance(arr(p), arr(p)).alias("z"), quality.distance(arr([1.0, 0.0]), arr([0.0, 1.0])).alias("o")).first()
     assert abs(row["d"] - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12 and row["z"] == 0 and abs(row["o"] - 1) < 1e-12
+
+
+def test_every_language_has_its_reference(spark, docs):
+    n = quality.LANGUAGES + 20
+    # the rarest languages have words of their own, which the pooled reference does not list
+    rows = [(i, " ".join(f"w{i}x{j % 20}" for j in range(400 if i < n - 5 else 120)), f"l{i:03}") for i in range(n)]
+    got = {r["doc_id"]: r for r in quality.judged(docs([*rows, (n, "", "none"), (n + 1, "a b", None)])).collect()}
+    assert len(got) == n + 2 and all(got[i]["word_distance"] == 0 and got[i]["char_distance"] == 0 for i in range(n))
+
+
+def test_letters_of_other_scripts(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(quality.classes(F.lit("Дом é A1。、"), F.lit(2)).alias("c")).first()
+    assert row["c"][:5] == [3.0, 2.0, 1.0, 2.0, 2.0]
