@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 5_000
 #: Most bytes of text that the training sample brings to the driver.
-SAMPLE_BYTES = 40_000_000
+SAMPLE_BYTES = 60_000_000
 #: Texts that training holds as numbers at one time.
 CHUNK = 150
 WINDOW, STRIDE = 48, 32
@@ -333,14 +333,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Network | float:
     ids = rows.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "_y").limit(SAMPLE_ROWS)
     # SAMPLE_ROWS ids are sent out; as many texts come back
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null")
-    texts, ys, held = [], [], 0
-    for r in sorted(found.select("_h", "doc_id", "text", "_y").collect(), key=lambda r: (r["_h"], r["doc_id"], r["text"])):
-        held += len(r["text"])
-        if held > SAMPLE_BYTES:
-            break
-        texts.append(r["text"])
-        ys.append(r["_y"])
-    return train(texts, ys)
+    found = found.select("_h", "doc_id", "text", "_y", F.xxhash64("text").alias("_t"))
+    key = ["_h", "doc_id", "_y", "_t"]
+    sizes = found.groupBy(*key).agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()
+    taken, held = [], 0
+    for r in sorted(sizes, key=lambda r: [r[k] for k in key]):
+        # a text that does not fit is left out, those after it are not
+        if held + r["n"] <= SAMPLE_BYTES:
+            held += r["n"]
+            taken.append(tuple(r[k] for k in key))
+    kept = docs.sparkSession.createDataFrame(taken, found.select(*key).schema)
+    rows = found.join(F.broadcast(kept), key, "left_semi").collect()  # at most SAMPLE_BYTES of text
+    rows.sort(key=lambda r: (r["_h"], r["doc_id"], r["text"]))
+    return train([r["text"] for r in rows], [r["_y"] for r in rows])
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text") -> tuple[DataFrame, list[str]]:

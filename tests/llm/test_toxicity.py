@@ -75,3 +75,18 @@ def test_gradient_against_differences():
             down = loss()
             p[at] = old
             assert abs((up - down) / (2 * eps) - d[name][at]) < 2e-3 + 0.05 * abs(d[name][at]), name
+
+
+def test_huge_text_is_skipped(spark, docs, monkeypatch):
+    """A text over the bound leaves no other out, whatever its place in hash order."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2_000)
+    monkeypatch.setattr(toxicity, "train", lambda texts, ys: seen.append(sorted(zip(texts, ys))) or 0.5)
+    rows = [(i, f"text {i}") for i in range(40)]
+    first = min(range(40), key=lambda i: spark.range(i, i + 1).select(F.xxhash64("id")).first()[0])
+    rows[first] = (first, "é" * 1_001)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(docs(rows), labels, F.lit(True))
+    assert seen == [sorted((t, i % 2) for i, t in rows if i != first)]
