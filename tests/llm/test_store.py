@@ -61,3 +61,16 @@ def test_damage_is_found(spark, docs):
 def test_empty_table(spark, docs):
     path = store.write_store(docs([]), common.scratch_path(spark, "test"))
     assert store.read_documents(spark, path).count() == 0 and store.read_checksums(spark, path).count() == 0
+
+
+def test_lost_rows_raise_in_the_query(spark, docs):
+    path = store.write_store(docs([(i, f"some text {i}") for i in range(6)]), common.scratch_path(spark, "test"))
+    want = {r["doc_id"]: r["ids_crc32"] for r in store.read_checksums(spark, path).collect()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in store.read_back(spark, path).collect()} == want and len(want) == 6
+    for lost in ("doc_id = 3", "true"):  # a row, and all rows of the parts
+        other = common.scratch_path(spark, "test")
+        for name in ("manifest", "made"):
+            spark.read.parquet(f"{path}/{name}").write.partitionBy(*(["kind"] if name == "made" else [])).parquet(f"{other}/{name}")
+        spark.read.parquet(f"{path}/recipes").where(f"NOT ({lost})").write.parquet(f"{other}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            store.read_back(spark, other)
