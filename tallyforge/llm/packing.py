@@ -124,14 +124,15 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = tokens.memo(path, True), np.array([END_ID], "<u4").tobytes()
+        memo = tokens.memo(path, True)
         for b in batches:
-            out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), memo.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * s : 4 * (s + n)]
+            ids, ends = memo.flat(b.column(1), END_ID)
+            raw, out, first = ids.astype("<u4").tobytes(), [], 0
+            for doc_id, end in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                for i, (s, n) in enumerate(cut(end - first, capacity)):
+                    part = raw[4 * (first + s) : 4 * (first + s + n)]
                     out.append((doc_id, i, s, n, zlib.crc32(part), *([part] if with_ids else ())))
+                first = end
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = list(zip(*out, strict=True)) or [[]] * (6 if with_ids else 5)
             names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids

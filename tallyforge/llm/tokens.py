@@ -2,21 +2,32 @@
 
 Both public vocabularies cut a text at a single space between two non-blank
 characters before any merge is tried, so the ids of a text are the ids of its
-space-separated pieces one after another.  Pieces repeat, so their ids are kept
-in a bounded memo and only new pieces reach the library, many in one call.
-Texts in which a piece is empty or touches other white space (two blanks in a
-row, a blank beside a line end) are encoded in one call, unsplit.
+space-separated pieces one after another.  Arrow cuts a batch of texts into pieces
+and finds the distinct ones; their ids are kept in a bounded memo, and only new
+pieces reach the library, many in one call.  Texts in which a piece is empty or
+touches other white space (two blanks in a row, a blank beside a line end) are
+encoded in one call, unsplit.
 
-Ids travel as little-endian unsigned 32-bit bytes.
+Ids travel as little-endian unsigned 32-bit numbers.
 """
 
 from __future__ import annotations
 
 import os
+import string
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Most pieces that a worker remembers; about 200 bytes each.
 MEMO_PIECES = 1_100_000
+#: Pieces that are joined for one call of the library.
+JOINED = 256
+#: Punctuation that both vocabularies cut off after an ASCII letter or digit; not the
+#: apostrophe, which may belong to the letters after it.
+TAIL = "".join(c for c in string.punctuation if c != "'")
 
 _MEMOS: dict[str, "PieceMemo"] = {}
 
@@ -45,8 +56,13 @@ class PieceMemo:
 
         self.tok = Tokenizer.from_file(path)
         self.spaced, self.limit = spaced, limit
-        self.known: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        #: pieces used lately, and those of the time before
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        # tokens that begin (spaced) or end a piece of letters
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.border = np.array([n.startswith("Ġ") if spaced else n.endswith("</w>") for n in names], bool)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -54,61 +70,128 @@ class PieceMemo:
         fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [packed(e.ids) for e in fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8")
-        if self.spaced:
-            return raw.split(b" ")
-        # the vocabulary lowers case itself; special tokens are the exception
-        return raw.split() if b"<|" in raw else raw.lower().split()
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Ids of new pieces. A tail of points and commas after an ASCII letter or digit
-        is cut off by both vocabularies before merges, so it is looked up by itself."""
-        known, lead, rest, cut = self.known, " " if self.spaced else "", [], []
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold only letters below U+0100: joined by blanks they are
+        one token run each, told apart by the tokens that begin or end a word."""
+        lead, groups = " " if self.spaced else "", [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        out: list[bytes] = []
+        for group, e in zip(groups, fast([lead + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            marks = np.flatnonzero(self.border[ids])
+            if len(marks) != len(group):  # not expected; each word by itself then
+                out += self._encode([lead + w for w in group])
+                continue
+            ends = ([*marks[1:].tolist(), len(ids)]) if self.spaced else (marks + 1).tolist()
+            raw, last = ids.tobytes(), 0
+            for n in ends:
+                out.append(raw[4 * last : 4 * n])
+                last = n
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new pieces. A tail of punctuation after an ASCII letter or digit is
+        cut off by both vocabularies before merges, so it is looked up by itself."""
+        known, lead, words, rest, cut = self.known, " " if self.spaced else "", [], [], []
+        bases: set[str] = set()
         for p in fresh:
-            base = p.rstrip(b".,")
-            if len(base) < len(p) and base[-1:].isalnum() and b"<|" not in p:
+            base = p.rstrip(TAIL)
+            if base and len(base) < len(p) and base[-1].isascii() and base[-1].isalnum() and "<|" not in p:
                 cut.append((p, base))
+                if base not in known:
+                    bases.add(base)
+            elif p.isalpha() and max(p) < "Ā":
+                words.append(p)
             else:
                 rest.append(p)
-        rest += {b for _, b in cut if b not in known and b not in fresh}
-        known.update(zip(rest, self._encode([lead + p.decode("utf-8") for p in rest]), strict=True))
+        for b in bases.difference(fresh):
+            if b in self.older:
+                known[b] = self.older[b]
+            else:
+                (words if b.isalpha() and max(b) < "Ā" else rest).append(b)
+        known.update(zip(words, self._letters(words), strict=True))
+        known.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
         tails = list({p[len(b) :] for p, b in cut}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode([t.decode() for t in tails]), strict=True))
-        for p, b in sorted(cut, key=lambda x: len(x[0])):
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        for p, b in cut:
             known[p] = known[b] + self.tails[p[len(b) :]]
 
-    @staticmethod
-    def _clean(piece: bytes) -> bool:
-        s = piece.decode("utf-8")
-        return bool(s) and not s[0].isspace() and not s[-1].isspace()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; None counts as an empty text."""
-        cut = [self._pieces(t or "") for t in texts]
-        whole: dict[int, bytes] = {}
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        fresh = set().union(*cut).difference(known)
-        odd: set[bytes] = set()
-        if self.spaced and fresh:
-            odd = {p for p in fresh if not self._clean(p)}
-            fresh -= odd
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the memo as far as it has them."""
+        if len(self.known) > self.limit // 2:
+            self.known, self.older, self.tails = {}, self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, pieces))
+        fresh = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                p = pieces[i]
+                ids = older.get(p)
+                if ids is None:
+                    fresh.append(p)
+                else:
+                    known[p] = found[i] = ids
         if fresh:
             self._learn(fresh)
+            found = [known[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        return found
+
+    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another and where each text ends; a null text
+        counts as empty. `end` is an id to put after each text."""
+        n = len(texts)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if self.spaced:
-            firsts: list[int] = []
-            for i, pieces in enumerate(cut):
-                if len(pieces) > 1 and (not pieces[0] or (odd and not odd.isdisjoint(pieces)) or not self._clean(pieces[0])):
-                    whole[i] = b""
-                else:
-                    firsts.append(i)
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                whole[i] = ids
-            heads = dict(zip(firsts, self._encode([cut[i][0].decode("utf-8") for i in firsts]), strict=True))
-            return [whole[i] if i in whole else heads[i] + b"".join(map(known.__getitem__, pieces[1:])) for i, pieces in enumerate(cut)]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+            cut = pc.split_pattern(texts, " ")
+        else:  # the vocabulary lowers case itself; special tokens are the exception
+            cut = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        bounds = np.asarray(cut.offsets.to_numpy(), np.int64)
+        bounds = bounds - bounds[0]
+        words = cut.flatten().dictionary_encode()
+        at, pieces = np.asarray(words.indices.to_numpy(zero_copy_only=False), np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.spaced:
+            odd = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words.dictionary), words.dictionary), pc.equal(words.dictionary, ""))
+            found, at, bounds = self._spaced(texts, pieces, np.asarray(odd.to_numpy(zero_copy_only=False), bool), at, bounds)
+        else:
+            found = self._ids(pieces)
+        if end is not None:
+            at = np.insert(at, bounds[1:], len(found))
+            bounds = bounds + np.arange(n + 1)
+            found.append(packed([end]))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids, pa.uint32()))
+        out = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds[1:]]
+        return out, ends
+
+    def _spaced(self, texts: pa.Array, pieces: list[str], odd: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """First pieces have no blank before them, and texts with odd pieces stay whole;
+        both become entries of their own behind the pieces."""
+        first, many = bounds[:-1], np.diff(bounds) > 1
+        whole = many & (np.add.reduceat(odd[at], first) > 0) if len(first) else many
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        inner &= np.repeat(~whole, np.diff(bounds))
+        used = np.zeros(len(pieces), bool)
+        used[at[inner]] = True
+        found = [b""] * len(pieces)
+        which = np.flatnonzero(used).tolist()
+        for i, ids in zip(which, self._ids([pieces[i] for i in which]), strict=True):
+            found[i] = ids
+        heads = [pieces[i] for i in at[first].tolist()]
+        singly = self._encode([texts[i].as_py() if w else h for i, (w, h) in enumerate(zip(whole.tolist(), heads, strict=True))])
+        at = at.copy()
+        at[first] = len(pieces) + np.arange(len(first))
+        keep = np.repeat(~whole, np.diff(bounds))
+        keep[first] = True
+        return found + singly, at[keep], np.concatenate([[0], np.cumsum(np.where(whole, 1, np.diff(bounds)))])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes; None counts as an empty text."""
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        raw, stops = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 def memo(path: str, spaced: bool) -> PieceMemo:
