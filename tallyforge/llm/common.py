@@ -5,6 +5,8 @@ shared folder, connected components, and small helpers.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -19,16 +21,21 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Most rows of an Arrow batch; with long texts a batch stays in the tens of MB.
 BATCH_ROWS = 400
 
-_SCRATCH: list[str] = []
+#: Tables of written() by owner; None owns those that last as long as the session.
+_SCRATCH: dict[str | None, list[str]] = {}
+_OWNER: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (single-machine tests) a temporary one is set.
+    Only where a local master names none (tests) a temporary one is set; a cluster must
+    name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -40,14 +47,24 @@ def token() -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; removed at exit or by clear_scratch()."""
+    """A new path below the shared folder; removed at exit, or with its owner's tables."""
     path = f"{shared_dir(spark)}/tallyforge-{what}-{token()}"
     if not _SCRATCH:
-        atexit.register(clear_scratch)
-    _SCRATCH.append(path)
+        atexit.register(_clear_all)
+    _SCRATCH.setdefault(_OWNER.get(), []).append(path)
     return path
 
 
+@contextlib.contextmanager
+def owned(owner: str):
+    """Scratch tables that are made inside belong to `owner`."""
+    before = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage,
     survives lost executors, and is computed once."""
@@ -57,16 +74,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession | None = None) -> None:
-    """Delete the tables of written(). DataFrames that read them must be done."""
-    spark = spark or SparkSession.getActiveSession()
-    if spark is None:
-        return
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession, owner: str) -> None:
+    """Delete the tables of one owner, whose frames must be done. Others' stay."""
+    for path in _SCRATCH.pop(owner, []):
+        remove(spark, path)
+
+
+def _clear_all() -> None:
+    spark = SparkSession.getActiveSession()
     try:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        while _SCRATCH:
-            path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-            path.getFileSystem(conf).delete(path, True)
+        for owner in list(_SCRATCH):
+            if spark is not None:
+                clear_scratch(spark, owner)
     except Exception:  # the session has gone; its folder is the cluster's to clean
         _SCRATCH.clear()
 
@@ -95,7 +119,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, what:
     and edges shrink by a constant factor, whatever the diameter. Hubs cost only map
     side minima and split joins; each round is written to the shared folder.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null")
+    e = written(edges.select("a", "b").where("a is not null and b is not null"), f"{what}-given")  # read three times below
     every = e.select(F.col("a").alias("node")).unionAll(e.select(F.col("b").alias("node")))
     if nodes is not None:
         every = every.unionAll(nodes.select("node").where("node is not null"))
@@ -163,14 +187,27 @@ def appended(docs: DataFrame, text: str, compute, fields: list[tuple[str, str]])
     return docs.mapInArrow(run, schema), names
 
 
-def identified(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a unique long key column, and its name: doc_id where that is unique
-    and never null, else a row number of a written copy."""
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty() and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        return docs, "doc_id"
-    (key,) = free_names(docs, ["row_key"])
-    return written(docs.withColumn(key, monotone()), "rows"), key
+def has_unique_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is an integer column without nulls and without repeats."""
+    if dict(docs.dtypes)["doc_id"] not in ("bigint", "int"):
+        return False
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+#: A key with more than this share of the rows is heavy; there are fewer than 1 / HEAVY of them.
+HEAVY = 1 / 1000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of left with right, which has each key once and in `count` how many
+    rows of left hold it (dropped here). Keys that hold more than HEAVY of all rows,
+    fewer than 1,000 by that, are joined by broadcast, so that their rows stay where they
+    are; the others by shuffle. Both frames are read twice: pass written ones."""
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    heavy = F.col(count) > total * HEAVY
+    few = right.where(heavy).drop(count)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~heavy).drop(count), key)
+    return left.join(F.broadcast(few), key).unionByName(rest)
 
 
 def monotone() -> Column:

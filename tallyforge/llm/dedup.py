@@ -4,16 +4,18 @@ Texts are equal when their bytes are equal once the blanks `[\\x20\\x09-\\x0D]`
 deleted. Every input task first inserts its own texts into a trie (so a text that a
 third of all rows carry leaves each task once, with a count), then the distinct ones
 are dealt out by length and content hash, and the owner of each full byte string is
-settled in a trie there. A terminal node stores the owner: most code points in the
-original text, then the smallest doc_id, and the number of rows. A task's trie holds
-at most TRIE_BYTES; beyond that its largest subtree is emptied: its terminals leave
-as partial owners, which the second trie merges. The second task reads its rows in
-the order of (length, hash), so equal texts follow one another and the trie is
-emptied whenever that key changes.
-
-Null texts count as empty; empty texts equal each other. A null doc_id comes after
-every other. Of rows that are alike in doc_id and text, one is kept. Extra columns
-pass through untouched; an empty table gives an empty result.
+settled in the trie of that partition. A terminal node stores the owner: most code
+points in the original text, then the smallest doc_id, then the smallest row number,
+and the number of rows. A task's trie holds at most TRIE_BYTES; beyond that its largest
+subtrees are emptied: their terminals leave as partial owners from the first trie, and
+as settled ones from the second, which reads its rows in the order of (length, hash)
+and spills only between two keys.
+
+Rows find their owner by SHA-256; the few texts that many rows share are joined by
+broadcast (common.heavy_join). Null texts count as empty; empty texts equal each other.
+A null doc_id comes after every other. Of rows that are alike in doc_id and text, one is
+kept. Extra columns, of whatever name, pass through untouched; an empty table gives an
+empty result. doc_id must be a number or null.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +58,7 @@ def _common(a: bytes, b: bytes, start: int) -> int:
 class Patricia:
     """A compressed radix trie over whole byte strings; owners merge at terminals.
 
-    An owner is (-code points, doc_id, rows): the smallest pair wins, rows add up.
+    An owner is (-code points, doc_id, row number, rows): the smallest wins, rows add up.
     """
 
     def __init__(self, limit: int = TRIE_BYTES):
@@ -63,7 +66,7 @@ class Patricia:
 
     @staticmethod
     def merge(a: tuple, b: tuple) -> tuple:
-        return (*min(a[:2], b[:2]), a[2] + b[2])
+        return (*min(a[:3], b[:3]), a[3] + b[3])
 
     def insert(self, key: bytes, owner: tuple) -> None:
         node, at = self.root, 0
@@ -123,114 +126,117 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8").translate(None, common.BLANKS.encode())
 
 
-PARTIAL = "length long, content_hash long, body binary, code_points long, doc_id long, n_rows long"
-OWNERS = "text_sha256 string, keep_points long, keep_id long, group_size long"
+MADE = "kind int, length long, content_hash long, body binary, code_points long, doc_id long, row long, n_rows long, text_sha256 string"
+MADE_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+OWNERS = "text_sha256 string, keep_id long, keep_row long, group_size long"
 
 
-def _rows(found: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
-    cols = [
-        pa.array([len(k) for k, _ in found], pa.int64()),
-        pa.array([xxhash.xxh3_64_intdigest(k) - (1 << 63) for k, _ in found], pa.int64()),
-        pa.array([k for k, _ in found], pa.binary()),
-        pa.array([-o[0] for _, o in found], pa.int64()),
-        pa.array([o[1] for _, o in found], pa.int64()),
-        pa.array([o[2] for _, o in found], pa.int64()),
-    ]
-    return pa.record_batch(cols, names=[x.split()[0] for x in PARTIAL.split(", ")])
+def _content_hash(key: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie, out, held = Patricia(), [], 0
-    for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            trie.insert(normalised(text), (-len(text or ""), NO_ID if doc_id is None else doc_id, 1))
-        for x in trie.spill():
-            out.append(x)
-            held += len(x[0])
-            if held > 4_000_000:
-                yield _rows(out)
-                out, held = [], 0
-    for x in trie.empty():
-        out.append(x)
-        held += len(x[0])
-        if held > 4_000_000:
-            yield _rows(out)
+def _made(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(MADE_KINDS)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, MADE_KINDS, strict=True)], names=[x.split()[0] for x in MADE.split(", ")])
+
+
+def _partial(numbered: bool):
+    """Rows (kind 0) and partial owners with their full strings (kind 1) of a task's
+    documents (doc_id, text, and the row's number if numbered)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, row = Patricia(), TaskContext.get().partitionId() << 33
+
+        def owners(found: Iterator[tuple[bytes, tuple]]) -> Iterator[pa.RecordBatch]:
             out, held = [], 0
-    yield _rows(out)
+            for k, o in found:
+                out.append((1, len(k), _content_hash(k), k, -o[0], o[1], o[2], o[3], None))
+                held += len(k)
+                if held > 4_000_000:
+                    yield _made(out)
+                    out, held = [], 0
+            yield _made(out)
+
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            places = b.column(2).to_pylist() if numbered else range(row, row + len(ids))
+            row += len(ids)
+            out = []
+            for doc_id, text, place in zip(ids, texts, places, strict=True):
+                key, points = normalised(text), len(text or "")
+                trie.insert(key, (-points, NO_ID if doc_id is None else doc_id, place, 1))
+                out.append((0, None, None, None, points, doc_id, place, None, hashlib.sha256(key).hexdigest()))
+            yield _made(out)
+            if trie.held > trie.limit:
+                yield from owners(trie.spill())
+        yield from owners(trie.empty())
+
+    return run
 
 
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial owners in the order of (length, content hash) -> owners. Strings of all
+    keys of the task share a trie; once a key is past, its strings are settled, so that
+    what spills when the next key begins is final."""
     trie, key = Patricia(), None
 
-    def closed() -> list[tuple]:
-        return [(hashlib.sha256(k).hexdigest(), -o[0], None if o[1] == NO_ID else o[1], o[2]) for k, o in trie.empty()]
+    def settled(found: Iterator[tuple[bytes, tuple]]) -> pa.RecordBatch:
+        out = [(hashlib.sha256(k).hexdigest(), None if o[1] == NO_ID else o[1], o[2], o[3]) for k, o in found]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in OWNERS.split(", ")])
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in OWNERS.split(", ")]
     for b in batches:
-        out = []
-        for length, chash, body, points, doc_id, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for length, chash, body, points, doc_id, row, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (length, chash) != key:
-                out += closed()
+                if trie.held > trie.limit:
+                    yield settled(trie.spill())
                 key = (length, chash)
-            trie.insert(body, (-points, doc_id, n))
-        yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-    out = closed()
-    yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
+            trie.insert(body, (-points, doc_id, row, n))
+    yield settled(trie.empty())
 
-def owners(docs: DataFrame) -> DataFrame:
-    """A row per distinct normalised text of documents (doc_id, text): its SHA-256,
-    the row that stays (keep_id, keep_points code points) and the number of rows."""
-    common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.mapInArrow(_partial, PARTIAL).repartition("length", "content_hash").sortWithinPartitions("length", "content_hash")
-    return dealt.mapInArrow(_final, OWNERS)
 
+def settle(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, owners) of documents (doc_id, text), both written to the shared folder.
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256, code_points) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            sha = pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts], pa.string())
-            yield pa.record_batch([b.column(0), sha, pa.array([len(t or "") for t in texts], pa.int64())], names=["doc_id", "text_sha256", "code_points"])
-
-    common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_sha256 string, code_points long")
+    rows: doc_id, row, text_sha256; owners: a row per distinct normalised text with its
+    SHA-256, the row that stays (keep_id, keep_row) and the number of rows. `row` names a
+    long column that numbers the rows; without it they are numbered by task and place.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(row).alias("row")] if row else []))
+    path = common.scratch_path(spark, "texts")
+    given.mapInArrow(_partial(row is not None), MADE).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    made = spark.read.schema(MADE).parquet(path)
+    parts = made.where("kind = 1").select("length", "content_hash", "body", "code_points", "doc_id", "row", "n_rows")
+    dealt = parts.repartition("length", "content_hash").sortWithinPartitions("length", "content_hash")
+    owners = common.written(dealt.mapInArrow(_final, OWNERS), "owners")
+    return made.where("kind = 0").select("doc_id", "row", "text_sha256"), owners
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    alike = Window.partitionBy("doc_id", "text_sha256", "code_points").orderBy(F.lit(0))
-    rows = keyed(docs).withColumn("_turn", F.row_number().over(alike))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("code_points") == F.col("keep_points")) & (F.col("_turn") == 1)
-    return rows.join(owners(docs), "text_sha256").select("doc_id", "keep_id", "group_size", same.alias("kept"), "text_sha256")
+def exact_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256, row (its number)."""
+    rows, owners = settle(docs, row)
+    out = common.heavy_join(rows, owners.withColumn("n", F.col("group_size")), "text_sha256", "n")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    plain = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    # rows alike in doc_id: one text may be kept and another not, and repeated rows go to one
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")).isEmpty()
-    if twice:
-        return plain
-    names = docs.columns
-    marked = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    alone = keyed(marked.withColumn("doc_id", F.col("_row"))).join(
-        keyed_owner := owners(marked.withColumn("doc_id", F.col("_row"))), "text_sha256"
-    )
-    del keyed_owner
-    stay = alone.where("doc_id = keep_id").select(F.col("doc_id").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*names)
+    """The rows of documents that stay, with all their columns. Where doc_id does not
+    name a row, rows are numbered in a written copy; the number only decides between
+    rows that are alike in code points and doc_id."""
+    if common.has_unique_ids(docs):
+        stay = exact_groups(docs).where("kept").select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    (row,) = common.free_names(docs, ["row"])
+    marked = common.written(docs.withColumn(row, common.monotone()), "rows")
+    stay = exact_groups(marked, row).where("kept").select(F.col("row").alias(row))
+    return marked.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its group that stays."""
-    return exact_groups(common.documents(spark, sf_dir))
+    return exact_groups(common.documents(spark, sf_dir)).drop("row")
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}

@@ -142,29 +142,34 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 def pack(cut_docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (`length` long and any other columns).
+    """Adds sequence_id and offset to pieces (`length` long and any other columns); where
+    the input has such a column the new one gets underscores before its name.
 
     Ranks within a length are dealt out over salted groups, whose sizes are summed
     first, so a length that a third of all pieces have is not ranked in one task.
+    Pieces of one length may take each other's places; which takes which is settled by
+    their columns, and between pieces alike in all of them by chance.
     """
     spark = cut_docs.sparkSession
     names = cut_docs.columns
+    salt, count, before, rank, place, sequence, offset = common.free_names(cut_docs, ["salt", "count", "before", "rank", "place", "sequence_id", "offset"])
     salts = 4 * common.shuffle_width(spark)
-    flat = [c for c, kind in cut_docs.dtypes if not kind.startswith(("map", "variant"))]
-    salted = common.written(cut_docs.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in flat]), F.lit(salts)).cast("int")), "pieces")
-    sizes = common.written(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "sizes")
-    histogram = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    flat = [F.col(f"`{c}`") for c, kind in cut_docs.dtypes if not kind.startswith(("map", "variant"))]
+    salted = common.written(cut_docs.withColumn(salt, F.pmod(F.xxhash64(common.monotone()), F.lit(salts)).cast("int")), "pieces")
+    sizes = common.written(salted.groupBy("length", salt).agg(F.count("*").alias(count)), "sizes")
+    histogram = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum(count).alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[F.col(c) for c in flat])) - 1
-    ranked = salted.withColumn("_rank", rank.cast("long")).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    earlier = sizes.withColumn(before, F.sum(count).over(Window.partitionBy("length").orderBy(salt)) - F.col(count)).drop(count)
+    inside = F.row_number().over(Window.partitionBy("length", salt).orderBy(*flat)) - 1
+    ranked = salted.withColumn(rank, inside.cast("long")).join(earlier, ["length", salt]).withColumn(rank, F.col(rank) + F.col(before))
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         where, offset = places.value.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": where, "offset": offset})
 
-    return ranked.withColumn("_place", placed("length", "_rank")).select(*names, "_place.sequence_id", "_place.offset")
+    found = ranked.withColumn(place, placed("length", rank))
+    return found.select(*[F.col(f"`{c}`") for c in names], F.col(place)["sequence_id"].alias(sequence), F.col(place)["offset"].alias(offset))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

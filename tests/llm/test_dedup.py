@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,10 +14,10 @@ def test_trie_owners(texts, limit):
     trie, want, got = dedup.Patricia(limit), {}, {}
     out = []
     for i, t in enumerate(texts):
-        trie.insert(t.encode(), (-len(t), i, 1))
+        trie.insert(t.encode(), (-len(t), i, 0, 1))
         out += trie.spill()
-        w = want.setdefault(t.encode(), (-len(t), i, 0))
-        want[t.encode()] = (*w[:2], w[2] + 1)
+        w = want.setdefault(t.encode(), (-len(t), i, 0, 0))
+        want[t.encode()] = (*w[:3], w[3] + 1)
     for k, o in [*out, *trie.empty()]:
         got[k] = dedup.Patricia.merge(got[k], o) if k in got else o
     assert got == want
@@ -44,3 +45,38 @@ def test_rows_that_stay(spark, docs):
     plain = dedup.deduplicated(docs([(1, "a b"), (2, "ab"), (3, "c")]))
     assert sorted(r["doc_id"] for r in plain.collect()) == [1, 3]
     assert dedup.deduplicated(docs([])).count() == 0
+
+
+def survivors(rows):
+    """Of (doc_id, text, ...) rows with equal normalised texts: the longest, then the smallest id, null last."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append(r)
+    best = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    return sorted(((r[0], r[1]) for r in best), key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_survivors_with_repeated_ids_in_any_order(spark, parts):
+    rows = [(5, "ab"), (3, "ab"), (5, "zz"), (None, "q"), (7, "q"), (None, "q"), (9, "a b"), (4, "a b"), (9, "a b"), (2, None), (2, ""), (None, None)]
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        frame = spark.createDataFrame([(i, t, "keepme", 7, 8) for i, t in order], "doc_id long, text string, _row string, row long, n long").repartition(parts)
+        out = dedup.deduplicated(frame)
+        assert out.columns == frame.columns
+        got = out.collect()
+        assert {(r["_row"], r["row"], r["n"]) for r in got} == {("keepme", 7, 8)}
+        # rows 2/None and 2/"" tie in all that the rule names: either may stay
+        assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=str) == sorted(((i, t or "") for i, t in survivors(order)), key=str)
+
+
+def test_settled_strings_spill_between_keys(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = sorted({f"{'pre' * (i % 5)}{i}" for i in range(300)}, key=lambda t: (len(t), dedup._content_hash(t.encode())))
+    rows = [(len(t), dedup._content_hash(t.encode()), t.encode(), len(t) + k, 10 * i + k, k, 2) for i, t in enumerate(texts) for k in (1, 0)]
+    monkeypatch.setattr(dedup.Patricia.__init__, "__defaults__", (3000,))
+    names = ["length", "content_hash", "body", "code_points", "doc_id", "row", "n_rows"]
+    batches = [pa.RecordBatch.from_pydict({n: [r[j] for r in rows[i : i + 7]] for j, n in enumerate(names)}) for i in range(0, len(rows), 7)]
+    out = [r for b in dedup._final(iter(batches)) for r in b.to_pylist()]
+    want = {hashlib.sha256(t.encode()).hexdigest(): (10 * i + 1, 4) for i, t in enumerate(texts)}
+    assert len(out) == len(texts) and {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in out} == want

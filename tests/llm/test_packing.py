@@ -84,3 +84,13 @@ def test_memo_equals_library(name, spaced, text):
     tok = tokens.memo(path, spaced)
     for t in (text, text + "<|endoftext|> " + text):
         assert tok.encode([t, t])[1] == np.array(tok.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, 100 + i, "x", 1, 2, 3, 4, 5) for i in range(30)]
+    frame = spark.createDataFrame(rows + rows[:3], "doc_id long, length long, _salt string, salt long, count long, rank long, sequence_id long, offset long")
+    out = packing.pack(frame)
+    assert out.columns == [*frame.columns, "_sequence_id", "_offset"]
+    got = out.collect()
+    assert len(got) == 33 and {(r["_salt"], r["salt"], r["count"], r["rank"], r["sequence_id"], r["offset"]) for r in got} == {("x", 1, 2, 3, 4, 5)}
+    assert len({(r["_sequence_id"], r["_offset"]) for r in got}) == 33
