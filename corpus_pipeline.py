@@ -1,44 +1,69 @@
 """From raw documents to packed token sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
-all but the last return the columns of their input. The frame that drives the stages
-writes each result as Parquet and reads it again for the next.
+all but the last return the columns of their input, whatever they are. The caller writes
+each result as Parquet and reads it again for the next; a stage deletes the intermediate
+tables of the stage before it on the same tables (and no others), so a result must be
+written before the next stage is called.
+
+Null texts have no language and go in the first stage; rows with a null or repeated
+doc_id are judged as rows of their own, and the stages that choose between rows take the
+smallest id, null last. An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import common, dedup, jaccard, language, packing, toxicity
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """The stage with its scratch tables owned by the run over sf_dir."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        owner = f"pipeline {sf_dir}"
+        common.clear_scratch(spark, owner)
+        with common.owned(owner):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin stay."""
-    common.clear_scratch(spark)
     return language.accepted(docs)
 
 
+@stage
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic stay; labels come from the labels table."""
-    common.clear_scratch(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks, the longest original stays."""
-    common.clear_scratch(spark)
     return dedup.deduplicated(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
-    common.clear_scratch(spark)
     return jaccard.representatives(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, with their sequence and place."""
-    common.clear_scratch(spark)
     return packing.pack(packing.pieces(docs))
 
 
@@ -49,12 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = common.documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+    """All stages over the documents table. A stage's table goes when the next stage's is
+    written; what the last one reads lasts until the session ends."""
+    docs, before = common.documents(spark, sf_dir), None
+    for i, (_, f) in enumerate(STAGES):
+        out = f(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{common.shared_dir(spark)}/tallyforge-stage-{i}-{common.token()}"
+            path = common.scratch_path(spark, f"stage-{i}")
             out.write.parquet(path)
             docs = spark.read.schema(out.schema).parquet(path)
+            if before:
+                common.remove(spark, before)
+            before = path
     return out
