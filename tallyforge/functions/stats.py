@@ -1,4 +1,4 @@
-"""Statistics as Column expressions: quantiles in three definitions, intervals, ratios."""
+"""Statistics as Column expressions: intervals, ratios, exact tests, hashes."""
 
 from __future__ import annotations
 
@@ -8,23 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pct_cont(x: Column, q: float) -> Column:
-    """Aggregate: quantile at position (n - 1) q, interpolated."""
-    return F.percentile(x, F.lit(q))
-
-
-def pct_disc(x: Column, q: float) -> Column:
-    """Aggregate: nearest rank, the value of rank ceil(q n), in the type of x."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.greatest(F.ceil(F.lit(q) * F.size(values)).cast("int") - 1, F.lit(0)))
-
-
-def pct_floor(x: Column, q: float) -> Column:
-    """Aggregate: element floor(q n) of the sorted values, counted from 0 and clamped."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.least(F.size(values) - 1, F.floor(F.lit(q) * F.size(values)).cast("int")))
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -43,9 +26,12 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of b against c discordant pairs; 1 without any."""
     n, low = (b + c).cast("int"), F.least(b, c).cast("int")
+    choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda a, i: a * (n - k + i) / i)  # noqa: E731  whole numbers at every step
     log_choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.log(n - k + i) - F.log(i))
-    term = lambda k: F.exp(F.when(k > 0, log_choose(F.greatest(k, F.lit(1)))).otherwise(0.0) - n * math.log(2))
-    tail = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda a, k: a + term(k))
+    whole = lambda f, k, none: F.when(k > 0, f(F.greatest(k, F.lit(1)))).otherwise(none)
+    exact = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda a, k: a + whole(choose, k, 1.0)) / F.pow(F.lit(2.0), n)
+    by_logs = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda a, k: a + F.exp(whole(log_choose, k, 0.0) - n * math.log(2)))
+    tail = F.when(n <= 50, exact).otherwise(by_logs)  # up to 50 all sums are exact in doubles
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .quantiles import quantiles
 
 
 def folds(df: DataFrame, key: str, k: int, holdout: float, seed: str) -> DataFrame:
@@ -76,10 +77,11 @@ def gini_stump_tree(df: DataFrame, features: list[str], label: str, depth: int =
 
     Each level is one aggregate over all candidate cuts of all open nodes.
     """
-    q = df.select(*[F.percentile(F.col(f), F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])).alias(f) for f in features]).collect()[0]
+    shares = {f"q{i}": ("cont", (i + 1) / (cuts + 1)) for i in range(cuts)}
+    q = {f: [x for r in quantiles(df, [], f, shares).collect() for x in r] for f in features}  # one row each
     rows = df.withColumn("leaf", F.lit("")).withColumn("y", F.col(label).cast("double"))
     for _ in range(depth):
-        tests = [(f, float(c)) for f in features for c in sorted(set(q[f] or []))]
+        tests = [(f, float(c)) for f in features for c in sorted(set(q[f]))]
         exprs = [F.sum("y").alias("k"), F.count("*").alias("n")]
         for i, (f, c) in enumerate(tests):
             exprs += [F.sum(F.when(F.col(f) <= c, F.col("y"))).alias(f"k{i}"), F.count_if(F.col(f) <= c).alias(f"n{i}")]

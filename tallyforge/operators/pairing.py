@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .quantiles import quantiles
 
 
 def paired(base: DataFrame, arm: DataFrame, key: str) -> DataFrame:
@@ -24,10 +25,13 @@ def paired_statistics(pairs: DataFrame, passed: str, cost: str, digits: int = 6)
     only_b, only_a = F.count_if(bp & ~ap), F.count_if(ap & ~bp)
     both = bp & ap
     log_ratio = F.when(both, F.log(ac / bc))
-    p = pairs.where("state = 'paired'").agg(
+    whole = pairs.where("state = 'paired'")
+    middle = quantiles(whole.select(log_ratio.alias("l")), [], "l", {"median_log_ratio": ("cont", 0.5)})
+    p = whole.agg(
         n.alias("n"), F.count_if(bp).alias("base_passed"), F.count_if(ap).alias("arm_passed"), only_b.alias("base_only"), only_a.alias("arm_only"), F.count_if(both).alias("n_both"),
-        F.sum(bc).alias("base_total"), F.sum(ac).alias("arm_total"), F.avg(log_ratio).alias("log_ratio"), F.median(log_ratio).alias("median_log_ratio"),
+        F.sum(bc).alias("base_total"), F.sum(ac).alias("arm_total"), F.avg(log_ratio).alias("log_ratio"),
     )
+    p = p.join(middle, F.lit(True), "left")  # one row on either side
     low, high = stats.wilson(F.col("arm_passed"), F.col("n"))
     r = lambda c: F.round(c, digits)
     return p.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators.quantiles import quantiles, with_quantiles
 from ..sources.tables import table
 from .registry import Registry
 
@@ -84,10 +85,13 @@ SELECT o_orderpriority AS key, count(*) AS calls, count(*) FILTER (WHERE o_order
   round(median(o_totalprice), 4) AS med, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders GROUP BY 1""")
 def a8(spark, d) -> DataFrame:
     st = F.col("o_orderstatus")
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key")).agg(
+    o = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "key")
+    g = o.groupBy("key").agg(
         F.count("*").alias("calls"), F.count_if(st != "P").alias("resolved"), F.count_if(st == "F").alias("success"), F.count_if(st == "O").alias("failed"), F.count_if(st == "P").alias("unresolved"),
-        F.round(stats.ratio(F.count_if(st == "O"), F.count_if(st != "P")), 8).alias("fail_rate"), F.round(F.median("o_totalprice"), 4).alias("med"), F.round(stats.pct_cont(F.col("o_totalprice"), 0.95), 4).alias("p95"),
+        F.round(stats.ratio(F.count_if(st == "O"), F.count_if(st != "P")), 8).alias("fail_rate"),
     )
+    g = with_quantiles(g, o, ["key"], "o_totalprice", {"med": ("cont", 0.5), "p95": ("cont", 0.95)})
+    return g.withColumn("med", F.round("med", 4)).withColumn("p95", F.round("p95", 4))
 
 
 @R.add("a9_same_key_clusters", """
@@ -119,8 +123,8 @@ SELECT l_shipmode AS flag, round(quantile_cont(x, 0.5), 4) AS p50, round(quantil
 FROM (SELECT l_returnflag AS l_shipmode, l_extendedprice AS x FROM lineitem) GROUP BY 1""")
 def a12(spark, d) -> DataFrame:
     qs = (0.5, 0.9, 0.95, 0.99)
-    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile("l_extendedprice", F.array(*map(F.lit, qs))).alias("p"))
-    return p.select("flag", *[F.round(F.get("p", F.lit(i)), 4).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+    p = quantiles(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", {f"p{int(q * 100)}": ("cont", q) for q in qs})
+    return p.select("flag", *[F.round(c, 4).alias(c) for c in p.columns[1:]])
 
 
 @R.add("a13_median_of_session_rates", """
@@ -128,7 +132,8 @@ WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, avg(CASE WHEN event_
 SELECT day, count(*) AS sessions, round(median(rate), 8) AS rate FROM s GROUP BY 1""")
 def a13(spark, d) -> DataFrame:
     s = table(spark, d, "events").groupBy(day().alias("day"), "user_id").agg(F.avg((F.col("event_type") == "error").cast("double")).alias("rate"))
-    return s.groupBy("day").agg(F.count("*").alias("sessions"), F.round(F.median("rate"), 8).alias("rate"))
+    g = with_quantiles(s.groupBy("day").agg(F.count("*").alias("sessions")), s, ["day"], "rate", {"mid": ("cont", 0.5)})
+    return g.select("day", "sessions", F.round("mid", 8).alias("rate"))
 
 
 @R.add("a14_time_buckets", """
@@ -157,7 +162,9 @@ def a15(spark, d) -> DataFrame:
 SELECT c_mktsegment AS grp, round(avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 6) AS mean_pos, round(median(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 6) AS median_pos, count(*) AS n FROM customer GROUP BY 1""")
 def a16(spark, d) -> DataFrame:
     x = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.round(F.avg(x), 6).alias("mean_pos"), F.round(F.median(x), 6).alias("median_pos"), F.count("*").alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("grp"), x.alias("x"))
+    g = with_quantiles(c.groupBy("grp").agg(F.round(F.avg("x"), 6).alias("mean_pos"), F.count("*").alias("n")), c, ["grp"], "x", {"mid": ("cont", 0.5)})
+    return g.select("grp", "mean_pos", F.round("mid", 6).alias("median_pos"), "n")
 
 
 @R.add("a17_trace_counters", """
@@ -169,7 +176,7 @@ def a17(spark, d) -> DataFrame:
     t = F.col("event_type")
     return table(spark, d, "events").groupBy("user_id").agg(
         F.count_if(t == "error").alias("errors"), F.count_if(t == "click").alias("clicks"), F.round(F.sum(F.when(t == "purchase", F.col("value"))), 4).alias("spent"), F.sum(k).alias("k_sum"),
-        (F.size(F.sort_array(F.collect_list(F.when(t == "view", F.col("value"))))) > 0).alias("has_views"),
+        F.bool_or((t == "view") & F.col("value").isNotNull()).alias("has_views"),
     )
 
 
@@ -192,11 +199,9 @@ def a32(spark, d) -> DataFrame:
 SELECT lang, min(n_chars) AS least, quantile_disc(n_chars, 0.5) AS med, quantile_disc(n_chars, 0.9) AS p90, quantile_disc(n_chars, 0.99) AS p99, max(n_chars) AS most, round(avg(n_chars), 6) AS mean,
   round(avg(CASE WHEN n_chars > 4096 THEN 1.0 ELSE 0 END), 8) AS over_limit, list_sort(list(n_chars))[1 + least(count(*) - 1, CAST(floor(0.95 * count(*)) AS BIGINT))] AS p95_floor FROM documents GROUP BY 1""")
 def a33(spark, d) -> DataFrame:
-    x = F.col("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(
-        F.min(x).alias("least"), stats.pct_disc(x, 0.5).alias("med"), stats.pct_disc(x, 0.9).alias("p90"), stats.pct_disc(x, 0.99).alias("p99"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"),
-        F.round(F.avg((x > 4096).cast("double")), 8).alias("over_limit"), stats.pct_floor(x, 0.95).alias("p95_floor"),
-    )
+    x, t = F.col("n_chars"), table(spark, d, "documents").select("lang", "n_chars")
+    g = t.groupBy("lang").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"), F.round(F.avg((x > 4096).cast("double")), 8).alias("over_limit"))
+    return with_quantiles(g, t, ["lang"], "n_chars", {"med": ("disc", 0.5), "p90": ("disc", 0.9), "p99": ("disc", 0.99), "p95_floor": ("floor", 0.95)})
 
 
 @R.add("a34_class_table", """
@@ -238,7 +243,9 @@ def a38(spark, d) -> DataFrame:
 SELECT l_returnflag AS flag, round(sum(l_extendedprice) / sum(l_quantity), 6) AS of_sums, round(median(l_extendedprice / l_quantity), 6) AS of_ratios FROM lineitem GROUP BY 1""")
 def a40(spark, d) -> DataFrame:
     a, b = F.col("l_extendedprice"), F.col("l_quantity")
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.sum(a) / F.sum(b), 6).alias("of_sums"), F.round(F.median(a / b), 6).alias("of_ratios"))
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), a.alias("a"), b.alias("b"), (a / b).alias("r"))
+    g = with_quantiles(t.groupBy("flag").agg(F.round(F.sum("a") / F.sum("b"), 6).alias("of_sums")), t, ["flag"], "r", {"mid": ("cont", 0.5)})
+    return g.select("flag", "of_sums", F.round("mid", 6).alias("of_ratios"))
 
 
 @R.add("a41_shared_unit_size", """

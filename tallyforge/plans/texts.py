@@ -109,7 +109,8 @@ def x21(spark, d) -> DataFrame:
 
 
 @R.add("x22_common_prefix_of_versions", """
-SELECT a.doc_id, list_count([i for i in range(1, 200) if i <= least(length(a.text), length(b.text)) AND left(a.text, i) = left(b.text, i)]) AS prefix FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""".replace("list_count", "len"))
+WITH p AS (SELECT a.doc_id, string_split(a.text, '') AS x, string_split(b.text, '') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i]), true) - 1, least(len(x), len(y))) AS prefix FROM p""")
 def x22(spark, d) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "text")
     p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")

@@ -1,6 +1,7 @@
 import difflib
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import python_udfs as U
 from tallyforge.functions import search, stats
 from tallyforge.functions import text as T
-from tallyforge.operators import deltas
+from tallyforge.operators import deltas, quantiles
 
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("ab", max_size=4), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text("xy", min_size=1, max_size=2), x, max_size=3), max_leaves=12)
 
@@ -26,9 +27,23 @@ def test_textbook_statistics(spark):
 
 
 def test_quantile_definitions(spark):
-    x = F.col("id") + 1
-    r = spark.range(10).agg(stats.pct_disc(x, 0.9).alias("d"), stats.pct_floor(x, 0.9).alias("f"), stats.pct_cont(x, 0.9).alias("c"), stats.geomean(x).alias("g")).first()
-    assert (r["d"], r["f"]) == (9, 10) and abs(r["c"] - 9.1) < 1e-9 and abs(r["g"] - 3628800**0.1) < 1e-9
+    x = spark.range(10).select((F.col("id") + 1).alias("x"))
+    r = quantiles.quantiles(x, [], "x", {"d": ("disc", 0.9), "f": ("floor", 0.9), "c": ("cont", 0.9)}).first()
+    assert (r["d"], r["f"]) == (9, 10) and abs(r["c"] - 9.1) < 1e-9
+    assert abs(x.agg(stats.geomean(F.col("x"))).first()[0] - 3628800**0.1) < 1e-9
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, scale in (("a", 1e-3), ("b", 1e6), (None, 3.0)) for v in np.round(r.normal(size=257) * scale, 6)] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x["g"]: x for x in quantiles.quantiles(df, ["g"], "v", {"p5": ("cont", 0.05), "p50": ("cont", 0.5), "p99": ("cont", 0.99), "low": ("disc", 0.0), "top": ("floor", 1.0)}).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, x in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose([x["p5"], x["p50"], x["p99"]], np.percentile(own, [5, 50, 99]), rtol=1e-12) and (x["low"], x["top"]) == (min(own), max(own))
+    joined = quantiles.with_quantiles(df.groupBy("g").count(), df, ["g"], "v", {"m": ("cont", 0.5)}).collect()
+    assert len(joined) == 4 and [x["m"] for x in joined if x["g"] == "none"] == [None] and all(x["m"] is not None for x in joined if x["g"] != "none")
 
 
 def fuzzy(query, text):
