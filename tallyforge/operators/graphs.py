@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,12 @@ def root_paths(parents: DataFrame) -> DataFrame:
         reach = reach.join(reach.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")).checkpoint()
         step *= 2
     return out
+
+
+def fork_chain(forks: DataFrame) -> DataFrame:
+    """(node, ancestor, distance, limit) of a fork tree (node, parent, cut): what a node sees
+    of an ancestor ends at `limit`, the smallest cut on the way; null for the node itself."""
+    paths = root_paths(forks.select("node", "parent"))
+    cuts = paths.join(forks.select(F.col("node").alias("ancestor"), "cut"), "ancestor")
+    w = Window.partitionBy("node").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    return cuts.select("node", "ancestor", "distance", F.min("cut").over(w).alias("limit"))

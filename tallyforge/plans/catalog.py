@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "pairs", "sequences", "texts", "groups", "streams")
+MODULES = ("rollups", "pairs", "sequences", "texts", "groups", "streams", "logfiles", "contexts")
 
 
 def _of(kind: str) -> dict:
