@@ -124,28 +124,108 @@ def image_parts(c: Column) -> Column:
     return F.struct(F.when(has, first).alias("registry"), F.regexp_replace(rest, ":[^:/]+$", "").alias("repository"), F.when(tag == "", "latest").otherwise(tag).alias("tag"))
 
 
-#: First match wins, in this order.
-ERROR_CLASSES = (
-    ("timeout or killed", r"(?i)timed? ?out|killed|deadline exceeded"),
-    ("interpreter", r"(?i)command not found.*python|python: not found"),
-    ("program", r"(?i)command not found|is not recognized"),
-    ("module", r"(?i)ModuleNotFoundError|No module named|Cannot find module"),
-    ("permission", r"(?i)permission denied|EACCES|operation not permitted"),
-    ("network", r"(?i)connection refused|could not resolve|network is unreachable|ECONN"),
-    ("install", r"(?i)pip(3)? install.*error|npm ERR|unable to locate package"),
-    ("syntax", r"(?i)SyntaxError|syntax error|IndentationError"),
-    ("git", r"(?i)fatal: not a git|merge conflict|CONFLICT \("),
-    ("path", r"(?i)no such file or directory|ENOENT|FileNotFound"),
-    ("tests", r"(?i)[0-9]+ failed|AssertionError|FAILED"),
-    ("exception", r"(?i)Traceback|Exception|Error:"),
-)
-
-
-def error_class(c: Column) -> Column:
-    out = F.lit("nothing found")
-    for name, pattern in reversed(ERROR_CLASSES):
-        out = F.when(F.rlike(c, F.lit(pattern)), name).otherwise(out)
-    return F.when(c.isNull(), "malformed").otherwise(out)
+#: What an output says of the class of its error. They are tried in this
+#: order, with the conditions of error_class() between them.
+INTERPRETER = r"(?m)(?:^|: )(python|pip): command not found|/usr/bin/env: .?(python|node)\b.?: No such file|cannot execute: required file not found|bad interpreter"
+PROGRAM = r"(?m)(?:^|: )[^\s:/]+: command not found|^(?:/bin/)?sh: \d+: [^\s:/]+: not found"
+MODULE = r"No module named|Cannot find module '|cannot find -l[\w+-]+|error while loading shared libraries|there is no package called"
+NETWORK = r"(?i)Could not resolve host|Temporary failure in name resolution|Network is unreachable|Failed to connect|Connection refused|Connection timed out|HTTP Error \d+|curl: \(\d+\)|Max retries exceeded|No matching distribution found|Read timed out"
+INSTALL = r"externally-managed-environment|Unable to locate package|has no installation candidate|No package .* available"
+SYNTAX = r"(?m)^\s*(SyntaxError|IndentationError|TabError)\b|syntax error near unexpected token|unexpected EOF while looking for|undefined reference to|parse error"
+TESTS = r"(?mi)\b[1-9]\d* failed\b|^FAILED\b|^FAIL\b|AssertionError|tests? failed|assertion .*failed"
+RUNTIME = r"(?m)Traceback \(most recent call last\)|Segmentation fault|core dumped|panicked at|Exception in thread|Uncaught|^\w*Error\b|^ERROR\b|^error\b|Aborted"
+EXCEPTION = r"(?m)^([A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt|Warning|error))(?::\s?.*)?$"
+
+
+def error_class(output: Column, command: Column, code: Column) -> Column:
+    """One of 12 classes, `malformed`, or `nothing found`, from a failed call's output, its
+    command and its exit code (null where unknown); the first that fits. The last exception
+    that the output names decides before its text does."""
+    has = lambda p: F.rlike(output, F.lit(p))
+    exits = lambda *codes: F.coalesce(code.isin(*codes), F.lit(False))
+    exc = F.try_element_at(F.regexp_extract_all(output, F.lit(EXCEPTION), F.lit(1)), F.lit(-1))
+    named = lambda *names: F.coalesce(exc.isin(*names), F.lit(False))
+    return (
+        F.when(output.startswith("Validation failed for tool"), "malformed")
+        .when(output.contains("Command timed out after") | exits(124, 137, 143) | has(r"(?m)^Killed\b"), "timeout or killed")
+        .when(has(INTERPRETER), "interpreter").when(has(PROGRAM), "program").when(named("ModuleNotFoundError") | has(MODULE), "module")
+        .when(output.contains("Permission denied"), "permission").when(has(NETWORK), "network").when(has(INSTALL), "install")
+        .when(named("SyntaxError", "IndentationError", "TabError") | (exc.isNull() & has(SYNTAX)), "syntax")
+        .when(has("(?m)^fatal: ") & command.contains("git"), "git")
+        .when(named("FileNotFoundError", "NotADirectoryError") | (exc.isNull() & (output.contains("No such file or directory") | output.contains("Directory nonexistent"))), "path")
+        .when(named("AssertionError") | has(TESTS), "tests").when(exc.isNotNull() | has(RUNTIME) | exits(134, 136, 139, 6), "exception").otherwise("nothing found")
+    )
+
+
+#: What stands before a program, and a redirection into a file.
+WRAPPERS = r"^(?:\s*(?:sudo|time|timeout\s+\S+|env|nice|stdbuf\s+\S+|\w+=(?:\"[^\"]*\"|'[^']*'|\S*))\s+)*"
+INTO_FILE = r"(?<![0-9&])>{1,2}\s*(?!&|/dev/)[^\s>&]"
+
+#: Program -> intent of its command part.
+INTENTS = {
+    "read": ("cat", "head", "tail", "sed", "less", "wc"), "list": ("ls", "tree", "du", "stat", "find", "fd"), "search": ("grep", "rg", "ag", "locate", "which"), "history": ("git",),
+    "test": ("pytest", "tox", "nosetests", "unittest"), "run": ("python", "python3", "node", "bash", "sh"), "build": ("make", "cmake", "gcc", "cargo"),
+    "package": ("pip", "pip3", "uv", "conda", "apt-get", "apt", "npm", "yarn"), "network": ("curl", "wget"), "docs": ("man", "info"), "neutral": ("cd", "echo", "export", "true", "sleep"),
+}
+
+
+def program(part) -> Column:
+    """The program that a simple command runs, after wrappers and assignments."""
+    return F.regexp_extract(F.regexp_replace(part, WRAPPERS, ""), r"^\s*(\S+)", 1)
+
+
+def writes_file(part: Column) -> Column:
+    """Whether a simple command redirects its output into a file."""
+    return F.rlike(part, F.lit(INTO_FILE))
+
+
+def intent(part: Column) -> Column:
+    """What a simple command is for; one that writes a file is a write."""
+    name = F.substring_index(program(part), "/", -1)
+    out = F.lit("other")
+    for kind, programs in INTENTS.items():
+        out = F.when(name.isin(*programs), kind).otherwise(out)
+    return F.when(writes_file(part), "write").otherwise(out)
+
+
+def _fitting(lines: Column, most_lines: int, most_bytes: int) -> Column:
+    """struct(lines, bytes): how many of the first lines fit, and their bytes with line ends between."""
+    start = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        size = s["bytes"] + F.octet_length(x) + F.when(s["lines"] > 0, 1).otherwise(0)
+        fits = s["open"] & (s["lines"] < most_lines) & (size <= most_bytes)
+        return F.struct(F.when(fits, s["lines"] + 1).otherwise(s["lines"]).alias("lines"), F.when(fits, size.cast("long")).otherwise(s["bytes"]).alias("bytes"), fits.alias("open"))
+
+    return F.aggregate(lines, start, step)
+
+
+def head_by_lines_and_bytes(c: Column, most_lines: int, most_bytes: int) -> Column:
+    """struct(lines, bytes, cut_by) of the whole lines kept from the start; cut_by is whole, lines or bytes."""
+    every = F.split(c, "\n")
+    s = _fitting(every, most_lines, most_bytes)
+    cut = F.when((F.size(every) <= most_lines) & (F.octet_length(c) <= most_bytes), "whole").when(s["lines"] < F.least(F.size(every), F.lit(most_lines)), "bytes").otherwise("lines")
+    return F.struct(s["lines"].alias("lines"), s["bytes"].alias("bytes"), cut.alias("cut_by"))
+
+
+def tail_by_lines_and_bytes(c: Column, most_lines: int, most_bytes: int) -> Column:
+    """struct(lines, bytes) of the whole lines kept from the end."""
+    s = _fitting(F.reverse(F.split(c, "\n")), most_lines, most_bytes)
+    return F.struct(s["lines"].alias("lines"), s["bytes"].alias("bytes"))
+
+
+def base_image(c: Column) -> Column:
+    """The image of a build file's first FROM line, without its name for later stages."""
+    return F.regexp_extract(c, r"(?mi)^FROM\s+(?:--\S+\s+)?(\S+)", 1)
+
+
+def build_prefix_hash(c: Column) -> Column:
+    """SHA-256 of the lines before the first COPY or ADD, without comments, blank lines and stage names."""
+    lines = F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
+    step = lambda s, x: F.struct(F.when(s["open"] & ~F.rlike(x, F.lit(r"(?i)^\s*(COPY|ADD)\s")), F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"), (s["open"] & ~F.rlike(x, F.lit(r"(?i)^\s*(COPY|ADD)\s"))).alias("open"))
+    kept = F.transform(F.aggregate(lines, start, step)["kept"], lambda x: F.regexp_replace(x, r"(?i)^(FROM\s+\S+)\s+AS\s+\S+\s*$", "$1"))
+    return F.sha2(F.array_join(kept, "\n").cast("binary"), 256)
 
 
 def test_counts(c: Column) -> Column:

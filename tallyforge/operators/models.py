@@ -96,3 +96,34 @@ def gini_stump_tree(df: DataFrame, features: list[str], label: str, depth: int =
             name = F.when(F.col("leaf") == at, F.concat(F.lit(at), F.when(F.col(f) <= c, F.lit(f"[{f}<={c:g}]")).otherwise(F.lit(f"[{f}>{c:g}]")))).otherwise(name)
         rows = rows.withColumn("leaf", name)
     return rows.groupBy("leaf").agg(F.count("*").alias("n"), ((F.sum("y") + 1) / (F.count("*") + 2)).alias("rate"))
+
+
+def cells_out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, pseudo: float = 5.0) -> DataFrame:
+    """df with `p`: the label's rate in the row's cell over the other folds, with `pseudo`
+    rows at those folds' overall rate. Cells and folds are summed, rows are never paired."""
+    cells = df.groupBy(fold, *features).agg(F.sum(label).alias("k"), F.count("*").alias("n"))
+    own = Window.partitionBy(*features)
+    rest = cells.select(fold, *features, (F.sum("k").over(own) - F.col("k")).alias("k"), (F.sum("n").over(own) - F.col("n")).alias("n"))
+    folds_ = df.groupBy(fold).agg(F.sum(label).alias("fk"), F.count("*").alias("fn"))
+    every = Window.partitionBy()
+    prior = folds_.select(fold, ((F.sum("fk").over(every) - F.col("fk")) / (F.sum("fn").over(every) - F.col("fn"))).alias("prior"))  # a row a fold
+    rate = rest.join(prior, fold).select(fold, *features, ((F.col("k") + pseudo * F.col("prior")) / (F.col("n") + pseudo)).alias("p"))
+    return df.join(rate, [fold, *features])
+
+
+def forward_selection(df: DataFrame, features: list[str], label: str, fold: str, make, gain: float = 0.0005) -> list[tuple[str, float]]:
+    """(feature, loss) in the order in which they are taken: each step tries every feature
+    that is left and keeps the one with the smallest cross-validated log-loss, while that
+    falls by `gain` at least. make(df, features, label, fold) adds out-of-fold rates `p`;
+    a try is one aggregate. Features must not be null."""
+    taken: list[tuple[str, float]] = []
+    best = make(df, [], label, fold).agg(log_loss(F.col("p"), F.col(label))).first()[0]
+    while len(taken) < len(features):
+        held = [f for f, _ in taken]
+        losses = [(make(df, [*held, f], label, fold).agg(log_loss(F.col("p"), F.col(label))).first()[0], f) for f in features if f not in held]
+        loss, name = min(losses)
+        if best is None or loss > best - gain:
+            break
+        best = loss
+        taken.append((name, loss))
+    return taken

@@ -41,6 +41,29 @@ def paired_statistics(pairs: DataFrame, passed: str, cost: str, digits: int = 6)
     )
 
 
+#: Measures of one pair, in the order of pair_measures().
+MEASURES = (
+    "n", "base_pass", "arm_pass", "base_only", "arm_only", "bs_n", "bs_base_wall", "bs_arm_wall", "bs_logw", "bs_model_n", "bs_base_model", "bs_arm_model", "bs_logm", "solved_both", "both_logw",
+    "base_wall", "arm_wall", "model_n", "base_model", "arm_model", "model_zero", "all_logw",
+)
+
+
+def pair_measures(pairs: DataFrame, passed: str, wall: str, model: str) -> DataFrame:
+    """pairs with MEASURES: flags as 0 or 1, times of both sides where the baseline passed
+    (bs_*), where both did, and of all pairs; logarithms of arm over base are null where
+    their condition fails. The model times may be null on either side."""
+    bp, ap, bw, aw, bm, am = (F.col(f"{side}_{c}") for c in (passed, wall, model) for side in ("base", "arm"))
+    has = bm.isNotNull() & am.isNotNull()
+    zero = has & ((bm <= 0) | (am <= 0))
+    flag = lambda c: c.cast("int")
+    made = (
+        F.lit(1), flag(bp), flag(ap), flag(bp & ~ap), flag(ap & ~bp), flag(bp), F.when(bp, bw).otherwise(0.0), F.when(bp, aw).otherwise(0.0), F.when(bp, F.log(aw / bw)), flag(bp & has), F.when(bp & has, bm).otherwise(0.0), F.when(bp & has, am).otherwise(0.0), F.when(bp & has & ~zero, F.log(am / bm)),
+        flag(bp & ap), F.when(bp & ap, F.log(aw / bw)), bw, aw, flag(has), F.when(has, bm).otherwise(0.0), F.when(has, am).otherwise(0.0), flag(zero), F.log(aw / bw),
+    )
+    taken = [c for c in pairs.columns if c not in MEASURES]
+    return pairs.select(*taken, *[c.alias(n) for n, c in zip(MEASURES, made, strict=True)])
+
+
 def draw(replicate: Column, slot: Column, n: Column, seed: int) -> Column:
     """A cluster number below n, drawn by SHA-256 of (seed, replicate, slot)."""
     text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))

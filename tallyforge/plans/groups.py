@@ -193,34 +193,6 @@ def m6(spark, d) -> DataFrame:
     return models.auc(labelled(spark, d), "n_chars", "quality").select(F.round("auc", 9).alias("auc"))
 
 
-@R.add("m8_policy_sweep", """
-WITH p AS (SELECT unnest(range(0, 5000, 250)) AS cut), l AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id))
-SELECT cut, count(*) FILTER (WHERE n_chars < cut) AS stopped, count(*) FILTER (WHERE n_chars < cut AND quality = 1) AS lost, round(sum(least(n_chars, cut)) / sum(n_chars), 8) AS cost FROM p, l GROUP BY 1""")
-def m8(spark, d) -> DataFrame:
-    cut = F.explode(F.sequence(F.lit(0), F.lit(4750), F.lit(250))).alias("cut")
-    x = labelled(spark, d).select("n_chars", "quality", cut)
-    below = F.col("n_chars") < F.col("cut")
-    return x.groupBy(F.col("cut").cast("long").alias("cut")).agg(F.count_if(below).alias("stopped"), F.count_if(below & (F.col("quality") == 1)).alias("lost"), F.round(F.sum(F.least("n_chars", F.col("cut").cast("long"))) / F.sum("n_chars"), 8).alias("cost"))
-
-
-@R.add("m9_threshold_sweep", """
-WITH t AS (SELECT unnest(range(1, 10)) AS k), l AS (SELECT least(n_chars / 5000.0, 1) AS p, toxic FROM labels JOIN documents USING (doc_id))
-SELECT k, count(*) FILTER (WHERE p >= k / 10) AS chosen, count(*) FILTER (WHERE p >= k / 10 AND toxic = 0) AS good, count(*) FILTER (WHERE p >= k / 10) - 3 * count(*) FILTER (WHERE p >= k / 10 AND toxic = 1) AS net FROM t, l GROUP BY 1""")
-def m9(spark, d) -> DataFrame:
-    p = F.least(F.col("n_chars") / 5000.0, F.lit(1.0))
-    x = labelled(spark, d).select(p.alias("p"), "toxic", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"))
-    on = F.col("p") >= F.col("k") / 10
-    chosen, bad = F.count_if(on), F.count_if(on & (F.col("toxic") == 1))
-    return x.groupBy(F.col("k").cast("long").alias("k")).agg(chosen.alias("chosen"), F.count_if(on & (F.col("toxic") == 0)).alias("good"), (chosen - 3 * bad).alias("net"))
-
-
-@R.add("m10_prediction_comparison", """
-SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels""")
-def m10(spark, d) -> DataFrame:
-    a, b = F.col("quality"), F.col("toxic")
-    return table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if(a == b).alias("same"), F.count_if((a == 1) & (b == 0)).alias("only_a"), F.count_if((a == 0) & (b == 1)).alias("only_b"))
-
-
 @R.add("a43_least_squares", """
 SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")
 def a43(spark, d) -> DataFrame:
@@ -259,28 +231,6 @@ def f9(spark, d) -> DataFrame:
     return incarnations(spark, d).where("created <= 500 and (retired is null or 500 < retired)").select("user_id", "created")
 
 
-@R.add("d5_base_and_deltas", """
-WITH b AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'signup') AS base FROM events GROUP BY 1)
-SELECT user_id, base, round(max(value) FILTER (WHERE event_id = base) + coalesce(sum(CASE WHEN event_type = 'purchase' THEN -value ELSE value END) FILTER (WHERE event_id > base), 0), 4) AS balance FROM events JOIN b USING (user_id) WHERE base IS NOT NULL GROUP BY 1, 2""")
-def d5(spark, d) -> DataFrame:
-    """The newest base, then the deltas after it, folded."""
-    return materialised(table(spark, d, "events"))
-
-
-def materialised(log: DataFrame, at: int | None = None) -> DataFrame:
-    log = log if at is None else log.where(F.col("event_id") <= at)
-    w = Window.partitionBy("user_id")
-    base = F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).over(w)
-    t = log.withColumn("base", base).where("base is not null and event_id >= base")
-    delta = F.when(F.col("event_id") == F.col("base"), F.col("value")).when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value"))
-    return t.groupBy("user_id", "base").agg(F.round(F.sum(delta), 4).alias("balance"))
-
-
-@R.add("d6_as_of_snapshot", R.sql["d5_base_and_deltas"].replace("FROM events GROUP BY 1)", "FROM events WHERE event_id <= 700 GROUP BY 1)").replace("WHERE base IS NOT NULL", "WHERE base IS NOT NULL AND event_id <= 700"))
-def d6(spark, d) -> DataFrame:
-    return materialised(table(spark, d, "events"), 700)
-
-
 @R.add("d9_context_projection", """
 WITH h AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'user') AS head FROM conversations GROUP BY 1)
 SELECT conv_id, turn, CASE WHEN length(text) > 1000 THEN '[replaced]' ELSE role END AS shown FROM conversations JOIN h USING (conv_id) WHERE turn >= head - 2 AND role <> 'system'""")

@@ -167,19 +167,6 @@ def a16(spark, d) -> DataFrame:
     return g.select("grp", "mean_pos", F.round("mid", 6).alias("median_pos"), "n")
 
 
-@R.add("a17_trace_counters", """
-SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS clicks, round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS spent,
-  CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k_sum, array_to_string(list_sort(list(value) FILTER (WHERE event_type = 'view')), ',') IS NOT NULL AS has_views FROM events GROUP BY 1""")
-def a17(spark, d) -> DataFrame:
-    """Per user: conditional counts and sums, a map of counts kept as columns, a list of values."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    t = F.col("event_type")
-    return table(spark, d, "events").groupBy("user_id").agg(
-        F.count_if(t == "error").alias("errors"), F.count_if(t == "click").alias("clicks"), F.round(F.sum(F.when(t == "purchase", F.col("value"))), 4).alias("spent"), F.sum(k).alias("k_sum"),
-        F.bool_or((t == "view") & F.col("value").isNotNull()).alias("has_views"),
-    )
-
-
 @R.add("a18_fieldwise_sum", """
 SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal), 4) AS balance, array_to_string(list_sort(list(c_custkey)), ',') AS keys FROM customer GROUP BY 1""")
 def a18(spark, d) -> DataFrame:

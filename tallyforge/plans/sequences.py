@@ -55,15 +55,6 @@ def w2(spark, d) -> DataFrame:
     return o.where("event_type <> 'purchase'").select("event_id", at.alias("distance")).where("distance > 0")
 
 
-@R.add("w3_stuck_outputs", """
-WITH o AS (SELECT event_id, value AS a, lag(value) OVER w AS b, lag(value, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id FROM o WHERE abs(a - b) < 2 AND abs(b - c) < 2 AND abs(a - c) < 2""")
-def w3(spark, d) -> DataFrame:
-    o = events(spark, d).select("event_id", F.col("value").alias("a"), F.lag("value").over(by_user()).alias("b"), F.lag("value", 2).over(by_user()).alias("c"))
-    near = lambda x, y: F.abs(F.col(x) - F.col(y)) < 2
-    return o.where(near("a", "b") & near("b", "c") & near("a", "c")).select("event_id")
-
-
 @R.add("w4_failed_in_a_row", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_type = 'error' AND p = 'error'")
 def w4(spark, d) -> DataFrame:
     two = F.min((F.col("event_type") == "error").cast("int")).over(by_user().rowsBetween(-1, 0))
@@ -236,14 +227,6 @@ def a47(spark, d) -> DataFrame:
     return r.groupBy("user_id", "event_type", "g").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"), F.sum(F.col("n") - 1).alias("forced"))
 
 
-@R.add("a48_combined_saving", """
-SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value WHEN event_type = 'click' THEN value / 2 ELSE 0 END + CASE WHEN json_extract(props, '$.k') > 90 THEN 1 ELSE 0 END), 4) AS saving FROM events GROUP BY 1""")
-def a48(spark, d) -> DataFrame:
-    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
-    x = F.when(t == "purchase", F.col("value")).when(t == "click", F.col("value") / 2).otherwise(0.0) + F.when(k > 90, 1).otherwise(0)
-    return events(spark, d).groupBy("user_id").agg(F.round(F.sum(x), 4).alias("saving"))
-
-
 @R.add("a49_agreement_rates", """
 SELECT round(avg(CASE WHEN a.event_type = b.event_type THEN 1.0 ELSE 0 END), 8) AS agreement, round(avg(CASE WHEN a.event_type = c.event_type THEN 1.0 ELSE 0 END), 8) AS self_agreement
 FROM events a JOIN events b ON b.event_id = a.event_id + 1 JOIN events c ON c.event_id = a.event_id + 2""")

@@ -77,15 +77,6 @@ def x10(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.normalised_command(F.col("text")).alias("command"))
 
 
-@R.add("x12_error_classes", r"""
-SELECT item_id, CASE WHEN regexp_matches(x, '(?i)timed? ?out|killed|deadline exceeded') THEN 'timeout or killed' WHEN regexp_matches(x, '(?i)permission denied') THEN 'permission'
-  WHEN regexp_matches(x, '(?i)no such file') THEN 'path' WHEN regexp_matches(x, '(?i)Traceback') THEN 'exception' ELSE 'nothing found' END AS class
-FROM (SELECT item_id, text || ['', ' Killed', ' Permission denied', ' No such file or directory', ' Traceback'][1 + item_id % 5] AS x FROM benchmark)""")
-def x12(spark, d) -> DataFrame:
-    tails = F.array(*map(F.lit, ("", " Killed", " Permission denied", " No such file or directory", " Traceback")))
-    return table(spark, d, "benchmark").select("item_id", T.error_class(F.concat("text", F.get(tails, (F.col("item_id") % 5).cast("int")))).alias("class"))
-
-
 @R.add("x13_command_keys", r"SELECT doc_id, regexp_extract(lower(text), '^\s*(\S+)(\s+[a-z]+)?', 1) || coalesce(regexp_extract(lower(text), '^\s*\S+(\s+[a-z]+)', 1), '') AS key FROM documents")
 def x13(spark, d) -> DataFrame:
     low = F.lower("text")
@@ -122,15 +113,6 @@ def x23(spark, d) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"))
 
 
-@R.add("x26_runaway_lines", """
-WITH l AS (SELECT doc_id, text, unnest(list_reverse(string_split(text, chr(10)))[1:60]) AS line FROM documents), c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2) GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) >= 3 AS repeated FROM documents LEFT JOIN c USING (doc_id) WHERE length(text) >= 500""")
-def x26(spark, d) -> DataFrame:
-    rows = F.filter(F.slice(F.reverse(F.split("text", "\n")), 1, 60), lambda x: F.trim(x) != "")
-    again = F.exists(F.array_distinct(rows), lambda x: F.size(F.filter(rows, lambda y: y == x)) >= 3)
-    return table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", again.alias("repeated"))
-
-
 @R.add("x33_hash_fraction", "SELECT doc_id, CAST('0x' || substr(sha256('3:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents")
 def x33(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", stats.hash_fraction(F.concat(F.lit("3:"), F.col("doc_id").cast("string"))).alias("u"))
@@ -159,15 +141,6 @@ def x37(spark, d) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@R.add("x39_image_references", """
-WITH i(x) AS (VALUES ('ubuntu'), ('ghcr.io/a/b:1.2'), ('localhost/x/y'), ('repo/name:tag'), ('host:5000/z'))
-SELECT x, CASE WHEN contains(x, '/') AND (contains(split_part(x, '/', 1), '.') OR contains(split_part(x, '/', 1), ':') OR split_part(x, '/', 1) = 'localhost') THEN split_part(x, '/', 1) END AS registry,
-  regexp_replace(CASE WHEN registry IS NOT NULL THEN substr(x, length(registry) + 2) ELSE x END, ':[^:/]+$', '') AS repository, coalesce(nullif(regexp_extract(CASE WHEN registry IS NOT NULL THEN substr(x, length(registry) + 2) ELSE x END, ':([^:/]+)$', 1), ''), 'latest') AS tag FROM i""")
-def x39(spark, d) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("ubuntu", "ghcr.io/a/b:1.2", "localhost/x/y", "repo/name:tag", "host:5000/z")], "x string")
-    return rows.select("x", T.image_parts(F.col("x")).alias("p")).select("x", "p.registry", "p.repository", "p.tag")
-
-
 @R.add("x42_log_loss", """
 SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) AS loss FROM (SELECT quality AS y, least(greatest(n_chars / 5000.0, 1e-6), 1 - 1e-6) AS p FROM labels JOIN documents USING (doc_id))""")
 def x42(spark, d) -> DataFrame:
