@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import graphs, models
+from ..operators import graphs, models, similarity
 from ..sources.tables import table
 from .registry import Registry
 
@@ -18,33 +18,37 @@ def _hash(seed: str, c) -> F.Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"), 256)
 
 
-@R.add("g1_components_of_copies", """
-WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a, min(doc_id) OVER (PARTITION BY source, n_chars) AS b FROM documents WHERE n_chars > 400),
-RECURSIVE_EDGES AS (SELECT doc_id AS x, a AS y FROM g UNION SELECT a, doc_id FROM g UNION SELECT doc_id, b FROM g UNION SELECT b, doc_id FROM g)
-SELECT 1""")
-def g1(spark, d) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
-    rule = lambda *k: t.withColumn("b", F.min("doc_id").over(Window.partitionBy(*k))).select(F.col("doc_id").alias("a"), "b")
-    out = graphs.components(rule("text").unionByName(rule("source", "n_chars")), t.select(F.col("doc_id").alias("node")))
-    return out.select(F.col("node").alias("doc_id"), "component")
+_RULES = """g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a, min(doc_id) OVER (PARTITION BY source, n_chars) AS b FROM documents)"""
 
 
-R.sql["g1_components_of_copies"] = """
-WITH RECURSIVE g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a, min(doc_id) OVER (PARTITION BY source, n_chars) AS b FROM documents WHERE n_chars > 400),
-e AS (SELECT doc_id AS x, a AS y FROM g UNION SELECT a, doc_id FROM g UNION SELECT doc_id, b FROM g UNION SELECT b, doc_id FROM g),
+@R.add("g1_components_of_copies", f"""
+WITH RECURSIVE {_RULES}, e AS (SELECT doc_id AS x, a AS y FROM g UNION SELECT a, doc_id FROM g UNION SELECT doc_id, b FROM g UNION SELECT b, doc_id FROM g),
 r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-SELECT x AS doc_id, min(y) AS component FROM r GROUP BY 1"""
+SELECT x AS doc_id, min(y) AS component FROM r GROUP BY 1""")
+def g1(spark, d) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text"), "source", "n_chars")
+    sized = F.when(F.col("source").isNotNull() & F.col("n_chars").isNotNull(), F.concat_ws(":", F.col("n_chars").cast("string"), "source"))
+    edges = graphs.alike(t, "doc_id", F.col("text")).unionByName(graphs.alike(t, "doc_id", sized))
+    out = graphs.components(edges, t.select(F.col("doc_id").alias("node")))
+    return out.select(F.col("node").alias("doc_id"), "component")
 
 
 @R.add("g2_link_union", """
-SELECT DISTINCT rule, a, b FROM (SELECT 'text' AS rule, x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id
-UNION ALL SELECT 'size', x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.source = y.source AND x.n_chars = y.n_chars AND x.doc_id < y.doc_id)""")
+WITH k AS (SELECT doc_id, 'text' AS rule, text AS key FROM documents UNION ALL SELECT doc_id, 'name', lower(regexp_extract(text, '[A-Za-z]+', 0)) || ':' || n_chars FROM documents UNION ALL SELECT doc_id, 'topic', left(text, 40) FROM documents
+  UNION ALL SELECT doc_id, 'exercise', source || ':' || n_chars FROM documents UNION ALL SELECT doc_id, 'family', right(text, 40) FROM documents UNION ALL SELECT doc_id, 'hand', CASE WHEN doc_id IN (3, 5, 8) THEN 'list' END FROM documents)
+SELECT rule, doc_id AS a, min(doc_id) OVER (PARTITION BY rule, key) AS b FROM k WHERE key IS NOT NULL QUALIFY a <> b""")
 def g2(spark, d) -> DataFrame:
-    t = table(spark, d, "documents")
-    def pairs(rule, *k):
-        x, y = (t.select(*k, F.col("doc_id").alias(n)) for n in ("a", "b"))
-        return x.join(y, list(k)).where("a < b").select(F.lit(rule).alias("rule"), "a", "b")
-    return pairs("text", "text").unionByName(pairs("size", "source", "n_chars")).distinct()
+    """Links by six rules (text, name, topic, exercise, family, a list made by hand): each
+    document to the smallest of its rule and key, so a key of n documents gives n - 1 links."""
+    t = table(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
+    size = F.col("n_chars").cast("string")
+    keys = {
+        "text": F.sha2("text", 256), "name": F.concat(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lit(":"), size), "topic": F.left("text", F.lit(40)), "exercise": F.concat("source", F.lit(":"), size),
+        "family": F.right("text", F.lit(40)), "hand": F.when(F.col("doc_id").isin(3, 5, 8), "list"),
+    }
+    rows = t.select(F.col("doc_id").alias("a"), F.explode(F.create_map(*[x for rule, c in keys.items() for x in (F.lit(rule), c)])).alias("rule", "key")).where("key is not null")
+    least = rows.groupBy("rule", "key").agg(F.min("a").alias("b"))
+    return rows.join(least, ["rule", "key"]).where("a <> b").select("rule", "a", "b")
 
 
 @R.add("g3_group_side_by_precedence", """
@@ -54,9 +58,18 @@ def g3(spark, d) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(side.alias("side"), F.count("*").alias("n"))
 
 
+#: Groups of one greedy draw; they are folded in one task.
+MOST_GROUPS = 1_000_000
+
+
 def greedy_draw(groups: DataFrame, key: str, size: str, target: int, seed: str) -> DataFrame:
     """Whole groups in hash order while they fit the target; one that would overshoot is
-    skipped. The fold runs over the group sizes only, in one aggregate: groups are few."""
+    skipped. Whether a group is taken depends on all before it, so the fold runs in one
+    aggregate over the group sizes (16 bytes of hash and a size each), of which there may be
+    MOST_GROUPS; more raise."""
+    n = groups.count()
+    if n > MOST_GROUPS:
+        raise ValueError(f"{n} groups; a draw takes {MOST_GROUPS} at most")
     packed = groups.groupBy().agg(F.sort_array(F.collect_list(F.struct(_hash(seed, F.col(key)).alias("h"), F.col(key).alias("k"), F.col(size).cast("long").alias("n")))).alias("g"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<{dict(groups.dtypes)[key]}>").alias("taken"))
     fold = F.aggregate("g", start, lambda s, x: F.when(s["sum"] + x["n"] <= target, F.struct((s["sum"] + x["n"]).alias("sum"), F.concat(s["taken"], F.array(x["k"])).alias("taken"))).otherwise(s))
@@ -94,15 +107,40 @@ def g9(spark, d) -> DataFrame:
     return models.folds(table(spark, d, "labels").select("doc_id"), "doc_id", 5, 0.2, "2")
 
 
+@R.add("g6_whole_family_sample", """
+WITH RECURSIVE c AS (SELECT lang || ':' || source AS family, count(*) AS n FROM documents GROUP BY 1), g AS (SELECT family, n, row_number() OVER (ORDER BY sha256('3:' || family)) AS i FROM c),
+f AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS s, '' AS family, false AS took UNION ALL SELECT g.i, CASE WHEN f.s + g.n <= 100 THEN f.s + g.n ELSE f.s END, g.family, f.s + g.n <= 100 FROM f JOIN g ON g.i = f.i + 1)
+SELECT doc_id FROM documents WHERE lang || ':' || source IN (SELECT family FROM f WHERE took)""")
+def g6(spark, d) -> DataFrame:
+    """All rows of whole families in hash order, a family that would overshoot the cap left out."""
+    t = table(spark, d, "documents").select("doc_id", F.concat_ws(":", "lang", "source").alias("family"))
+    return sampled_families(t, "family", 100, "3").select("doc_id")
+
+
+def sampled_families(rows: DataFrame, family: str, target: int, seed: str, exact: bool = False) -> DataFrame:
+    """Rows of whole families, `target` at most; exact raises where the target is not met."""
+    sizes = rows.groupBy(family).agg(F.count("*").alias("n"))
+    taken = greedy_draw(sizes, family, "n", target, seed)
+    if exact:
+        got = sizes.join(taken, family, "left_semi").agg(F.sum("n").alias("n")).first()["n"] or 0
+        if got != target:
+            raise ValueError(f"whole families give {got} rows, not the target {target}")
+    return rows.join(taken, family, "left_semi")
+
+
+@R.add("g7_hash_split_by_group", """
+SELECT split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, CASE WHEN u < 0.15 THEN 'development' ELSE 'train' END AS split FROM (SELECT doc_id, CAST('0x' || substr(sha256('21:' || source || '/' || lang), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents)) GROUP BY 1""")
+def g7(spark, d) -> DataFrame:
+    """All rows of a group fall on the same side."""
+    u = stats.hash_fraction(F.concat(F.lit("21:"), "source", F.lit("/"), "lang"))
+    t = table(spark, d, "documents").select("doc_id", F.when(u < 0.15, "development").otherwise("train").alias("split"))
+    return t.groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @R.add("g10_leak_check", "SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def g10(spark, d) -> DataFrame:
-    """Documents that hold a benchmark text whole: texts cut at line ends on both sides meet by their first words."""
-    b = table(spark, d, "benchmark").select("text").distinct().withColumnRenamed("text", "held")
-    # candidates share the benchmark text's first 40 characters at a place of the document
-    key = b.select("held", F.left("held", F.lit(24)).alias("k"))
-    t = table(spark, d, "documents").select("doc_id", "text")
-    at = F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{24}))"), F.lit(1)))
-    return t.withColumn("k", F.explode(at)).join(key, "k").where(F.contains("text", F.col("held"))).select("doc_id").distinct()
+    """Documents that hold a benchmark text whole."""
+    return similarity.containing(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "text")
 
 
 @R.add("g11_deterministic_option_order", "SELECT n_regionkey AS r, string_agg(n_name, ',' ORDER BY sha256(n_regionkey || '|' || n_name)) AS options FROM nation GROUP BY 1")
@@ -274,8 +312,9 @@ def d16(spark, d) -> DataFrame:
 
 @R.add("d17_garbage_before_base", "SELECT e.event_id FROM events e JOIN (SELECT user_id, max(event_id) AS base FROM events WHERE event_type = 'signup' GROUP BY 1) b USING (user_id) WHERE event_id < base")
 def d17(spark, d) -> DataFrame:
-    base = F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).over(Window.partitionBy("user_id"))
-    return table(spark, d, "events").withColumn("base", base).where("event_id < base").select("event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    base = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("base"))
+    return e.join(base, "user_id").where("event_id < base").select("event_id")
 
 
 @R.add("j17_ancestry_visibility", """
@@ -285,9 +324,6 @@ SELECT r.conv, count(*) AS visible FROM r JOIN customer ON c_nationkey = r.anc A
 def j17(spark, d) -> DataFrame:
     """Entries of a conversation and its fork ancestors, each up to the smallest cut on the way."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") * 40).cast("long").alias("cut"))
-    paths = graphs.root_paths(n.select("node", F.when(F.col("node") >= 5, F.col("node") - 5).alias("parent")))
-    cuts = paths.join(n.withColumnRenamed("node", "ancestor"), "ancestor")
-    w = Window.partitionBy("node").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
-    chain = cuts.select("node", "ancestor", F.coalesce(F.min("cut").over(w), F.lit(1000000000)).alias("limit"))
-    j = chain.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("ancestor")).where(F.col("c_custkey") <= F.col("limit"))
+    chain = graphs.fork_chain(n.select("node", F.when(F.col("node") >= 5, F.col("node") - 5).alias("parent"), "cut"))
+    j = chain.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("ancestor")).where(F.col("limit").isNull() | (F.col("c_custkey") <= F.col("limit")))
     return j.groupBy(F.col("node").cast("int").alias("conv")).agg(F.count("*").alias("visible"))

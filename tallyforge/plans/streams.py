@@ -14,12 +14,21 @@ R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 
 
-def replayed(spark, d, commits: int = 3) -> DataFrame:
-    """The events table as a stream of a few commits: files in a folder of their own."""
+def replay(spark, d, run, commits: int = 3):
+    """The events table as a stream of a few commits in the order of event_id. After each
+    commit run(feed) takes in what is new, so commits are never mixed up, however many
+    files one has; the last result of run is returned."""
     e = table(spark, d, "events")
-    folder = shared(spark, "commits")
-    e.repartitionByRange(commits, "event_id").write.parquet(folder)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    most = e.agg(F.max("event_id").alias("m")).first()["m"] or 0
+    folder, out = shared(spark, "commits"), None
+    for i in range(commits):
+        e.where(F.floor(commits * F.col("event_id") / (most + 1)) == i).write.mode("append").parquet(folder)
+        out = run(spark.readStream.schema(e.schema).parquet(folder))
+    return out
+
+
+def sink(feed: DataFrame, out: str) -> None:
+    feed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 @R.add("s8_parquet_scan", "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 4) AS price FROM part WHERE p_size > 20 GROUP BY 1")
@@ -41,29 +50,95 @@ def s21(spark, d) -> DataFrame:
 def t2(spark, d) -> DataFrame:
     """Stateless appends of the feed, summed afterwards."""
     out = shared(spark, "feed")
-    feed = replayed(spark, d).select("event_id", "event_type", "value")
-    feed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    replay(spark, d, lambda feed: sink(feed.select("event_id", "event_type", "value"), out))
     return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
 @R.add("t4_latest_view", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def t4(spark, d) -> DataFrame:
-    """A view per key, folded batch by batch."""
+    """A view per key, folded batch by batch; a batch rewrites only the shards it touches."""
     out = shared(spark, "view")
-    feed = replayed(spark, d).select("user_id", "event_id", "event_type")
-    q = feeds.latest_view(spark, feed, f"{out}/view", "user_id", "event_id", f"{out}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/view/v{q.lastProgress['batchId']}")
+    return replay(spark, d, lambda feed: feeds.latest_view(spark, feed.select("user_id", "event_id", "event_type"), f"{out}/view", "user_id", "event_id", f"{out}/state"))
 
 
-@R.add("t9_idempotent_requests", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+@R.add("t9_idempotent_requests", "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2")
 def t9(spark, d) -> DataFrame:
-    """One row per request id, kept while its state lives; the table spans 30 days."""
+    """The first row of each request id, as the feed delivered it."""
     out = shared(spark, "once")
-    feed = feeds.deduplicated(replayed(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "ts", "60 days")
-    feed.select("user_id", "event_type").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return spark.read.parquet(f"{out}/rows").join(first, ["user_id", "event_type"])
+    return replay(spark, d, lambda feed: feeds.first_per_request(spark, feed.select("user_id", "event_type", "event_id", "value"), f"{out}/rows", ["user_id", "event_type"], "event_id", f"{out}/state"))
+
+
+@R.add("t3_bounded_watch", """
+WITH b AS (SELECT *, 2 * event_id // (SELECT max(event_id) + 1 FROM events) AS batch FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY user_id, batch) AS n, max(event_id) OVER (PARTITION BY user_id, batch) AS newest FROM b)
+SELECT user_id, event_id, CASE WHEN n > 4 THEN n ELSE 1 END AS frames FROM n WHERE n <= 4 OR event_id = newest""")
+def t3(spark, d) -> DataFrame:
+    """Users with more than four pending frames in one of two batches get one replacement."""
+    out = shared(spark, "watch")
+    return replay(spark, d, lambda feed: feeds.bounded_frames(spark, feed.select("user_id", "event_id"), f"{out}/rows", "user_id", "event_id", 4, f"{out}/state"), 2)
+
+
+@R.add("t6_translated_events", """
+SELECT event_id, unnest(CASE event_type WHEN 'signup' THEN ['session_start', 'status'] WHEN 'error' THEN ['status'] WHEN 'purchase' THEN ['message_start', 'message_end', 'status'] ELSE ['update'] END) AS name FROM events""")
+def t6(spark, d) -> DataFrame:
+    """Each change becomes one or more events of an interface, without state."""
+    t = F.col("event_type")
+    names = lambda *n: F.array(*map(F.lit, n))
+    made = F.when(t == "signup", names("session_start", "status")).when(t == "error", names("status")).when(t == "purchase", names("message_start", "message_end", "status")).otherwise(names("update"))
+    out = shared(spark, "translated")
+    replay(spark, d, lambda feed: sink(feed.select("event_id", F.explode(made).alias("name")), out))
+    return spark.read.parquet(f"{out}/rows")
+
+
+def _stateful(spark) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@R.add("t7_loop_guard", """
+WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER w AS i, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seg FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT CAST(a.user_id AS VARCHAR) AS session, a.event_id AS seq, min(a.i - b.i) AS distance FROM o a JOIN o b ON a.user_id = b.user_id AND a.seg = b.seg AND a.event_type = b.event_type AND b.i < a.i AND a.i - b.i <= 6 WHERE a.event_type <> 'purchase' GROUP BY ALL""")
+def t7(spark, d) -> DataFrame:
+    """Repeats among the last six actions of a live stream, with state per session."""
+    _stateful(spark)
+    out = shared(spark, "guard")
+    actions = (F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("action"), (F.col("event_type") == "purchase").alias("changes"))
+    replay(spark, d, lambda feed: sink(feeds.loop_guard(feed.select(*actions)), out))
+    return spark.read.schema("session string, seq long, distance long").parquet(f"{out}/rows")
+
+
+@R.add("t8_tailed_labels", "SELECT doc_id, toxic FROM labels")
+def t8(spark, d) -> DataFrame:
+    """Lines appended since the last read: a second run of the same query reads only new files."""
+    folder, out = shared(spark, "labels"), shared(spark, "tailed")
+    l = table(spark, d, "labels").select("doc_id", "toxic")
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+        l.where(part).write.mode("append").json(folder)
+        sink(feeds.change_feed(spark, folder, "doc_id long, toxic int", 100), out)
+    return spark.read.schema("doc_id long, toxic int").parquet(f"{out}/rows")
+
+
+@R.add("t10_resumed_by_done_ids", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first run' ELSE 'second run' END AS made FROM labels")
+def t10(spark, d) -> DataFrame:
+    """A job that was broken off goes on with the ids that its output lacks."""
+    out = shared(spark, "resumed")
+    l = table(spark, d, "labels").select("doc_id")
+    l.where("doc_id % 3 = 0").withColumn("made", F.lit("first run")).write.parquet(out)
+    left = l.join(spark.read.parquet(out).select("doc_id"), "doc_id", "left_anti")
+    left.withColumn("made", F.lit("second run")).write.mode("append").parquet(out)
+    return spark.read.schema("doc_id long, made string").parquet(out)
+
+
+@R.add("t12_head_and_tail_buffers", """
+WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT CAST(user_id AS VARCHAR) AS session, max(n) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE i <= 3) AS head, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE i > 3 AND n - i < 3), '') AS tail, greatest(max(n) - 6, 0) AS left_out FROM o GROUP BY 1""")
+def t12(spark, d) -> DataFrame:
+    """First and last three outputs of each session; the last state of each buffer."""
+    _stateful(spark)
+    out = shared(spark, "buffers")
+    rows = lambda feed: feeds.head_and_tail(feed.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq")))
+    kinds = "session string, n long, head string, tail string, left_out long"
+    replay(spark, d, lambda feed: feeds.each_batch(rows(feed), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/rows/v{i}"), f"{out}/state", "update"))
+    rows = spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{out}/rows")
+    return rows.groupBy("session").agg(F.max_by(F.struct("n", "head", "tail", "left_out"), "n").alias("b")).select("session", "b.*")
 
 
 @R.add("t13_starts_in_last_hour", "SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) / 1e6 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events")

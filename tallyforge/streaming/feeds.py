@@ -71,16 +71,116 @@ def loop_guard(feed: DataFrame) -> DataFrame:
     return feed.groupBy("session").transformWithStateInPandas(LoopGuard(), "session string, seq long, distance long", "append", "none")
 
 
-def latest_view(spark: SparkSession, feed: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Maintain the newest row per key below `path`: every batch is folded into the
-    version before it and written as a new folder, whose name is the batch's number."""
+def each_batch(feed: DataFrame, fold, checkpoint: str, mode: str = "append"):
+    """fold(batch, number) over what the feed holds now; returns the finished query."""
+    q = feed.writeStream.outputMode(mode).foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def latest_view(spark: SparkSession, feed: DataFrame, path: str, key: str, order: str, checkpoint: str, shards: int = 64) -> DataFrame:
+    """The newest row per key, maintained below `path` batch by batch.
+
+    Keys are dealt over `shards` by hash. A batch folds only the shards that it touches:
+    they are written anew under the batch's number, and the others stay where they were
+    (`shards` names, per shard, the last batch that wrote it). A batch that runs again
+    after a failure writes the same rows from the same state.
+    """
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    schema = feed.schema
+
+    def current(number: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for i in range(number):
+            for (s,) in spark.read.schema("shard int").parquet(f"{path}/touched/v{i}").collect():  # at most `shards` rows
+                out[s] = i
+        return out
+
+    def read(where: dict[int, int]) -> DataFrame:
+        out = spark.createDataFrame([], schema)
+        for number in sorted(set(where.values())):
+            own = [s for s, n in where.items() if n == number]
+            out = out.unionByName(spark.read.schema(schema).option("basePath", f"{path}/rows/v{number}").parquet(*[f"{path}/rows/v{number}/shard={s}" for s in own]).select(*schema.names))
+        return out
 
     def fold(batch: DataFrame, number: int) -> None:
-        old = f"{path}/v{number - 1}"
-        rows = batch
+        new = batch.withColumn("shard", shard)
+        touched = [r[0] for r in new.select("shard").distinct().collect()]  # at most `shards` rows
+        old = read({s: n for s, n in current(number).items() if s in touched})
+        rows = new.drop("shard").unionByName(old)
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), order).alias("r")).select("r.*").withColumn("shard", shard)
+        best.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows/v{number}")
+        spark.createDataFrame([(s,) for s in touched], "shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/touched/v{number}")
+
+    q = each_batch(feed, fold, checkpoint)
+    last = q.lastProgress["batchId"] if q.lastProgress else -1
+    return read(current(last + 1))
+
+
+def first_per_request(spark: SparkSession, feed: DataFrame, path: str, request: list[str], order: str, checkpoint: str) -> DataFrame:
+    """The first row of each request id (smallest `order`), whatever the age of a repeat:
+    each batch appends only the requests that no batch before it had."""
+    schema = feed.schema
+
+    def fold(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(*request).agg(F.min_by(F.struct(*schema.names), order).alias("r")).select("r.*")
         if number:
-            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(old))
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(f"{path}/v{number}")
+            seen = spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in range(number)])
+            first = first.join(seen.select(*request), request, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    q = each_batch(feed, fold, checkpoint)
+    last = q.lastProgress["batchId"] if q.lastProgress else -1
+    return spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in range(last + 1)]) if last >= 0 else spark.createDataFrame([], schema)
+
+
+def bounded_frames(spark: SparkSession, feed: DataFrame, path: str, key: str, order: str, pending: int, checkpoint: str) -> DataFrame:
+    """Frames for a slow watcher: a key with more than `pending` frames in a batch gets one
+    full replacement (its newest row) instead of them. Adds `frames`, how many it stands for."""
+    names = feed.schema.names
+
+    def fold(batch: DataFrame, number: int) -> None:
+        n = F.count("*").over(Window.partitionBy(key))
+        newest = F.max(order).over(Window.partitionBy(key))
+        rows = batch.withColumn("_n", n).withColumn("_last", newest).where((F.col("_n") <= pending) | (F.col(order) == F.col("_last")))
+        rows.select(*names, F.when(F.col("_n") > pending, F.col("_n")).otherwise(F.lit(1)).alias("frames")).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    q = each_batch(feed, fold, checkpoint)
+    last = q.lastProgress["batchId"] if q.lastProgress else -1
+    return spark.read.parquet(*[f"{path}/v{i}" for i in range(last + 1)])
+
+
+class HeadAndTail(StatefulProcessor):
+    """Per key the first and the last rows of a stream of outputs under limits; emits the
+    buffer after each batch of the key: what is kept, and how many rows are left out."""
+
+    HEAD, TAIL = 3, 3
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getListState("head", "seq long")
+        self.tail = handle.getListState("tail", "seq long")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        head, tail = [r[0] for r in self.head.get()], [r[0] for r in self.tail.get()]
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        for seq in sorted(int(s) for f in rows for s in f["seq"]):
+            n += 1
+            if len(head) < self.HEAD:
+                head.append(seq)
+            else:
+                tail = [*tail, seq][-self.TAIL :]
+        self.head.put([(s,) for s in head])
+        if tail:
+            self.tail.put([(s,) for s in tail])
+        self.seen.update((n,))
+        yield pd.DataFrame([(key[0], n, ",".join(map(str, head)), ",".join(map(str, tail)), n - len(head) - len(tail))], columns=["session", "n", "head", "tail", "left_out"])
+
+    def close(self) -> None:
+        pass
+
 
-    return feed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def head_and_tail(feed: DataFrame) -> DataFrame:
+    """Buffers of a feed (session, seq) whose rows arrive in order; needs the RocksDB state
+    store provider."""
+    return feed.groupBy("session").transformWithStateInPandas(HeadAndTail(), "session string, n long, head string, tail string, left_out long", "update", "none")
