@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graphs
+
 #: White space of the word rules: blank, and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression class, and its complement as words.
@@ -110,35 +112,8 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, what: str = "components") -> DataFrame:
-    """Components of the undirected graph `edges`(a, b): a row (node, component)
-    per node, `component` being the smallest node of its component.
-
-    `nodes`(node) adds nodes without edges; null ends are ignored, self links only
-    name a node. Each round every node joins the neighbour (or itself) that comes
-    first in a pseudo-random order of that round, and the graph is contracted; nodes
-    and edges shrink by a constant factor, whatever the diameter. Hubs cost only map
-    side minima and split joins; each round is written to the shared folder.
-    """
-    e = written(edges.select("a", "b").where("a is not null and b is not null"), f"{what}-given")  # read three times below
-    every = e.select(F.col("a").alias("node")).unionAll(e.select(F.col("b").alias("node")))
-    if nodes is not None:
-        every = every.unionAll(nodes.select("node").where("node is not null"))
-    e = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{what}-edges")
-    labels = every.distinct().select("node", F.col("node").alias("rep"))
-    turn = 0
-    while not e.isEmpty():
-        turn += 1
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))
-        both = e.select(F.col("a").alias("v"), order("b").alias("o")).unionAll(e.select(F.col("b").alias("v"), order("a").alias("o")))
-        to = both.groupBy("v").agg(F.min("o").alias("o")).select("v", F.least("o", order("v"))["n"].alias("m"))
-        to = written(to, f"{what}-hooks")
-        labels = labels.join(to, labels["rep"] == to["v"], "left").select("node", F.coalesce("m", "rep").alias("rep"))
-        labels = written(labels, f"{what}-labels")
-        ta, tb = to.select(F.col("v").alias("a"), F.col("m").alias("ma")), to.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        e = e.join(ta, "a").join(tb, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        e = written(e, f"{what}-edges")
-    smallest = labels.groupBy("rep").agg(F.min("node").alias("component"))
-    return labels.join(smallest, "rep").select("node", "component")
+    """graphs.components() with its tables among this subpackage's scratch tables."""
+    return graphs.components(edges, nodes, lambda df, name: written(df, f"{what}-{name}"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
