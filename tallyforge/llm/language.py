@@ -2,11 +2,12 @@
 
 Per language a raw-content zstandard dictionary of DICT_BYTES is filled from a
 bounded sample: at most SAMPLE_ROWS labelled documents of the language in the order
-of a hash of their ids, each giving at most SHARE bytes from a place that the hash
-chooses. The whole lower-cased text is cut into blocks of BLOCK bytes, repeats and
-all, and every block is compressed under each dictionary; the language with the smallest total wins, ties go
-to the more frequent language of the training rows, then to the smaller name. A text
-is rejected when the runner-up needs less than MARGIN more bytes than the winner.
+of a hash of their ids, each giving an equal share of the dictionary from a place that
+the hash chooses. The whole lower-cased text is cut into blocks of BLOCK bytes, repeats
+and all, and every block is compressed under each dictionary; the language with the
+smallest total wins, ties go to the more frequent language of the training rows, then to
+the smaller name. A text is rejected when the runner-up needs less than MARGIN more bytes
+than the winner.
 
 The score is the winner's share of 2**(-bytes / 2) among the languages. A null text
 or one without a letter is `und` with score 0, and is rejected; so is everything when
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_ROWS = 256
-SHARE = 1_000
 DICT_BYTES = 64_000
 LEVEL = 6
 BLOCK = 2_048
@@ -43,18 +43,16 @@ def fit(docs: DataFrame, usable: Column) -> list[tuple[str, bytes]]:
     ids = rows.select("doc_id", "lang").withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= SAMPLE_ROWS).select("doc_id", "lang")
     # at most SAMPLE_ROWS ids per language are sent out, and as many texts come back
     found = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SHARE, F.lit(1)))
-    share = F.substring(F.col("text"), (at + 1).cast("int"), F.lit(SHARE))
+    # each sampled text gives an equal share of its language's dictionary
+    size = {lang: -(-DICT_BYTES // min(n, SAMPLE_ROWS)) for lang, n in shares.items()}
+    wide = F.coalesce(*[F.when(F.col("lang") == lang, n) for lang, n in size.items()], F.lit(0))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - wide, F.lit(1)))
+    share = F.substring(F.col("text"), (at + 1).cast("int"), wide)
     sample = found.select("lang", "doc_id", share.alias("share")).withColumn("h", F.xxhash64("doc_id")).collect()
     out = []
     for lang in sorted(shares, key=lambda x: (-shares[x], x)):
-        parts, held = [], 0
-        for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["h"], r["doc_id"], r["share"])):
-            part = " ".join(r["share"].lower().split()).encode("utf-8")
-            parts.append(part)
-            held += len(part) + 1
-            if held > DICT_BYTES:
-                break
+        own = sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["h"], r["doc_id"], r["share"]))
+        parts = [" ".join(r["share"].lower().split()).encode("utf-8")[: size[lang]] for r in own]
         out.append((lang, b"\n".join(parts)[:DICT_BYTES]))
     return out
 

@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from tallyforge.llm import language
 
 WORDS = {"en": "the quick of and with house from that river stone", "fr": "les avec pour dans une maison rouge était où très", "de": "der und nicht mit eine haus über schön straße weil"}
@@ -45,3 +47,30 @@ def test_repeats_count():
     sizes = judge.sizes(line + ("\n" + line) * 399 + "\n" + passage)
     assert sizes[1] < sizes[0]
     assert judge.sizes("\n".join([line] * 400))[0] > 5 * judge.sizes(line)[0]
+
+
+def test_choice_equals_plain_loops(spark, tables):
+    """Sizes under each language's dictionary, the choice and the score, recomputed text by text."""
+    from pyspark.sql import functions as F
+
+    frame = spark.read.parquet(f"{tables}/documents.parquet")
+    model = language.fit(frame, language.learnable(F.col("doc_id")))
+    assert all(0 < len(content) <= language.DICT_BYTES for _, content in model)
+    got = {r["doc_id"]: r for r in language.op2_language_id(spark, tables).collect()}
+    rows = frame.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        raw, sizes = r["text"].lower().encode(), []
+        for _, content in model:
+            total = 0
+            for i in range(0, len(raw), language.BLOCK):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=language.LEVEL)
+                total += len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(raw[i : i + language.BLOCK]))
+            sizes.append(total)
+        best = sizes.index(min(sizes))
+        assert got[r["doc_id"]]["lang_pred"] == model[best][0]
+        assert abs(got[r["doc_id"]]["score"] - 1 / sum(2 ** max(-60.0, (min(sizes) - s) / 2) for s in sizes)) < 1e-12

@@ -62,3 +62,48 @@ def test_letters_of_other_scripts(spark):
 
     row = spark.range(1).select(quality.classes(F.lit("Дом é A1。、"), F.lit(2)).alias("c")).first()
     assert row["c"][:5] == [3.0, 2.0, 1.0, 2.0, 2.0]
+
+
+def test_distances_equal_plain_loops(spark, tables):
+    """Both distances and the verdict of every document, from plain counts of whole texts."""
+    import math
+    import re
+    from collections import Counter
+
+    rows = [r for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "lang", "text").collect()]
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def classes(t):
+        import unicodedata
+
+        kinds = [unicodedata.category(c) for c in t]
+        letters, capitals = sum(k[0] == "L" for k in kinds), sum(k == "Lu" for k in kinds)
+        digits, blanks = sum(c in "0123456789" for c in t), len(re.findall(r"[\x20\x09-\x0D]", t))
+        return [letters - capitals, capitals, digits, blanks, len(t) - blanks - letters - digits, len(t.encode()) - len(t)]
+
+    def shares(x):
+        return [v / sum(x) for v in x] if sum(x) else None
+
+    def distance(p, q):
+        if p is None or q is None:
+            return None
+        half = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+    ref = {}
+    for lang in {r["lang"] for r in rows} | {"*"}:
+        own = [r["text"] or "" for r in rows if lang in ("*", r["lang"])]
+        counts = Counter(w for t in own for w in words_of(t))
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]
+        ref[lang] = ([w for w, _ in top], shares([n for _, n in top] + [sum(counts.values()) - sum(n for _, n in top)]), shares([sum(c) for c in zip(*map(classes, own))]))
+    got = {r["doc_id"]: r for r in quality.op7_quality_rules(spark, tables).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g, ws, (common_words, word_shares, char_shares) = got[r["doc_id"]], words_of(r["text"]), ref[r["lang"]]
+        counts = Counter(ws)
+        own = [counts[w] for w in common_words]
+        word_d, char_d = distance(shares(own + [len(ws) - sum(own)]), word_shares), distance(shares(classes(r["text"] or "")), char_shares)
+        for name, want in (("word_distance", word_d), ("char_distance", char_d)):
+            assert (g[name] is None) == (want is None) and (want is None or abs(g[name] - want) < 2e-6), (r["doc_id"], name, g[name], want)
+        odd = (g["word_chars"] >= quality.MIN_CHARS and char_d is not None and char_d > quality.CHAR_LIMIT) or (len(ws) >= quality.MIN_WORDS and word_d is not None and word_d > quality.WORD_LIMIT)
+        assert g["kept"] == (not g["base_failed"] and not odd)

@@ -90,3 +90,53 @@ def test_huge_text_is_skipped(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     toxicity.fit(docs(rows), labels, F.lit(True))
     assert seen == [sorted((t, i % 2) for i, t in rows if i != first)]
+
+
+def test_scores_equal_plain_loops(spark, docs):
+    """The score of a text recomputed window by window, word by word, gate by gate."""
+    import re
+
+    import numpy as np
+
+    from tallyforge.llm import toxicity as X
+
+    r = np.random.default_rng(11)
+    plain, bad = [f"w{i}" for i in range(60)], [f"vile{i}" for i in range(6)]
+    texts, labels = [], []
+    for i in range(160):
+        ws = r.choice(plain, int(r.integers(3, 130))).tolist()
+        if i % 4 == 0:
+            ws.insert(int(r.integers(0, len(ws))), str(r.choice(bad)))
+        texts.append(" ".join(ws))
+        labels.append(int(i % 4 == 0))
+    net = X.train(texts, labels)
+    assert isinstance(net, X.Network)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def features(word):
+        g = X.Grams([word])
+        w, c = net.odds
+        return np.concatenate([[w[g.word[0]], np.mean(c[g.gram]), np.max(c[g.gram])], net.p["words"][g.word[0]], net.p["grams"][g.gram].mean(0)])
+
+    def window(words):
+        x, H, states = [features(w) for w in words], X.HIDDEN, []
+        for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+            h, own = np.zeros(H), [None] * len(x)
+            for t in order:
+                a, u = x[t] @ net.p["w"][d] + net.p["b"][d][0], h @ net.p["u"][d]
+                z, s = sig(a[:H] + u[:H]), sig(a[H : 2 * H] + u[H : 2 * H])
+                h = h + z * (np.tanh(a[2 * H :] + s * u[2 * H :]) - h)
+                own[t] = h
+            states.append(own)
+        both = [np.concatenate(p) for p in zip(*states)]
+        weight = np.exp([np.tanh(b @ net.p["wa"]) @ net.p["va"] for b in both])
+        return sum(w * b for w, b in zip(weight / weight.sum(), both)) @ net.p["out"] + net.p["bias"][0]
+
+    frame = docs([(i, t) for i, t in enumerate(texts[:24])] + [(900, None), (901, "?!"), (902, " ".join(texts[:9]))])
+    got = {row["doc_id"]: row for row in X.score(frame, net)[0].collect()}
+    for row in frame.collect():
+        words = re.findall(r"\w+", (row["text"] or "").lower())
+        cuts = [words[s : s + X.WINDOW] for s in range(0, max(len(words) - (X.WINDOW - X.STRIDE), 1), X.STRIDE)] if words else []
+        want = sig(max(window(c) for c in cuts)) if cuts else 0.0
+        assert abs(got[row["doc_id"]]["score"] - want) < 1e-4, row["doc_id"]
+        assert got[row["doc_id"]]["predicted"] == int(got[row["doc_id"]]["score"] >= 0.5)
