@@ -137,6 +137,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             cols = list(zip(*out, strict=True)) or [[]] * (6 if with_ids else 5)
             names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 

@@ -141,6 +141,7 @@ def _encoder(path: str, spaced: bool):
                     last = stop
                 out.append((0, None, None, doc_id, n, digests, merkle(digests)))
             yield _batch(out, KINDS, ROWS)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 

@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most pieces that a worker remembers; about 200 bytes each.
-MEMO_PIECES = 1_100_000
+#: Most pieces that a worker remembers; about 260 bytes each.
+MEMO_PIECES = 600_000
 #: Pieces that are joined for one call of the library.
 JOINED = 256
 #: Punctuation that both vocabularies cut off after an ASCII letter or digit; not the
