@@ -20,6 +20,7 @@ columns pass through; null labels are not learnt from.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -345,7 +346,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Network | float:
     kept = docs.sparkSession.createDataFrame(taken, found.select(*key).schema)
     rows = found.join(F.broadcast(kept), key, "left_semi").collect()  # at most SAMPLE_BYTES of text
     rows.sort(key=lambda r: (r["_h"], r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["_y"] for r in rows])
+    texts, toxic = [r["text"] for r in rows], [r["_y"] for r in rows]
+    del rows, sizes, kept, taken  # the driver needs its memory for what follows
+    model = train(texts, toxic)
+    del texts
+    gc.collect()
+    return model
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text") -> tuple[DataFrame, list[str]]:
