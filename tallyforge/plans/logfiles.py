@@ -95,20 +95,19 @@ def k10(spark, d) -> DataFrame:
 
 
 def trials(spark, d) -> str:
-    """A folder an order of the first priority: meta.json, result.json (unless it is unfinished) and trace.jsonl."""
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    """A folder a supplier: meta, result (unless its balance is negative) and trace."""
+    t = table(spark, d, "supplier").withColumnRenamed("s_suppkey", "trial")
     folder = shared(spark, "trials")
-    write = lambda df, name: df.repartition(4, "trial").write.option("lineSep", "\n").partitionBy("trial").text(f"{folder}/{name}")
-    trial = F.col("o_orderkey").alias("trial")
-    write(o.select(F.to_json(F.struct(F.struct(F.concat(F.lit("tasks/"), F.col("o_custkey").cast("string")).alias("path")).alias("task"))).alias("value"), trial), "meta")
-    write(o.where("o_orderstatus <> 'P'").select(F.to_json(F.struct(F.struct(F.col("o_totalprice").alias("reward")).alias("rewards"))).alias("value"), trial), "result")
-    l = table(spark, d, "lineitem").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    write(l.select(F.to_json(F.struct(F.col("l_linenumber").alias("turn"), F.col("l_quantity").alias("tokens"))).alias("value"), F.col("l_orderkey").alias("trial")), "trace")
+    write = lambda df, name: df.repartition(4, "trial").write.partitionBy("trial").text(f"{folder}/{name}")
+    task = F.struct(F.concat(F.lit("tasks/"), F.col("s_nationkey").cast("string")).alias("path"))
+    write(t.select(F.to_json(F.struct(task.alias("task"))).alias("value"), "trial"), "meta")
+    write(t.where("s_acctbal >= 0").select(F.to_json(F.struct(F.struct(F.col("s_acctbal").alias("reward")).alias("rewards"))).alias("value"), "trial"), "result")
+    l = table(spark, d, "lineitem")
+    write(l.select(F.to_json(F.struct(F.col("l_linenumber").alias("turn"), F.col("l_quantity").alias("tokens"))).alias("value"), F.col("l_suppkey").alias("trial")), "trace")
     return folder
 
 
-@R.add("s9_directory_as_table", """
-SELECT o_orderkey AS trial, o_orderstatus <> 'P' AS finished, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS traced FROM orders WHERE o_orderpriority = '1-URGENT'""")
+@R.add("s9_directory_as_table", "SELECT s_suppkey AS trial, s_acctbal >= 0 AS finished, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey) AS traced FROM supplier")
 def s9(spark, d) -> DataFrame:
     files = folders.listing(spark, trials(spark, d)).select(F.regexp_extract("path", r"trial=(\d+)", 1).cast("long").alias("trial"), F.regexp_extract("path", r"/(meta|result|trace)/", 1).alias("part"))
     has = lambda p: F.bool_or(F.col("part") == p)
@@ -116,8 +115,8 @@ def s9(spark, d) -> DataFrame:
 
 
 @R.add("s10_record_from_several_files", """
-SELECT o_orderkey AS trial, 'tasks/' || o_custkey AS task, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS reward, count(l_linenumber) AS turns, sum(l_quantity) AS tokens
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL""")
+SELECT s_suppkey AS trial, 'tasks/' || s_nationkey AS task, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS reward, count(l_linenumber) AS turns, sum(l_quantity) AS tokens
+FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL""")
 def s10(spark, d) -> DataFrame:
     f = trials(spark, d)
     read = lambda name, schema: spark.read.schema(f"{schema}, trial long").json(f"{f}/{name}")
@@ -138,14 +137,13 @@ def s11(spark, d) -> DataFrame:
     return c.select("name", F.size("tasks").cast("long").alias("tasks"), F.array_join("tasks", ",").alias("names"))
 
 
-@R.add("s12_task_records", "SELECT 'suite/' || p_partkey AS name, p_size * 60 AS seconds, p_size > 25 AS large, p_type AS category FROM part")
+@R.add("s12_task_records", "SELECT 'suite/' || s_suppkey AS name, s_nationkey * 60 AS seconds, s_nationkey > 12 AS large, s_name AS category FROM supplier")
 def s12(spark, d) -> DataFrame:
-    """Task records in TOML: a file a part, parsed in Arrow batches."""
-    p = table(spark, d, "part")
-    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
-    text = F.concat(F.lit("[task]\nname = \"suite/"), F.col("p_partkey").cast("string"), F.lit("\"\n[agent]\ntimeout_sec = "), (F.col("p_size") * 60).cast("string"), F.lit("\n[metadata]\ncategory = "), quoted("p_type"), F.lit("\nlarge = "), (F.col("p_size") > 25).cast("string"), F.lit("\n"))
+    """Task records in TOML: a file a supplier, parsed in Arrow batches."""
+    t = table(spark, d, "supplier")
+    text = F.concat(F.lit("[task]\nname = \"suite/"), F.col("s_suppkey").cast("string"), F.lit("\"\n[agent]\ntimeout_sec = "), (F.col("s_nationkey") * 60).cast("string"), F.lit("\n[metadata]\ncategory = \""), "s_name", F.lit("\"\nlarge = "), (F.col("s_nationkey") > 12).cast("string"), F.lit("\n"))
     folder = shared(spark, "tasks")
-    p.select(text.alias("value"), (F.col("p_partkey") % 50).alias("shard"), F.col("p_partkey").alias("file")).repartition(4, "shard").write.partitionBy("shard", "file").text(folder)
+    t.select(text.alias("value"), F.col("s_suppkey").alias("file")).repartition(4, "file").write.partitionBy("file").text(folder)
     rows = folders.toml_records(spark, folder, {"name": ("task", "name"), "seconds": ("agent", "timeout_sec"), "large": ("metadata", "large"), "category": ("metadata", "category")}, "name string, seconds int, large boolean, category string")
     return rows.select("name", "seconds", "large", "category")
 

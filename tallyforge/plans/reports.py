@@ -115,7 +115,7 @@ _FEATURES = {
     # name: (SQL over e, Column over the same names)
     "turns": "count(*)", "clicks": "count(*) FILTER (WHERE t = 'click')", "views": "count(*) FILTER (WHERE t = 'view')", "purchases": "count(*) FILTER (WHERE t = 'purchase')", "signups": "count(*) FILTER (WHERE t = 'signup')",
     "failed": "count(*) FILTER (WHERE t = 'error')", "fail_share": "round(count(*) FILTER (WHERE t = 'error') / count(*), 8)", "fail_share_recent": "round(count(*) FILTER (WHERE t = 'error' AND back <= 10) / count(*) FILTER (WHERE back <= 10), 8)", "turns_per_day": "round(count(*) / cut, 8)",
-    "turns_last_day": "count(*) FILTER (WHERE day >= cut - 1)", "spent": "round(sum(value) FILTER (WHERE t = 'purchase'), 4)", "spent_recent": "round(sum(value) FILTER (WHERE t = 'purchase' AND back <= 10), 4)", "value_total": "round(sum(value), 4)", "value_mean": "round(avg(value), 6)", "value_most": "max(value)",
+    "turns_last_day": "count(*) FILTER (WHERE day >= cut - 1)", "spent": "round(sum(value) FILTER (WHERE t = 'purchase'), 4)", "spent_recent": "round(sum(value) FILTER (WHERE t = 'purchase' AND back <= 10), 4)", "value_total": "round(sum(value), 4)", "value_mean": "round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / count(value), 6)", "value_most": "max(value)",
     "k_total": "CAST(sum(k) AS BIGINT)", "k_last": "max(k) FILTER (WHERE back = 1)", "k_first": "max(k) FILTER (WHERE i = 1)", "k_trend": "max(k) FILTER (WHERE back = 1) - max(k) FILTER (WHERE i = 1)", "kinds": "count(DISTINCT t)", "distinct_ks": "count(DISTINCT k)",
     "repeat_share": "round(1 - count(DISTINCT k) / count(*), 8)", "near_repeat_share": "round(1 - count(DISTINCT k // 10) / count(*), 8)", "large": "count(*) FILTER (WHERE value > 100)", "large_recent": "count(*) FILTER (WHERE value > 100 AND back <= 10)", "tests": "count(*) FILTER (WHERE t = 'view' AND k > 50)",
     "last_failed": "CAST(max(CASE WHEN back = 1 AND t = 'error' THEN 1 ELSE 0 END) AS INTEGER)", "changes": "count(*) FILTER (WHERE t IN ('purchase', 'signup'))", "changes_recent": "count(*) FILTER (WHERE t IN ('purchase', 'signup') AND back <= 10)", "since_change": "cut - coalesce(max(day) FILTER (WHERE t IN ('purchase', 'signup')), 0)",
@@ -144,7 +144,7 @@ def m11(spark, d) -> DataFrame:
     made = {
         "turns": n, "clicks": F.count_if(t == "click"), "views": F.count_if(t == "view"), "purchases": F.count_if(t == "purchase"), "signups": F.count_if(t == "signup"), "failed": F.count_if(t == "error"), "fail_share": share(F.count_if(t == "error"), n),
         "fail_share_recent": share(F.count_if((t == "error") & recent), F.count_if(recent)), "turns_per_day": share(n, cut), "turns_last_day": F.count_if(F.col("day") >= F.col("cut") - 1), "spent": F.round(F.sum(F.when(t == "purchase", v)), 4), "spent_recent": F.round(F.sum(F.when((t == "purchase") & recent, v)), 4),
-        "value_total": F.round(F.sum(v), 4), "value_mean": F.round(F.avg(v), 6), "value_most": F.max(v), "k_total": F.sum(k), "k_last": at(F.col("back") == 1), "k_first": at(F.col("i") == 1), "k_trend": at(F.col("back") == 1) - at(F.col("i") == 1), "kinds": F.countDistinct(t), "distinct_ks": F.countDistinct(k),
+        "value_total": F.round(F.sum(v), 4), "value_mean": F.round(F.try_divide(F.sum(v.cast("decimal(18,4)")).cast("double"), F.count(v)), 6), "value_most": F.max(v), "k_total": F.sum(k), "k_last": at(F.col("back") == 1), "k_first": at(F.col("i") == 1), "k_trend": at(F.col("back") == 1) - at(F.col("i") == 1), "kinds": F.countDistinct(t), "distinct_ks": F.countDistinct(k),
         "repeat_share": F.round(1 - F.countDistinct(k) / n, 8), "near_repeat_share": F.round(1 - F.countDistinct(F.floor(k / 10)) / n, 8), "large": F.count_if(v > 100), "large_recent": F.count_if((v > 100) & recent), "tests": F.count_if((t == "view") & (k > 50)),
         "last_failed": F.max(F.when((F.col("back") == 1) & (t == "error"), 1).otherwise(0)), "changes": F.count_if(change), "changes_recent": F.count_if(change & recent), "since_change": cut - F.coalesce(F.max(F.when(change, F.col("day"))), F.lit(0)), "timeouts": F.count_if(k >= 95),
         "not_found": F.count_if(k.between(40, 44)), "guard_hits": F.count_if(k == 13), "output_recent": F.round(F.avg(F.when(F.col("back") <= 5, v)), 6), "days_active": F.countDistinct("day"), "off_share": share(F.count_if(k % 2 == 0), n), "first_day": F.min("day"), "errors_after_first_change": F.count_if((t == "error") & F.col("changed")),
