@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "language", "jaccard", "urls", "dedup", "segmentation", "quality", "store", "chat", "toxicity")
+MODULES = ("packing", "language", "jaccard", "urls", "dedup", "segmentation", "quality", "store", "chat", "toxicity", "divergence", "trie", "lines")
 
 
 def _of(kind: str) -> dict:
