@@ -105,13 +105,15 @@ def parsed(strings: DataFrame) -> DataFrame:
 
 def chained(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as reply trees: each row answers the
-    row before it in the order of (turn, role, text)."""
+    row before it in the order of (turn, role, text). conv_id becomes a text, NO_ID for null."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    rows = rows.withColumn("conv_id", F.coalesce(F.col("conv_id"), F.lit(-(1 << 62))))
+    rows = rows.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_ID)))
     return rows.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+#: Not the decimal form of any number.
+NO_ID = "none"
 HARD = "\\### Assistant: </turn> ok"
 
 
@@ -123,7 +125,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = parsed(formatted(messages))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
-        F.when(F.col("conv_id") != F.lit(-(1 << 62)), F.col("conv_id")).alias("conv_id"),
+        F.nullif("conv_id", F.lit(NO_ID)).cast("long").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),

@@ -114,7 +114,9 @@ MARKS = "".join(chr(0x4E00 + i) for i in range(COMMON))
 
 def judged(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, lang, text): the base measures, both distances, the verdict."""
-    m = measured(docs.select("doc_id", "lang", "text"))
+    # the mark before a language keeps it apart from the pooled row, whatever it is called
+    docs = docs.select("doc_id", F.concat(F.lit("="), F.col("lang")).alias("lang"), "text")
+    m = measured(docs)
     ref = common.written(references(docs), "references")
     known = ref.select("lang", "common").limit(LANGUAGES + 2).collect()
     if len(known) <= LANGUAGES + 1:

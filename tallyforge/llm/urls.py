@@ -54,22 +54,27 @@ def judged(addresses: DataFrame, rules=RULES) -> DataFrame:
     rule that decides, both null where none fits. rules: tuples, or a DataFrame
     (rule_host, rule_path, action) of any size."""
     spark = addresses.sparkSession
+    (own,) = common.free_names(addresses, ["best"])
     if not isinstance(rules, DataFrame):
         if len(rules) <= INLINE_RULES:
             table = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(a).alias("a")) for h, p, a in rules])
             fits = F.filter(table, lambda r: ((F.col("host") == r["h"]) | F.endswith("host", F.concat(F.lit("."), r["h"]))) & F.startswith("path", r["p"]))
             best = F.array_max(F.transform(fits, lambda r: F.struct((F.length(r["h"]) + F.length(r["p"])).alias("n"), (r["a"] == "allow").alias("ok"), F.concat(r["h"], r["p"]).alias("rule"))))
-            out = addresses.withColumn("_best", best)
-            return out.withColumn("rule", F.col("_best.rule")).withColumn("action", F.when(F.col("_best.ok"), "allow").when(F.col("_best").isNotNull(), "block")).drop("_best")
+            return _decided(addresses.withColumn(own, best), own)
         rules = spark.createDataFrame(list(rules), "rule_host string, rule_path string, action string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     each = addresses.select("host", "path").distinct()
     near = each.withColumn("rule_host", F.explode(suffixes)).join(rules, "rule_host").where(F.startswith("path", F.col("rule_path")))
     order = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), (F.col("action") == "allow").alias("ok"), F.concat("rule_host", "rule_path").alias("rule"))
-    best = near.groupBy("host", "path").agg(F.max(order).alias("_best"))
-    out = addresses.join(best, ["host", "path"], "left")
-    return out.withColumn("rule", F.col("_best.rule")).withColumn("action", F.when(F.col("_best.ok"), "allow").when(F.col("_best").isNotNull(), "block")).drop("_best")
+    best = near.groupBy("host", "path").agg(F.max(order).alias(own))
+    return _decided(addresses.join(best, ["host", "path"], "left"), own)
+
+
+def _decided(df: DataFrame, best: str) -> DataFrame:
+    """df with rule and action in the place of its column `best`."""
+    x = F.col(best)
+    return df.withColumns({"rule": x["rule"], "action": F.when(x["ok"], "allow").when(x.isNotNull(), "block")}).drop(best)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:

@@ -37,3 +37,10 @@ def test_query(spark, tables):
     out = {r["conv_id"]: len(r["turns"]) for r in chat.parsed(chat.formatted(chat.chained(long))).collect()}
     assert sorted(out.values()) == [1, 701]
     assert chat.formatted(chat.chained(long.where(F.lit(False)))).count() == 0
+
+
+def test_any_id_stands_apart_from_null(spark):
+    rows = [(-(1 << 62), 0, "user", "a"), (None, 0, "user", "b"), (-(1 << 63), 0, "user", "c")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.parsed(chat.formatted(chat.chained(c))).collect()
+    assert sorted((r["conv_id"], r["turns"][0]["text"]) for r in out) == [(str(-(1 << 62)), "a"), (str(-(1 << 63)), "c"), (chat.NO_ID, "b")]

@@ -18,7 +18,7 @@ def test_stages_over_a_small_corpus(spark, tables):
 
 def test_each_operator_is_registered():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert registry.oracle_sql().keys() <= names.keys()
 
 
@@ -57,3 +57,9 @@ def test_stages_with_odd_rows(spark, tables):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() >= docs.count()
     kept = dedup.deduplicated(frame).collect()
     assert {(r["doc_id"], r["text"]) for r in kept} == {(2, en[0] + " "), (1, en[1]), (None, en[2]), (4, None), (6, en[3])}
+
+
+def test_two_runs_over_the_same_tables(spark, tables):
+    first, second = corpus_pipeline.run(spark, tables), corpus_pipeline.run(spark, tables)
+    rows = lambda df: sorted((r["doc_id"], r["piece"], r["start"]) for r in df.collect())
+    assert rows(second) == rows(first)

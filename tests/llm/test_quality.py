@@ -107,3 +107,8 @@ def test_distances_equal_plain_loops(spark, tables):
             assert (g[name] is None) == (want is None) and (want is None or abs(g[name] - want) < 2e-6), (r["doc_id"], name, g[name], want)
         odd = (g["word_chars"] >= quality.MIN_CHARS and char_d is not None and char_d > quality.CHAR_LIMIT) or (len(ws) >= quality.MIN_WORDS and word_d is not None and word_d > quality.WORD_LIMIT)
         assert g["kept"] == (not g["base_failed"] and not odd)
+
+
+def test_a_language_called_like_the_pooled_row(spark, docs):
+    rows = [(1, "some words of a text", "*"), (2, "some words of another", None), (3, "words", "=*"), (4, "words", "")]
+    assert sorted(r["doc_id"] for r in quality.judged(docs(rows)).collect()) == [1, 2, 3, 4]

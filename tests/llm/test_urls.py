@@ -47,3 +47,10 @@ def test_long_chain_of_redirects(spark):
     edges = spark.createDataFrame([(f"h{i}.info/", f"h{i + 1}.info/") for i in range(60)] + [("h60.info/", "spam.org/es/")], "a string, b string")
     pages = frame(spark, [(i, f"http://h{i}.info/", None) for i in range(0, 61, 20)])
     assert {r["verdict"] for r in urls.verdicts(pages, edges=edges).collect()} == {"block"}
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = spark.createDataFrame([("a.net", "/de/1", "mine"), ("b.info", "/", None)], "host string, path string, _best string").selectExpr("*", "'too' as best")
+    for rules in (urls.RULES, spark.createDataFrame(list(urls.RULES), "rule_host string, rule_path string, action string")):
+        got = sorted(tuple(r) for r in urls.judged(rows, rules).select("host", "_best", "best", "rule", "action").collect())
+        assert got == [("a.net", "mine", "too", "net/de/", "allow"), ("b.info", None, "too", None, None)]
