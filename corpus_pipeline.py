@@ -13,6 +13,7 @@ smallest id, null last. An empty table passes through all stages.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 from collections.abc import Callable
 
@@ -21,15 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm import common, dedup, jaccard, language, packing, toxicity
 
 
+#: The run that a stage belongs to.
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(f: Stage) -> Stage:
-    """The stage with its scratch tables owned by the run over sf_dir."""
+    """The stage with its scratch tables owned by the run, or by sf_dir when a caller
+    writes the results between the stages itself."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        owner = f"pipeline {sf_dir}"
+        owner = f"pipeline {_RUN.get() or sf_dir}"
         common.clear_scratch(spark, owner)
         with common.owned(owner):
             return f(spark, docs, sf_dir)
@@ -75,8 +80,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table. A stage's table goes when the next stage's is
-    written; what the last one reads lasts until the session ends."""
-    docs, before = common.documents(spark, sf_dir), None
+    written; what the last one reads lasts until the session ends, whatever runs later."""
+    token = _RUN.set(common.token())
+    try:
+        return _through(spark, common.documents(spark, sf_dir), sf_dir)
+    finally:
+        _RUN.reset(token)
+
+
+def _through(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    before = None
     for i, (_, f) in enumerate(STAGES):
         out = f(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
