@@ -86,11 +86,15 @@ def trimmed(c: Column, mode: str) -> Column:
     return F.array_join(kind(k), "\n")
 
 
-def runaway(c: Column, least: int = 20_000, tail: int = 400, low: int = 20, high: int = 80, lines: int = 60, repeats: int = 8) -> Column:
-    """A long text whose end repeats with a period, or one of whose last lines recurs."""
+def runaway(c: Column, least: int = 20_000, tail: int = 400, low: int = 20, high: int = 80, lines: int = 60, repeats: int = 8, shortest: int = 20) -> Column:
+    """A long text whose end repeats with a period, or one of whose last complete lines
+    recurs. Lines count without blanks at both ends, and only from `shortest` characters
+    on, since code repeats short lines; the line behind the last line end may still grow."""
     end = F.right(c, F.lit(tail))
-    periodic = F.exists(F.sequence(F.lit(low), F.lit(high)), lambda p: F.substr(end, p + 1) == F.left(end, F.lit(tail) - p))
-    rows = F.filter(F.slice(F.reverse(F.split(c, "\n")), 1, lines), lambda x: F.trim(x) != "")
+    periodic = (F.length(c) >= tail) & F.exists(F.sequence(F.lit(low), F.lit(high)), lambda p: F.substr(end, p + 1) == F.left(end, F.lit(tail) - p))
+    every = F.split(c, "\n")
+    whole = F.slice(every, F.greatest(F.size(every) - lines, F.lit(1)), F.least(F.size(every) - 1, F.lit(lines)))
+    rows = F.filter(F.transform(whole, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= shortest)
     repeated = F.exists(F.array_distinct(rows), lambda x: F.size(F.filter(rows, lambda y: y == x)) >= repeats)
     return (F.length(c) >= least) & (periodic | repeated)
 
@@ -229,10 +233,13 @@ def build_prefix_hash(c: Column) -> Column:
 
 
 def test_counts(c: Column) -> Column:
-    """(passed, failed) of a pytest or unittest summary; null where there is none."""
-    number = lambda p: F.regexp_extract(c, p, 1)
-    to_int = lambda s: F.when(s != "", s.cast("int"))
-    passed, failed = to_int(number(r"([0-9]+) passed")), to_int(number(r"([0-9]+) failed"))
-    ran, bad = to_int(number(r"Ran ([0-9]+) tests?")), F.coalesce(to_int(number(r"failures=([0-9]+)")), F.lit(0)) + F.coalesce(to_int(number(r"errors=([0-9]+)")), F.lit(0))
-    pytest = passed.isNotNull() | failed.isNotNull()
-    return F.when(pytest, F.struct(F.coalesce(passed, F.lit(0)).alias("passed"), F.coalesce(failed, F.lit(0)).alias("failed"))).when(ran.isNotNull(), F.struct((ran - bad).alias("passed"), bad.alias("failed")))
+    """(passed, failed) of the last pytest or unittest summary, errors counted as failed;
+    null where there is none."""
+    last = lambda p: F.try_element_at(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.lit(-1)).cast("int")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    passed, failed, errors = last(r"\b([0-9]+) passed"), last(r"\b([0-9]+) failed"), last(r"\b([0-9]+) errors?\b")
+    ran = last(r"Ran ([0-9]+) tests?")
+    bad = F.try_element_at(F.regexp_extract_all(c, F.lit(r"FAILED \(([^)]*)\)"), F.lit(1)), F.lit(-1))
+    count = lambda word: zero(F.nullif(F.regexp_extract(bad, rf"{word}=([0-9]+)", 1), F.lit("")).cast("int"))
+    wrong = zero(count("failures") + count("errors"))
+    return F.when(passed.isNotNull() | failed.isNotNull(), F.struct(zero(passed).alias("passed"), (zero(failed) + zero(errors)).alias("failed"))).when(ran.isNotNull(), F.struct((ran - wrong).alias("passed"), wrong.alias("failed")))

@@ -49,17 +49,32 @@ def alike(df: DataFrame, node: str, key: F.Column) -> DataFrame:
     return t.join(t.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b")
 
 
+def _jumps(parents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jumps, circular): tables (node, up) of the ancestor 1, 2, 4, ... above a node, and
+    the nodes (node) whose way up never ends. No way without a circle is longer than there
+    are nodes, so what still has an ancestor that far above goes round."""
+    state = parents.select("node", F.col("parent").alias("up")).where("up is not null").checkpoint()
+    jumps, most = [], parents.count()
+    while not state.isEmpty() and 2 ** len(jumps) <= most:
+        jumps.append(state)
+        state = state.join(state.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")).checkpoint()
+    return jumps, state.select("node").distinct()
+
+
+def circular(parents: DataFrame) -> DataFrame:
+    """The nodes of parents (node, parent) whose way up leads into a circle."""
+    return _jumps(parents)[1]
+
+
 def root_paths(parents: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) for parents (node, parent): each node, then up to its root."""
-    links = parents.select("node", F.col("parent").alias("up"))
-    out = links.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    reach, step = links.where("up is not null").checkpoint(), 1
-    while not reach.isEmpty():
-        # what is known reaches `step` up; add the ancestors of the node `step` above
-        more = reach.join(out.withColumnRenamed("node", "up"), "up").select("node", "ancestor", (F.col("distance") + step).alias("distance"))
+    """(node, ancestor, distance) for parents (node, parent): each node, then up to its root.
+    A node whose way up leads into a circle has no path and no rows: circular() lists those."""
+    jumps, lost = _jumps(parents)
+    out = parents.select("node").join(lost, "node", "left_anti").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    for i, jump in enumerate(jumps):
+        # what is known reaches 2 ** i - 1 up; add the same again, seen from the node 2 ** i above
+        more = out.join(jump.withColumnRenamed("node", "ancestor"), "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("distance") + 2**i).alias("distance"))
         out = out.unionByName(more).checkpoint()
-        reach = reach.join(reach.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")).checkpoint()
-        step *= 2
     return out
 
 

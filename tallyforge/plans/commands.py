@@ -112,11 +112,14 @@ def x12(spark, d) -> DataFrame:
 
 
 #: Test output -> passed, failed (null: no counts).
-TESTS = (("== {k} failed, 5 passed in 3s ==", "k", 5), ("5 passed, 2 warnings", 0, 5), ("Ran 9 tests in 1s\n\nOK", 0, 9), ("Ran 9 tests\n\nFAILED (failures=1, errors=2)", 3, 6), ("no tests here", None, None))
+TESTS = (
+    ("== {k} failed, 5 passed in 3s ==", "k", 5), ("5 passed, 2 warnings", 0, 5), ("Ran 9 tests in 1s\n\nOK", 0, 9), ("Ran 9 tests\n\nFAILED (failures=1, errors=2)", 3, 6), ("no tests here", None, None),
+    ("1 failed, 2 passed, 3 errors in 1s", 4, 2), ("4 passed\n== {k} failed, 7 passed, 1 error ==", "k + 1", 7), ("Ran 3 tests\nFAILED (errors=1)\nRan 8 tests\nFAILED (failures=2)", 2, 6),
+)
 
 
 @R.add("x11_test_counts", _E + """
-SELECT event_id, CASE k % 5 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 9 WHEN 3 THEN 6 END AS passed, CASE k % 5 WHEN 0 THEN k WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 3 END AS failed FROM e""")
+SELECT event_id, CASE k % 8 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 9 WHEN 3 THEN 6 WHEN 5 THEN 2 WHEN 6 THEN 7 WHEN 7 THEN 6 END AS passed, CASE k % 8 WHEN 0 THEN k WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN k + 1 WHEN 7 THEN 2 END AS failed FROM e""")
 def x11(spark, d) -> DataFrame:
     e = keyed(spark, d).select("event_id", T.test_counts(filled(tuple(t[0] for t in TESTS), F.col("k"))).alias("t"))
     return e.select("event_id", "t.passed", F.col("t.failed").cast("long").alias("failed"))
@@ -358,14 +361,17 @@ def w3(spark, d) -> DataFrame:
 
 
 @R.add("x26_runaway_texts", """
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || repeat(right('0123456789abcdefghijklmnopqrstuvwxyz' || doc_id, 30), 20) ELSE text END AS text FROM documents WHERE length(text) >= 500),
-l AS (SELECT doc_id, unnest(list_reverse(string_split(text, chr(10)))[1:60]) AS line FROM d), c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2) GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) >= 3 OR len([p for p in range(20, 81) if substr(right(text, 400), p + 1) = left(right(text, 400), 400 - p)]) > 0 AS runaway FROM d LEFT JOIN c USING (doc_id)""")
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || repeat(right('0123456789abcdefghijklmnopqrstuvwxyz' || doc_id, 30), 20) WHEN doc_id % 11 < 4 THEN text || repeat(chr(10) || '  a line that comes again ' || doc_id || chr(10) || '}', 6 + doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END ELSE text END AS text FROM documents WHERE length(text) >= 500),
+l AS (SELECT doc_id, unnest(list_reverse(string_split(text, chr(10)))[2:61]) AS line FROM d), c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line, count(*) AS n FROM l GROUP BY 1, 2) WHERE length(line) >= 20 GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) >= 8 OR len([p for p in range(20, 81) if substr(right(text, 400), p + 1) = left(right(text, 400), 400 - p)]) > 0 AS runaway FROM d LEFT JOIN c USING (doc_id)""")
 def x26(spark, d) -> DataFrame:
-    """An end of period 20 to 80, or a line that recurs among the last 60."""
+    """An end of period 20 to 80, or a line of 20 characters that recurs 8 times among the
+    last 60 complete ones; from 500 characters on, as few documents have 20,000."""
     end = F.repeat(F.right(F.concat(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), F.col("doc_id").cast("string")), F.lit(30)), F.lit(20))
-    t = table(spark, d, "documents").where("length(text) >= 500").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", end)).otherwise(F.col("text")).alias("text"))
-    return t.select("doc_id", T.runaway(F.col("text"), least=500, repeats=3).alias("runaway"))
+    line = F.concat(F.lit("\n  a line that comes again "), F.col("doc_id").cast("string"), F.lit("\n}"))
+    again = F.concat(F.repeat(line, (6 + F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 2 == 0, "\n").otherwise(""))
+    t = table(spark, d, "documents").where("length(text) >= 500").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", end)).when(F.col("doc_id") % 11 < 4, F.concat("text", again)).otherwise(F.col("text")).alias("text"))
+    return t.select("doc_id", T.runaway(F.col("text"), least=500).alias("runaway"))
 
 
 @R.add("x39_image_references", """

@@ -64,6 +64,7 @@ def t4(spark, d) -> DataFrame:
 @R.add("t9_idempotent_requests", "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2")
 def t9(spark, d) -> DataFrame:
     """The first row of each request id, as the feed delivered it."""
+    _stateful(spark)
     out = shared(spark, "once")
     return replay(spark, d, lambda feed: feeds.first_per_request(spark, feed.select("user_id", "event_type", "event_id", "value"), f"{out}/rows", ["user_id", "event_type"], "event_id", f"{out}/state"))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def change_feed(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -78,60 +79,89 @@ def each_batch(feed: DataFrame, fold, checkpoint: str, mode: str = "append"):
     return q
 
 
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches whose folder `path`/v<number> is complete, in order. A
+    restart without new data finds them as they are; what a failed batch left is not listed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    folders = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("v")]
+    done = [p.getName()[1:] for p in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n) for n in done if n.isdigit())
+
+
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    done = written_batches(spark, path)
+    return spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in done]) if done else spark.createDataFrame([], schema)
+
+
 def latest_view(spark: SparkSession, feed: DataFrame, path: str, key: str, order: str, checkpoint: str, shards: int = 64) -> DataFrame:
     """The newest row per key, maintained below `path` batch by batch.
 
     Keys are dealt over `shards` by hash. A batch folds only the shards that it touches:
-    they are written anew under the batch's number, and the others stay where they were
-    (`shards` names, per shard, the last batch that wrote it). A batch that runs again
-    after a failure writes the same rows from the same state.
+    they are written anew under the batch's number, and the others stay where they were.
+    Its index, written last, names the batch that holds each shard, so a batch or a restart
+    reads one index, however many came before. A batch that runs again after a failure
+    writes the same rows from the same state.
     """
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     schema = feed.schema
 
-    def current(number: int) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for i in range(number):
-            for (s,) in spark.read.schema("shard int").parquet(f"{path}/touched/v{i}").collect():  # at most `shards` rows
-                out[s] = i
-        return out
+    def current(before: int | None = None) -> dict[int, int]:
+        done = [n for n in written_batches(spark, f"{path}/index") if before is None or n < before]
+        if not done:
+            return {}
+        return {r["shard"]: r["held_by"] for r in spark.read.schema("shard int, held_by long").parquet(f"{path}/index/v{done[-1]}").collect()}  # at most `shards` rows
 
     def read(where: dict[int, int]) -> DataFrame:
-        out = spark.createDataFrame([], schema)
-        for number in sorted(set(where.values())):
-            own = [s for s, n in where.items() if n == number]
-            out = out.unionByName(spark.read.schema(schema).option("basePath", f"{path}/rows/v{number}").parquet(*[f"{path}/rows/v{number}/shard={s}" for s in own]).select(*schema.names))
-        return out
+        folders = [f"{path}/rows/v{n}/shard={s}" for s, n in where.items()]  # at most `shards`
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
     def fold(batch: DataFrame, number: int) -> None:
         new = batch.withColumn("shard", shard)
         touched = [r[0] for r in new.select("shard").distinct().collect()]  # at most `shards` rows
-        old = read({s: n for s, n in current(number).items() if s in touched})
-        rows = new.drop("shard").unionByName(old)
+        held = current(number)
+        rows = new.drop("shard").unionByName(read({s: n for s, n in held.items() if s in touched}))
         best = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), order).alias("r")).select("r.*").withColumn("shard", shard)
         best.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows/v{number}")
-        spark.createDataFrame([(s,) for s in touched], "shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/touched/v{number}")
+        held |= dict.fromkeys(touched, number)
+        spark.createDataFrame(list(held.items()), "shard int, held_by long").coalesce(1).write.mode("overwrite").parquet(f"{path}/index/v{number}")
 
-    q = each_batch(feed, fold, checkpoint)
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return read(current(last + 1))
+    each_batch(feed, fold, checkpoint)
+    return read(current())
 
 
-def first_per_request(spark: SparkSession, feed: DataFrame, path: str, request: list[str], order: str, checkpoint: str) -> DataFrame:
-    """The first row of each request id (smallest `order`), whatever the age of a repeat:
-    each batch appends only the requests that no batch before it had."""
-    schema = feed.schema
+class FirstOnly(StatefulProcessor):
+    """Per key one flag; emits the first row (smallest `order`) of a key that has none yet."""
 
-    def fold(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy(*request).agg(F.min_by(F.struct(*schema.names), order).alias("r")).select("r.*")
-        if number:
-            seen = spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in range(number)])
-            first = first.join(seen.select(*request), request, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/v{number}")
+    def __init__(self, order: str, names: list[str]):
+        self.order, self.names = order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in rows:
+            one = frame.nsmallest(1, self.order)
+            best = one if best is None or one[self.order].iloc[0] < best[self.order].iloc[0] else best
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        yield best[self.names]
+
+    def close(self) -> None:
+        pass
 
-    q = each_batch(feed, fold, checkpoint)
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in range(last + 1)]) if last >= 0 else spark.createDataFrame([], schema)
+
+def first_per_request(spark: SparkSession, feed: DataFrame, path: str, request: list[str], order: str, checkpoint: str) -> DataFrame:
+    """The first row of each request id (smallest `order` of its batch), whatever the age of
+    a repeat: a flag per request is kept as keyed state, so a batch reads nothing of those
+    before it. Needs the RocksDB state store provider."""
+    once = feed.groupBy(*request).transformWithStateInPandas(FirstOnly(order, feed.columns), feed.schema, "append", "none")
+    each_batch(once, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/v{number}"), checkpoint)
+    return _batches(spark, path, feed.schema)
 
 
 def bounded_frames(spark: SparkSession, feed: DataFrame, path: str, key: str, order: str, pending: int, checkpoint: str) -> DataFrame:
@@ -143,11 +173,10 @@ def bounded_frames(spark: SparkSession, feed: DataFrame, path: str, key: str, or
         n = F.count("*").over(Window.partitionBy(key))
         newest = F.max(order).over(Window.partitionBy(key))
         rows = batch.withColumn("_n", n).withColumn("_last", newest).where((F.col("_n") <= pending) | (F.col(order) == F.col("_last")))
-        rows.select(*names, F.when(F.col("_n") > pending, F.col("_n")).otherwise(F.lit(1)).alias("frames")).write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows.select(*names, F.when(F.col("_n") > pending, F.col("_n")).otherwise(F.lit(1).cast("long")).alias("frames")).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    q = each_batch(feed, fold, checkpoint)
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return spark.read.parquet(*[f"{path}/v{i}" for i in range(last + 1)])
+    each_batch(feed, fold, checkpoint)
+    return _batches(spark, path, StructType([*feed.schema.fields, StructField("frames", LongType())]))
 
 
 class HeadAndTail(StatefulProcessor):

@@ -61,6 +61,11 @@ def test_graphs(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and got[500] == 500
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2)], "node long, parent long")
     assert sorted(tuple(r) for r in graphs.root_paths(tree).collect()) == [(1, 1, 0), (2, 1, 1), (2, 2, 0), (3, 1, 2), (3, 2, 1), (3, 3, 0), (4, 1, 2), (4, 2, 1), (4, 4, 0)]
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, None), (5, 4), (6, 6), (7, 99)], "node long, parent long")
+    assert sorted(tuple(r) for r in graphs.root_paths(ring).collect()) == [(4, 4, 0), (5, 4, 1), (5, 5, 0), (7, 7, 0), (7, 99, 1)]
+    assert sorted(r["node"] for r in graphs.circular(ring).collect()) == [1, 2, 3, 6]
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(130)], "node long, parent long")
+    assert graphs.root_paths(deep).where("node = 129").count() == 130 and graphs.circular(deep).count() == 0
 
 
 def test_pairs_and_models(spark):
