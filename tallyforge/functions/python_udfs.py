@@ -84,57 +84,6 @@ def resolved_path(folder: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else posixpath.normpath(posixpath.join(f or "/", p)) for f, p in zip(folder, path, strict=True)])
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def shell_parts(command: pd.Series) -> pd.Series:
-    """Simple commands of a shell line, cut at ; & | && || and line ends outside quotes,
-    with here-document bodies and comments left out."""
-
-    def one(t):
-        if t is None:
-            return None
-        parts, word, quote, i, waiting = [], [], "", 0, []
-        while i < len(t):
-            c = t[i]
-            if quote:
-                if c == "\\" and quote == '"' and i + 1 < len(t):
-                    word.append(t[i : i + 2])
-                    i += 2
-                    continue
-                quote = "" if c == quote else quote
-            elif c in "'\"":
-                quote = c
-            elif c == "\\" and i + 1 < len(t):
-                word.append(t[i : i + 2])
-                i += 2
-                continue
-            elif c == "#" and (not word or word[-1].isspace()):
-                while i < len(t) and t[i] != "\n":
-                    i += 1
-                continue
-            elif found := re.match(r"<<-?\s*(['\"]?)(\w+)\1", t[i:]) if c == "<" else None:
-                waiting.append(found[2])
-                word.append(found[0])
-                i += len(found[0])
-                continue
-            elif c in ";|&\n" and not (c == "&" and (t[i - 1 : i] == ">" or t[i + 1 : i + 2] == ">")):
-                parts.append("".join(word).strip())
-                word = []
-                if c == "\n" and waiting:
-                    for name in waiting:
-                        end = re.search(rf"^\s*{re.escape(name)}\s*$", t[i + 1 :], re.M)
-                        i = i + 1 + end.end() if end else len(t)
-                    waiting = []
-                    continue
-                i += 1
-                continue
-            word.append(c)
-            i += 1
-        parts.append("".join(word).strip())
-        return [p for p in parts if p]
-
-    return command.map(one)
-
-
 @F.pandas_udf(types.StringType())
 def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     lines = lambda t: (t or "").splitlines()

@@ -161,37 +161,6 @@ def error_class(output: Column, command: Column, code: Column) -> Column:
     )
 
 
-#: What stands before a program, and a redirection into a file.
-WRAPPERS = r"^(?:\s*(?:sudo|time|timeout\s+\S+|env|nice|stdbuf\s+\S+|\w+=(?:\"[^\"]*\"|'[^']*'|\S*))\s+)*"
-INTO_FILE = r"(?<![0-9&])>{1,2}\s*(?!&|/dev/)[^\s>&]"
-
-#: Program -> intent of its command part.
-INTENTS = {
-    "read": ("cat", "head", "tail", "sed", "less", "wc"), "list": ("ls", "tree", "du", "stat", "find", "fd"), "search": ("grep", "rg", "ag", "locate", "which"), "history": ("git",),
-    "test": ("pytest", "tox", "nosetests", "unittest"), "run": ("python", "python3", "node", "bash", "sh"), "build": ("make", "cmake", "gcc", "cargo"),
-    "package": ("pip", "pip3", "uv", "conda", "apt-get", "apt", "npm", "yarn"), "network": ("curl", "wget"), "docs": ("man", "info"), "neutral": ("cd", "echo", "export", "true", "sleep"),
-}
-
-
-def program(part) -> Column:
-    """The program that a simple command runs, after wrappers and assignments."""
-    return F.regexp_extract(F.regexp_replace(part, WRAPPERS, ""), r"^\s*(\S+)", 1)
-
-
-def writes_file(part: Column) -> Column:
-    """Whether a simple command redirects its output into a file."""
-    return F.rlike(part, F.lit(INTO_FILE))
-
-
-def intent(part: Column) -> Column:
-    """What a simple command is for; one that writes a file is a write."""
-    name = F.substring_index(program(part), "/", -1)
-    out = F.lit("other")
-    for kind, programs in INTENTS.items():
-        out = F.when(name.isin(*programs), kind).otherwise(out)
-    return F.when(writes_file(part), "write").otherwise(out)
-
-
 def _fitting(lines: Column, most_lines: int, most_bytes: int) -> Column:
     """struct(lines, bytes): how many of the first lines fit, and their bytes with line ends between."""
     start = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("open"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "pairs", "sequences", "texts", "groups", "streams", "logfiles", "contexts", "commands", "reports")
+MODULES = ("rollups", "pairs", "sequences", "texts", "groups", "streams", "logfiles", "contexts", "commands", "shells", "reports")
 
 
 def _of(kind: str) -> dict:

@@ -18,23 +18,8 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
-#: Command template -> its parts joined by " ~ ", the program of the first part, whether that part writes a file, and its intent.
-COMMANDS = (
-    ("cd /app && make -j{k}", "cd /app ~ make -j{k}", "cd", False, "neutral"),
-    ("sudo timeout 5 python run.py --n {k} > out.txt", "sudo timeout 5 python run.py --n {k} > out.txt", "python", True, "write"),
-    ("A=1 B='x y' env C=2 pytest -q t{k}.py; echo done", "A=1 B='x y' env C=2 pytest -q t{k}.py ~ echo done", "pytest", False, "test"),
-    ("cat f{k}.txt | head -5", "cat f{k}.txt ~ head -5", "cat", False, "read"),
-    ("grep -rn 'a;b|c' src 2>/dev/null", "grep -rn 'a;b|c' src 2>/dev/null", "grep", False, "search"),
-    ("nice stdbuf -oL ls -l /tmp/{k} >/dev/null 2>&1", "nice stdbuf -oL ls -l /tmp/{k} >/dev/null 2>&1", "ls", False, "list"),
-    ("time git log --oneline -n {k} # last", "time git log --oneline -n {k}", "git", False, "history"),
-    ("echo \"a && b\" >> log{k}", "echo \"a && b\" >> log{k}", "echo", True, "write"),
-    ("curl -s http://localhost:{k}/ || true", "curl -s http://localhost:{k}/ ~ true", "curl", False, "network"),
-    ("pip install p{k}", "pip install p{k}", "pip", False, "package"),
-)
-
-
 def _sql(v) -> str:
-    return str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
 def values(rows: tuple, names: str) -> str:
@@ -42,7 +27,6 @@ def values(rows: tuple, names: str) -> str:
     return "(VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, r))})" for i, r in enumerate(rows)) + f") t(i, {names})"
 
 
-_CASES = values(COMMANDS, "command, parts, program, writes, intent")
 _E = f"WITH e AS (SELECT event_id, {_K} AS k FROM events) "
 
 
@@ -55,29 +39,6 @@ def keyed(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def command_lines(spark, d) -> DataFrame:
-    k = F.col("k")
-    return keyed(spark, d).select("event_id", filled(tuple(c[0] for c in COMMANDS), k).alias("command"))
-
-
-@R.add("x14_shell_parts", _E + f"SELECT event_id, replace(parts, '{{k}}', CAST(k AS VARCHAR)) AS parts FROM e JOIN {_CASES} ON k % {len(COMMANDS)} = i")
-def x14(spark, d) -> DataFrame:
-    return command_lines(spark, d).select("event_id", F.array_join(U.shell_parts("command"), " ~ ").alias("parts"))
-
-
-@R.add("x15_program_and_file_write", _E + f"SELECT event_id, program, writes FROM e JOIN {_CASES} ON k % {len(COMMANDS)} = i")
-def x15(spark, d) -> DataFrame:
-    first = command_lines(spark, d).select("event_id", F.get(U.shell_parts("command"), F.lit(0)).alias("part"))
-    return first.select("event_id", T.program("part").alias("program"), T.writes_file(F.col("part")).alias("writes"))
-
-
-@R.add("p5_handler_table", _E + f"SELECT event_id, intent FROM e JOIN {_CASES} ON k % {len(COMMANDS)} = i")
-def p5(spark, d) -> DataFrame:
-    """Intent of a command's first part: a table from program to intent, writes first."""
-    first = command_lines(spark, d).select("event_id", F.get(U.shell_parts("command"), F.lit(0)).alias("part"))
-    return first.select("event_id", T.intent(F.col("part")).alias("intent"))
-
-
 #: Output, command, exit code (-1: none) -> class. The ladder's first match wins.
 OUTPUTS = (
     ("Validation failed for tool bash", "ls", -1, "malformed"),
