@@ -41,27 +41,48 @@ def paired_statistics(pairs: DataFrame, passed: str, cost: str, digits: int = 6)
     )
 
 
-#: Measures of one pair, in the order of pair_measures().
-MEASURES = (
-    "n", "base_pass", "arm_pass", "base_only", "arm_only", "bs_n", "bs_base_wall", "bs_arm_wall", "bs_logw", "bs_model_n", "bs_base_model", "bs_arm_model", "bs_logm", "solved_both", "both_logw",
-    "base_wall", "arm_wall", "model_n", "base_model", "arm_model", "model_zero", "all_logw",
-)
-
-
-def pair_measures(pairs: DataFrame, passed: str, wall: str, model: str) -> DataFrame:
-    """pairs with MEASURES: flags as 0 or 1, times of both sides where the baseline passed
-    (bs_*), where both did, and of all pairs; logarithms of arm over base are null where
-    their condition fails. The model times may be null on either side."""
-    bp, ap, bw, aw, bm, am = (F.col(f"{side}_{c}") for c in (passed, wall, model) for side in ("base", "arm"))
-    has = bm.isNotNull() & am.isNotNull()
-    zero = has & ((bm <= 0) | (am <= 0))
-    flag = lambda c: c.cast("int")
-    made = (
-        F.lit(1), flag(bp), flag(ap), flag(bp & ~ap), flag(ap & ~bp), flag(bp), F.when(bp, bw).otherwise(0.0), F.when(bp, aw).otherwise(0.0), F.when(bp, F.log(aw / bw)), flag(bp & has), F.when(bp & has, bm).otherwise(0.0), F.when(bp & has, am).otherwise(0.0), F.when(bp & has & ~zero, F.log(am / bm)),
-        flag(bp & ap), F.when(bp & ap, F.log(aw / bw)), bw, aw, flag(has), F.when(has, bm).otherwise(0.0), F.when(has, am).otherwise(0.0), flag(zero), F.log(aw / bw),
-    )
-    taken = [c for c in pairs.columns if c not in MEASURES]
-    return pairs.select(*taken, *[c.alias(n) for n, c in zip(MEASURES, made, strict=True)])
+#: Which pairs a group of measures is about.
+GROUPS = ("all", "baseline_passed", "both_passed")
+
+
+def measures_of(passed: str, times: dict[str, str]) -> dict[str, Column]:
+    """The measures of one pair by name: who passed, and per group of pairs and per time (a
+    name to the column's name behind base_ and arm_) how many pairs have it, both sides, and
+    the logarithm of arm over base.
+
+    Outside its group a pair counts 0 and has no logarithm; neither has a pair with a time
+    that is missing or not above zero, which `<time>_unusable` counts when it is there.
+    """
+    b, a = F.col(f"base_{passed}"), F.col(f"arm_{passed}")
+    within = dict(zip(GROUPS, (F.lit(True), b, b & a), strict=True))
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    out = {"pairs": F.lit(1), "base_passes": one(b), "arm_passes": one(a), "only_base_passes": one(b & ~a), "only_arm_passes": one(a & ~b), "both_pass": one(b & a)}
+    for time, column in times.items():
+        x, y = F.col(f"base_{column}"), F.col(f"arm_{column}")
+        there = x.isNotNull() & y.isNotNull()
+        usable = there & (x > 0) & (y > 0)
+        for group, holds in within.items():
+            out[f"{group}_{time}_n"] = one(holds & there)
+            out[f"{group}_{time}_base"] = F.when(holds & there, x).otherwise(0.0)
+            out[f"{group}_{time}_arm"] = F.when(holds & there, y).otherwise(0.0)
+            out[f"{group}_{time}_log"] = F.when(holds & usable, F.log(y / x))
+        out[f"{time}_unusable"] = one(there & ~usable)
+    return out
+
+
+def pair_measures(pairs: DataFrame, passed: str, times: dict[str, str]) -> DataFrame:
+    """pairs with the columns of measures_of(); a column of pairs with such a name is replaced."""
+    made = measures_of(passed, times)
+    return pairs.select(*[c for c in pairs.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+
+
+def summed_measures(measured: DataFrame, by: list[str], passed: str, times: dict[str, str]) -> DataFrame:
+    """Measures of pairs added up by groups: counts and times as sums, logarithms as lists
+    (sorted), and all base and arm times as lists (`<time>_base_list`, `<time>_arm_list`)."""
+    made = measures_of(passed, times)
+    sums = [F.sort_array(F.collect_list(n)).alias(n) if n.endswith("_log") else F.sum(n).alias(n) for n in made]
+    lists = [F.sort_array(F.collect_list(f"{side}_{c}")).alias(f"{time}_{side}_list") for time, c in times.items() for side in ("base", "arm")]
+    return measured.groupBy(*by).agg(*sums, *lists)
 
 
 def draw(replicate: Column, slot: Column, n: Column, seed: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import python_udfs as U
 from ..functions import search
 from ..functions import text as T
-from ..operators import deltas, similarity
+from ..operators import deltas, errors, similarity
 from ..sources.tables import table
 from .registry import Registry
 
@@ -39,37 +39,48 @@ def keyed(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-#: Output, command, exit code (-1: none) -> class. The ladder's first match wins.
+#: Output, command, exit code (-1: none) -> class and detail. The ladder's first match wins.
 OUTPUTS = (
-    ("Validation failed for tool bash", "ls", -1, "malformed"),
-    ("Command timed out after {k} s", "make", -1, "timeout or killed"),
-    ("Killed", "make", -1, "timeout or killed"),
-    ("no output", "make", 137, "timeout or killed"),
-    ("bash: line 1: python: command not found", "python x.py", 127, "interpreter"),
-    ("bash: jq: command not found", "jq . f", 127, "program"),
-    ("ModuleNotFoundError: No module named 'x{k}'", "python x.py", 1, "module"),
-    ("cp: cannot create f: Permission denied", "cp a f", 1, "permission"),
-    ("curl: (6) Could not resolve host: a{k}", "curl a", 6, "network"),
-    ("E: Unable to locate package p{k}", "apt-get install p", 100, "install"),
-    ("  File x\nSyntaxError: invalid syntax", "python x.py", 1, "syntax"),
-    ("fatal: not a git repository", "git status", 128, "git"),
-    ("fatal: not seen by git", "make", 2, "nothing found"),
-    ("cat: f{k}: No such file or directory", "cat f", 1, "path"),
-    ("Traceback (most recent call last):\nFileNotFoundError: f{k}", "python x.py", 1, "path"),
-    ("== {k}7 failed, 2 passed ==", "pytest", 1, "tests"),
-    ("Traceback (most recent call last):\nAssertionError: {k}", "python x.py", 1, "tests"),
-    ("Traceback (most recent call last):\nValueError: No such file or directory", "python x.py", 1, "exception"),
-    ("no output", "./a.out", 139, "exception"),
-    ("no output", "grep x f", 1, "nothing found"),
-)
-
-
-@R.add("x12_error_classes", _E + f"SELECT event_id, class FROM e JOIN {values(OUTPUTS, 'output, command, code, class')} ON k % {len(OUTPUTS)} = i")
+    ("Validation failed for tool bash", "ls", -1, "malformed", None), ("Command timed out after {k} s", "make", -1, "timeout or killed", None), ("x\nKilled", "make", -1, "timeout or killed", None), ("no output", "make", 137, "timeout or killed", None),
+    ("bash: line 1: python: command not found", "python x.py", 127, "interpreter", None), ("/usr/bin/env: ‘node’: No such file or directory", "./a.js", 127, "interpreter", None), ("bash: jq: command not found", "jq . f", 127, "program", "jq"), ("sh: 1: xxd{k}: not found", "xxd{k} f", 127, "program", "xxd{k}"),
+    ("ModuleNotFoundError: No module named 'x{k}'", "python x.py", 1, "module", None), ("a.c:1:10: fatal error: zlib.h: No such file or directory", "gcc a.c", 1, "module", None), ("/usr/bin/ld: cannot find -lm{k}", "gcc a.c", 1, "module", None),
+    ("cp: cannot create f: Permission denied", "cp a f", 1, "permission", None), ("bash: ./run{k}.sh: Permission denied", "./run{k}.sh --now", 126, "no execute permission", "./run{k}.sh"),
+    ("curl: (7) Failed to connect to localhost port {k}: Connection refused", "curl localhost:{k}", 7, "local server", None), ("curl: (6) Could not resolve host: a{k}", "curl a", 6, "network", None), ("ping: h{k}: Name or service not known", "ping h", 2, "network", None), ("wget: ERROR 404: missing", "wget a", 8, "network", None),
+    ("E: Unable to locate package p{k}", "apt-get install p", 100, "install", None), ("E: Package p{k} has no installation candidate", "apt install p", 100, "install", None),
+    ("  File x\nSyntaxError: invalid syntax", "python x.py", 1, "syntax", None), ("main.c:{k}:1: error: expected ;", "gcc main.c", 1, "syntax", None), ("error[E0308]: mismatched types", "cargo build", 101, "syntax", None), ("sed: -e expression #1, char 5: unterminated `s' command", "sed s/a f", 1, "syntax", None),
+    ("fatal: not a git repository", "git status", 128, "git", None), ("fatal: not seen by git", "make", 2, "no error text", None),
+    ("cat: f{k}: No such file or directory", "cat f", 1, "missing path", "f{k}"), ("ls: cannot access 'd{k}/': No such file or directory", "ls d", 2, "missing path", "d{k}"), ("Traceback (most recent call last):\nFileNotFoundError: [Errno 2] No such file or directory: 'f{k}'", "python x.py", 1, "missing path", "f{k}"),
+    ("bash: out{k}/a.txt: No such file or directory", "echo 1 > out{k}/a.txt", 1, "missing folder", "out{k}/a.txt"), ("bash: line 3: cd: w{k}: No such file or directory", "cd w{k}", 1, "missing folder", "w{k}"), ("cp: cannot create regular file 'z{k}/f': No such file or directory", "cp f z", 1, "missing folder", "z{k}/f"),
+    ("== {k}7 failed, 2 passed ==", "pytest", 1, "tests", None), ("Traceback (most recent call last):\nAssertionError: {k}", "python x.py", 1, "tests", "AssertionError"), ("no words", "python -m pytest -q", 1, "tests", None),
+    ("Traceback (most recent call last):\nValueError: No such file or directory", "python x.py", 1, "exception", "ValueError"), ("terminate called after throwing an instance of 'int'", "./a.out", 134, "exception", None), ("no output", "./a.out", 139, "exception", None),
+    ("no output", "cd a; grep x f", 1, "nothing found", None), ("no output", "frobnicate {k}", 1, "no error text", None), ("", "diff a b", 1, "nothing found", None),
+)
+
+
+@R.add("x12_error_classes", _E + f"SELECT event_id, class, replace(detail, '{{k}}', CAST(k AS VARCHAR)) AS detail FROM e JOIN {values(OUTPUTS, 'output, command, code, class, detail')} ON k % {len(OUTPUTS)} = i")
 def x12(spark, d) -> DataFrame:
+    """Failed calls by class, each a session of its own."""
     k = F.col("k")
-    at = lambda j, kind: F.get(F.array(*[F.lit(o[j]).cast(kind) for o in OUTPUTS]), (k % len(OUTPUTS)).cast("int"))
-    e = keyed(spark, d).select("event_id", filled(tuple(o[0] for o in OUTPUTS), k).alias("output"), at(1, "string").alias("command"), F.nullif(at(2, "int"), F.lit(-1)).alias("code"))
-    return e.select("event_id", T.error_class(F.col("output"), F.col("command"), F.col("code")).alias("class"))
+    e = keyed(spark, d).select("event_id", filled(tuple(o[0] for o in OUTPUTS), k).alias("output"), filled(tuple(o[1] for o in OUTPUTS), k).alias("command"), F.nullif(F.get(F.array(*[F.lit(o[2]) for o in OUTPUTS]), (k % len(OUTPUTS)).cast("int")), F.lit(-1)).alias("code"))
+    got = errors.classified(e.withColumn("turn", F.lit(0)), ["event_id"], "turn")
+    return got.select("event_id", "class", "detail")
+
+
+@R.add("x12_wrong_paths", """
+WITH c AS (SELECT conv_id, turn, turn % 2 = 0 AS shows, (conv_id + turn) % 3 AS k, (conv_id * 3 + turn) % 4 AS form FROM conversations),
+s AS (SELECT conv_id, k, turn AS at, CASE form WHEN 0 THEN 'deep' WHEN 1 THEN 'bare' WHEN 2 THEN 'short' ELSE 'other' END AS how FROM c WHERE shows),
+m AS (SELECT conv_id, turn, k, form, CASE form WHEN 0 THEN 'lib/part' || k || '.py' WHEN 1 THEN 'part' || k || '.py' WHEN 2 THEN 'old/main.py' ELSE '/app/src/part' || k || '.py' END AS path FROM c WHERE NOT shows)
+SELECT m.conv_id, m.turn, path AS detail, CASE WHEN bool_or(CASE form WHEN 0 THEN how IN ('deep', 'bare', 'short') WHEN 1 THEN how IN ('deep', 'short') WHEN 2 THEN FALSE ELSE how = 'deep' OR how = 'bare' END) THEN 'wrong path' ELSE 'missing path' END AS class
+FROM m LEFT JOIN s ON s.conv_id = m.conv_id AND s.k = m.k AND s.at < m.turn GROUP BY m.conv_id, m.turn, path""")
+def x12_wrong(spark, d) -> DataFrame:
+    """Sessions whose even turns show paths and whose odd turns miss one: had it been shown elsewhere?"""
+    c, t = F.col("conv_id"), F.col("turn")
+    k, form = ((c + t) % 3).cast("string"), (c * 3 + t) % 4
+    put = lambda *texts: F.replace(F.when(form == 0, texts[0]).when(form == 1, texts[1]).when(form == 2, texts[2]).otherwise(texts[3]), F.lit("{k}"), k)
+    shows = put("found: ./pkg/core/part{k}.py and main.py\n", "total 8\npart{k}.py\nnotes.md", "src/part{k}.py:12: x", "part{k}.pyc mypart{k}.py")
+    misses = put("cat: lib/part{k}.py: No such file or directory", "python: can't open file 'part{k}.py': [Errno 2] No such file or directory", "cat: old/main.py: No such file or directory", "cat: /app/src/part{k}.py: No such file or directory")
+    calls = table(spark, d, "conversations").select("conv_id", "turn", F.lit("cat x").alias("command"), F.when(t % 2 == 0, shows).otherwise(misses).alias("output"), (t % 2).cast("int").alias("code"))
+    return errors.classified(calls, ["conv_id"], "turn").where("turn % 2 = 1").select("conv_id", "turn", "class", "detail")
 
 
 #: Test output -> passed, failed (null: no counts).

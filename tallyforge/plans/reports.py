@@ -29,15 +29,44 @@ WITH s AS (SELECT o_custkey, o_orderpriority AS p, sum(o_totalprice) AS wall, CA
 j AS (SELECT a.o_custkey, a.wall AS bw, b.wall AS aw, a.model AS bq, b.model AS aq, a.ok AS bp, b.ok AS ap FROM s a JOIN s b ON a.o_custkey = b.o_custkey WHERE a.p = '{base}' AND b.p = '{arm}') """
 
 
-@R.add("f15_pair_measures", _PAIRS.format(base="1-URGENT", arm="5-LOW") + """
-SELECT o_custkey, 1 AS n, bp::INTEGER AS base_pass, ap::INTEGER AS arm_pass, (bp AND NOT ap)::INTEGER AS base_only, (ap AND NOT bp)::INTEGER AS arm_only, bp::INTEGER AS bs_n, round(CASE WHEN bp THEN bw ELSE 0 END, 4) AS bs_base_wall, round(CASE WHEN bp THEN aw ELSE 0 END, 4) AS bs_arm_wall,
-  round(CASE WHEN bp THEN ln(aw / bw) END, 8) AS bs_logw, (bp AND bq IS NOT NULL)::INTEGER AS bs_model_n, CASE WHEN bp THEN bq ELSE 0 END AS bs_base_model, CASE WHEN bp THEN aq ELSE 0 END AS bs_arm_model, round(CASE WHEN bp AND bq > 0 AND aq > 0 THEN ln(aq / bq) END, 8) AS bs_logm,
-  (bp AND ap)::INTEGER AS solved_both, round(CASE WHEN bp AND ap THEN ln(aw / bw) END, 8) AS both_logw, round(bw, 4) AS base_wall, round(aw, 4) AS arm_wall, 1 AS model_n, bq AS base_model, aq AS arm_model, (bq <= 0 OR aq <= 0)::INTEGER AS model_zero, round(ln(aw / bw), 8) AS all_logw FROM j""")
-def f15(spark, d) -> DataFrame:
+_TIMES = {"wall": "wall", "model": "model"}
+#: Group -> its condition on the flags of a pair.
+_WITHIN = {"all": "TRUE", "baseline_passed": "bp", "both_passed": "bp AND ap"}
+
+
+def _measures_sql() -> str:
+    """The measures of j's pairs in SQL, a column each."""
+    out = ["1 AS pairs", "bp::INTEGER AS base_passes", "ap::INTEGER AS arm_passes", "(bp AND NOT ap)::INTEGER AS only_base_passes", "(ap AND NOT bp)::INTEGER AS only_arm_passes", "(bp AND ap)::INTEGER AS both_pass"]
+    for time, x, y in (("wall", "bw", "aw"), ("model", "bq", "aq")):
+        for group, holds in _WITHIN.items():
+            out.append(f"({holds} AND {x} IS NOT NULL AND {y} IS NOT NULL)::INTEGER AS {group}_{time}_n")
+            out += [f"round(CASE WHEN {holds} AND {x} IS NOT NULL AND {y} IS NOT NULL THEN {v} ELSE 0 END, 4) AS {group}_{time}_{side}" for side, v in (("base", x), ("arm", y))]
+            out.append(f"round(CASE WHEN {holds} AND {x} > 0 AND {y} > 0 THEN ln({y} / {x}) END, 8) AS {group}_{time}_log")
+        out.append(f"coalesce({x} <= 0 OR {y} <= 0, FALSE)::INTEGER AS {time}_unusable")
+    return ", ".join(out)
+
+
+def _measured(spark, d) -> DataFrame:
     p = pairing.paired(by_customer(spark, d, "1-URGENT"), by_customer(spark, d, "5-LOW"), "o_custkey").where("state = 'paired'")
-    m = pairing.pair_measures(p, "passed", "wall", "model")
-    rounded = {"bs_base_wall": 4, "bs_arm_wall": 4, "base_wall": 4, "arm_wall": 4, "bs_logw": 8, "bs_logm": 8, "both_logw": 8, "all_logw": 8}
-    return m.select("o_custkey", *[F.round(c, rounded[c]).alias(c) if c in rounded else F.col(c) for c in pairing.MEASURES])
+    return pairing.pair_measures(p, "passed", _TIMES)
+
+
+@R.add("f15_pair_measures", _PAIRS.format(base="1-URGENT", arm="5-LOW") + f"SELECT o_custkey, {_measures_sql()} FROM j")
+def f15(spark, d) -> DataFrame:
+    m, digits = _measured(spark, d), {"log": 8, "base": 4, "arm": 4}
+    names = pairing.measures_of("passed", _TIMES)
+    return m.select("o_custkey", *[F.round(n, digits[n.rsplit("_", 1)[-1]]).alias(n) if n.rsplit("_", 1)[-1] in digits else F.col(n) for n in names])
+
+
+@R.add("f15_summed_measures", _PAIRS.format(base="1-URGENT", arm="5-LOW") + f""", m AS (SELECT o_custkey, bw, aw, {_measures_sql()} FROM j)
+SELECT c_nationkey, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(both_pass) AS BIGINT) AS both_pass, CAST(sum(model_unusable) AS BIGINT) AS model_unusable, len(list(both_passed_wall_log) FILTER (WHERE both_passed_wall_log IS NOT NULL)) AS n_logs, round(list_min(list(bw)), 4) AS least_base, round(list_max(list(aw)), 4) AS most_arm, len(list(bw)) AS n_walls
+FROM m JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def f15_summed(spark, d) -> DataFrame:
+    """Measures of pairs added up by nation, logarithms and wall times as lists."""
+    m = _measured(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    s = pairing.summed_measures(m, ["c_nationkey"], "passed", _TIMES)
+    n_logs = F.size(F.coalesce("both_passed_wall_log", F.array())).cast("long")
+    return s.select("c_nationkey", "pairs", "both_pass", "model_unusable", n_logs.alias("n_logs"), F.round(F.array_min("wall_base_list"), 4).alias("least_base"), F.round(F.array_max("wall_arm_list"), 4).alias("most_arm"), F.size("wall_base_list").cast("long").alias("n_walls"))
 
 
 @R.add("j5_model_study_pairs", _PAIRS.format(base="2-HIGH", arm="3-MEDIUM") + "SELECT o_custkey, round(aw / bw, 6) AS wall_ratio, ap = bp AS same FROM j")

@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.functions import text as T
 from tallyforge.operators import contexts, deltas, models, similarity
 from tallyforge.plans import commands, groups, reports
 from tallyforge.sources import commits
@@ -106,7 +105,18 @@ def test_list_differences_are_never_longer_than_the_list(old, new):
     assert len(json.dumps(ops)) <= len(json.dumps([["r", {"l": new}]])) + 8
 
 
-def test_error_classes_with_nulls(spark):
-    r = spark.range(1).select(T.error_class(F.lit("FAILED x"), F.lit("pytest"), F.lit(None).cast("int")).alias("a"), T.error_class(F.lit(""), F.lit(""), F.lit(137)).alias("b")).first()
-    assert (r["a"], r["b"]) == ("tests", "timeout or killed")
+def test_sequence_ratios_stay_in_range(spark):
     assert commands.x3(spark, SF).where("ratio is null or ratio < 0 or ratio > 1").count() == 0
+
+
+def test_pair_measures_of_a_few_pairs(spark):
+    from tallyforge.operators import pairing
+
+    rows = [("x", True, True, 100.0, 50.0, 4.0, 0.0), ("y", True, False, 100.0, 300.0, None, 2.0), ("z", False, True, 100.0, 80.0, 5.0, 10.0)]
+    pairs = spark.createDataFrame(rows, "block string, base_ok boolean, arm_ok boolean, base_wall double, arm_wall double, base_model double, arm_model double")
+    m = {r["block"]: r for r in pairing.pair_measures(pairs, "ok", {"wall": "wall", "model": "model"}).collect()}
+    assert [m[b]["only_base_passes"] for b in "xyz"] == [0, 1, 0] and [m[b]["both_pass"] for b in "xyz"] == [1, 0, 0]
+    assert abs(m["x"]["both_passed_wall_log"] - math.log(0.5)) < 1e-12 and m["y"]["both_passed_wall_log"] is None and m["z"]["baseline_passed_wall_base"] == 0.0
+    assert [m[b]["model_unusable"] for b in "xyz"] == [1, 0, 0] and [m[b]["all_model_n"] for b in "xyz"] == [1, 0, 1] and m["x"]["all_model_log"] is None
+    s = pairing.summed_measures(pairing.pair_measures(pairs, "ok", {"wall": "wall", "model": "model"}), [], "ok", {"wall": "wall", "model": "model"}).first()
+    assert (s["pairs"], s["all_wall_base"], s["all_wall_arm"], s["wall_arm_list"]) == (3, 300.0, 430.0, [50.0, 80.0, 300.0]) and s["all_model_log"] == [math.log(2.0)]
