@@ -259,9 +259,11 @@ def d5(spark, d) -> DataFrame:
     return deltas.materialise(revisions(spark, d))
 
 
-@R.add("d6_as_of_snapshot", _REVISIONS.format(k=_K, where="WHERE event_id <= 700"))
+@R.add("d6_as_of_snapshot", _REVISIONS.format(k=_K, where="WHERE event_id <= (SELECT max(event_id) * 7 // 10 FROM events)"))
 def d6(spark, d) -> DataFrame:
-    return deltas.materialise(revisions(spark, d), 700)
+    """As of seven tenths of the sequence."""
+    most = table(spark, d, "events").agg(F.max("event_id").alias("m")).first()["m"] or 0
+    return deltas.materialise(revisions(spark, d), most * 7 // 10)
 
 
 @R.add("x28_json_operations", f"""SELECT event_id, '{{"a": "yz", "c": [' || k || ', 9, 8, 1], "n": ' || k || '}}' AS json FROM (SELECT event_id, {_K} AS k FROM events)""")

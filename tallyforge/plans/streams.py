@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared
 from ..sources.tables import table
-from ..streaming import feeds, runaway
+from ..streaming import documents, feeds, runaway
 from .registry import Registry
 
 R = Registry()
@@ -169,3 +169,24 @@ def t12(spark, d) -> DataFrame:
 @R.add("t13_starts_in_last_hour", "SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) / 1e6 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events")
 def t13(spark, d) -> DataFrame:
     return feeds.starts_in_last_hour(table(spark, d, "events").select("event_id", "ts"), "ts").select("event_id", "in_hour")
+
+
+_VERSIONS = tuple(
+    documents.Definition(v, initial=lambda: {"k": 0}, migrate=lambda value, old: value | {"since": old}, checkpoint_when=lambda value, ops, n: n >= 4) for v in (1, 2)
+)
+
+
+@R.add("p7_checkpointed_documents", """
+WITH e AS (SELECT user_id AS document_id, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS t, 3 * event_id // (SELECT max(event_id) + 1 FROM events) >= 2 AS late FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY document_id, late ORDER BY seq) - 1 AS i, count(*) FILTER (WHERE NOT late) OVER (PARTITION BY document_id) > 0 AS old FROM e)
+SELECT document_id, seq, CASE WHEN i % 5 = 0 THEN 'base' ELSE 'delta' END AS kind, CAST(CASE WHEN late THEN 2 ELSE 1 END AS INTEGER) AS version,
+  CASE WHEN i % 5 = 0 THEN '{"k": ' || k || ', "last": "' || t || '"' || CASE WHEN late AND old THEN ', "since": 1' ELSE '' END || '}' ELSE '[["s", ["k"], ' || k || '], ["s", ["last"], "' || t || '"]]' END AS content FROM n""")
+def p7(spark, d) -> DataFrame:
+    """Documents of users: a base after four deltas at most, and one when the second version of the definition takes over."""
+    _stateful(spark)
+    out, calls = shared(spark, "documents"), iter(range(100))
+    k = F.get_json_object("props", "$.k")
+    ops = F.format_string('[["s", ["k"], %s], ["s", ["last"], "%s"]]', k, F.col("event_type"))
+    changes = lambda feed: feed.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), ops.alias("ops"))
+    replay(spark, d, lambda feed: sink(documents.revisions(changes(feed), _VERSIONS[next(calls) >= 2]), out))
+    return spark.read.schema(documents.REVISIONS).parquet(f"{out}/rows")
