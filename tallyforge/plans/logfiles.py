@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import commits, folders, logs
+from ..sources import commits, folders, logs, logscan
 from ..sources.scratch import shared
 from ..sources.tables import table
 from .registry import Registry
@@ -81,7 +81,8 @@ def s6(spark, d) -> DataFrame:
 
 @R.add("s7_pruned_by_file_time", "SELECT DISTINCT user_id AS session FROM events WHERE 1 + user_id % 28 >= 15")
 def s7(spark, d) -> DataFrame:
-    return logs.newer_than(logs.lines(spark, session_files(spark, d), "*.txt"), "2024-05-15").select(session().alias("session")).distinct()
+    """Lines of files from a day on; the others are not opened."""
+    return logscan.scan(spark, session_files(spark, d), ".txt", since="2024-05-15").select(session().alias("session")).distinct()
 
 
 @R.add("k10_most_recent_file", "SELECT max(1 + user_id % 28) AS day, max(user_id) FILTER (WHERE user_id % 28 = (SELECT max(user_id % 28) FROM events)) AS session FROM events")

@@ -1,6 +1,7 @@
 """JSON-lines logs: folder walks, and three ways to treat lines that do not parse.
 
-All readers go through Spark's sources, so any path that Spark reads will do.
+All readers go through Spark's sources, so any path that Spark reads will do; headers() uses
+the source of logscan where it reaches the path.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import logscan
+
 
 def lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """(path, line) of every line of the files below a folder, in no order."""
@@ -50,9 +53,14 @@ def read_strict(spark: SparkSession, folder: str, schema: StructType | str, glob
 
 
 def headers(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.jsonl") -> DataFrame:
-    """The first line of each file, parsed; files with a bad first line are left out."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
-    first = whole.select(F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("line"))
+    """The first line of each file, parsed; files with a bad first line are left out. A file
+    is read up to its first line end, except in stores that only Spark's readers reach,
+    where it is read whole."""
+    if glob.startswith("*.") and logscan.reachable(folder):
+        first = logscan.scan(spark, folder, glob[1:], "first").select("path", "line")
+    else:
+        whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
+        first = whole.select(F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("line"))
     return first.where(F.try_parse_json("line").isNotNull()).select("path", F.from_json("line", schema).alias("row")).select("path", "row.*")
 
 
