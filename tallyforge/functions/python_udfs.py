@@ -5,6 +5,7 @@ import difflib
 import json
 import posixpath
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,6 +20,29 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else max(one(x[:2000], y[:2000]), one(y[:2000], x[:2000])) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def bounded_ratio(limit: float):
+    """A function of two texts: the sequence ratio of their first 2,000 characters, the larger
+    of both orders; null where the lengths, or the characters they have in common whatever
+    their order, already say that it is below `limit`."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        x, y = x[:2000], y[:2000]
+        total = len(x) + len(y)
+        if not total:
+            return 1.0
+        if 2 * min(len(x), len(y)) < limit * total or 2 * sum((Counter(x) & Counter(y)).values()) < limit * total:
+            return None
+        return max(difflib.SequenceMatcher(None, *p).ratio() for p in ((x, y), (y, x)))
+
+    @F.pandas_udf(types.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
 @F.pandas_udf(types.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and runs of blanks inside strings as one; null if it does not parse."""

@@ -105,6 +105,13 @@ def x3(spark, d) -> DataFrame:
     return p.select("item_id", F.round(U.sequence_ratio("text", "other"), 6).alias("ratio"))
 
 
+@R.add("x3_similar_pairs")
+def x3_pairs(spark, d) -> DataFrame:
+    """All pairs of benchmark texts with a sequence ratio of 0.6 at least, through the gates
+    (no SQL twin: tested against all pairs)."""
+    return similarity.ratio_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.6).select("x", "y", F.round("ratio", 6).alias("ratio"))
+
+
 @R.add("x5_near_identical", """
 WITH p AS (SELECT item_id, left(text, 10 + item_id) AS x, left(text, 10 + item_id) || repeat('?', item_id % 17) AS y FROM benchmark),
 g AS (SELECT item_id, 0 AS side, unnest([substr(x, i, 2) for i in range(1, length(x))]) AS b FROM p UNION ALL SELECT item_id, 1, unnest([substr(y, i, 2) for i in range(1, length(y))]) FROM p),
@@ -274,6 +281,20 @@ def x28(spark, d) -> DataFrame:
     return keyed(spark, d).select("event_id", U.applied_ops(base, ops).alias("json"))
 
 
+@R.add("x29_list_moves", f"""
+WITH e AS (SELECT event_id, {_K} AS k FROM events)
+SELECT event_id, CASE k % 3 WHEN 0 THEN '[["v", ["l"], [[0, ' || (1 + k % 5) || ', ' || (11 - k % 5) || ']]]]' WHEN 1 THEN '[["p", ["l"], ' || (k % 10) || ', 1, []]]' ELSE '[["p", ["l"], 12, 0, [' || (k % 7) || ', -1]], ["p", ["l"], 0, 2, []]]' END AS ops FROM e""")
+def x29_moves(spark, d) -> DataFrame:
+    """Differences of lists: a beginning that moves to the end, one element less, both ends changed."""
+    k = F.col("k")
+    old = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: 100 + i * 10)
+    n = (1 + k % 5).cast("int")
+    less = F.filter(old, lambda x, i: i != k % 10)
+    new = F.when(k % 3 == 0, F.concat(F.slice(old, n + 1, F.lit(12)), F.slice(old, F.lit(1), n))).when(k % 3 == 1, less).otherwise(F.concat(F.slice(old, 3, 10), F.array((k % 7).cast("int"), F.lit(-1))))
+    both = keyed(spark, d).select("event_id", F.to_json(F.struct(old.alias("l"))).alias("old"), F.to_json(F.struct(new.alias("l"))).alias("new"))
+    return both.select("event_id", U.json_ops("old", "new").alias("ops"))
+
+
 @R.add("x29_json_differences", "SELECT event_id, true AS same, true AS no_longer FROM events")
 def x29(spark, d) -> DataFrame:
     """Operations between two values, applied to the first, give the second; they are never
