@@ -107,9 +107,11 @@ def x3(spark, d) -> DataFrame:
 
 @R.add("x3_similar_pairs")
 def x3_pairs(spark, d) -> DataFrame:
-    """All pairs of benchmark texts with a sequence ratio of 0.6 at least, through the gates
-    (no SQL twin: tested against all pairs)."""
-    return similarity.ratio_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.6).select("x", "y", F.round("ratio", 6).alias("ratio"))
+    """All pairs of benchmark texts, and of copies without every seventh word, with a sequence
+    ratio of 0.6 at least, through the gates (no SQL twin: tested against all pairs)."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    copies = b.select((F.col("item_id") + 1_000_000).alias("item_id"), F.regexp_replace("text", r"((?:\S+\s+){6})\S+\s+", "$1").alias("text"))
+    return similarity.ratio_pairs(b.unionByName(copies), "item_id", "text", 0.6).select("x", "y", F.round("ratio", 6).alias("ratio"))
 
 
 @R.add("x5_near_identical", """

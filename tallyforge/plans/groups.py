@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import graphs, models, similarity
+from ..operators import graphs, models, similarity, tasks
 from ..sources.tables import table
 from .registry import Registry
 
@@ -327,3 +327,21 @@ def j17(spark, d) -> DataFrame:
     chain = graphs.fork_chain(n.select("node", F.when(F.col("node") >= 5, F.col("node") - 5).alias("parent"), "cut"))
     j = chain.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("ancestor")).where(F.col("limit").isNull() | (F.col("c_custkey") <= F.col("limit")))
     return j.groupBy(F.col("node").cast("int").alias("conv")).agg(F.count("*").alias("visible"))
+
+
+@R.add("t5_dependency_outlook", """
+WITH RECURSIVE t AS (SELECT p_partkey AS task, CASE WHEN p_partkey % 11 = 0 THEN 'failed' WHEN p_partkey % 11 < 5 THEN 'done' ELSE 'open' END AS state, p_partkey % 2 = 0 AS fast FROM part),
+n AS (SELECT task, task // 2 AS need FROM t WHERE task > 1 UNION SELECT task, task // 3 FROM t WHERE task % 5 < 2 AND task > 2 UNION SELECT task, task + 1 FROM t WHERE task % 50 = 27 UNION SELECT task, task - 1 FROM t WHERE task % 50 = 28),
+up(task, need) AS (SELECT task, need FROM n UNION SELECT u.task, n.need FROM up u JOIN n ON n.task = u.need), c AS (SELECT DISTINCT task FROM up WHERE need IN (SELECT task FROM up WHERE task = need)),
+dead(task) AS (SELECT task FROM t WHERE state = 'failed' UNION SELECT t.task FROM dead JOIN n ON n.need = dead.task JOIN t ON t.task = n.task WHERE t.state = 'open' AND t.fast),
+k AS (SELECT n.task, count(*) AS needs, count(*) FILTER (WHERE t.state = 'done') AS done, count(*) FILTER (WHERE t.state = 'done' OR t.task IN (SELECT task FROM dead)) AS settled FROM n LEFT JOIN t ON t.task = n.need GROUP BY 1)
+SELECT t.task, CASE WHEN state <> 'open' THEN state WHEN t.task IN (SELECT task FROM c) THEN 'circular' WHEN t.task IN (SELECT task FROM dead) THEN 'doomed' WHEN coalesce(needs, 0) = coalesce(CASE WHEN fast THEN done ELSE settled END, 0) THEN 'ready' ELSE 'waiting' END AS outlook
+FROM t LEFT JOIN k ON k.task = t.task""")
+def t5_outlook(spark, d) -> DataFrame:
+    """Parts as tasks that need parts of smaller keys, a few of them each other."""
+    k = F.col("task")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("task"))
+    t = p.select("task", F.when(k % 11 == 0, "failed").when(k % 11 < 5, "done").otherwise("open").alias("state"), F.when(k % 2 == 0, "failFast").otherwise("allSettled").alias("policy"))
+    edge = lambda when, need: p.where(when).select("task", need.cast("long").alias("need"))
+    needs = edge("task > 1", F.floor(k / 2)).unionByName(edge("task % 5 < 2 and task > 2", F.floor(k / 3))).unionByName(edge("task % 50 = 27", k + 1)).unionByName(edge("task % 50 = 28", k - 1))
+    return tasks.outlook(t, needs).select("task", "outlook")
