@@ -59,7 +59,7 @@ def f15(spark, d) -> DataFrame:
 
 
 @R.add("f15_summed_measures", _PAIRS.format(base="1-URGENT", arm="5-LOW") + f""", m AS (SELECT o_custkey, bw, aw, {_measures_sql()} FROM j)
-SELECT c_nationkey, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(both_pass) AS BIGINT) AS both_pass, CAST(sum(model_unusable) AS BIGINT) AS model_unusable, len(list(both_passed_wall_log) FILTER (WHERE both_passed_wall_log IS NOT NULL)) AS n_logs, round(list_min(list(bw)), 4) AS least_base, round(list_max(list(aw)), 4) AS most_arm, len(list(bw)) AS n_walls
+SELECT c_nationkey, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(both_pass) AS BIGINT) AS both_pass, CAST(sum(model_unusable) AS BIGINT) AS model_unusable, count(both_passed_wall_log) AS n_logs, round(list_min(list(bw)), 4) AS least_base, round(list_max(list(aw)), 4) AS most_arm, len(list(bw)) AS n_walls
 FROM m JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
 def f15_summed(spark, d) -> DataFrame:
     """Measures of pairs added up by nation, logarithms and wall times as lists."""
