@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import python_udfs as U
 from ..functions import search
 from ..functions import text as T
+from ..functions.edits import applied_edits
 from ..operators import deltas, errors, similarity
 from ..sources.tables import table
 from .registry import Registry
@@ -371,6 +372,24 @@ def x26(spark, d) -> DataFrame:
     return t.select("doc_id", T.runaway(F.col("text"), least=500).alias("runaway"))
 
 
+@R.add("x43_fuzzy_edits", """
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, coalesce(nullif(regexp_extract(lower(coalesce(text, '')), '[a-z]{3,8}'), ''), 'none') AS w FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'top' || chr(10) || 'now ' || i || ' “x” ' || chr(10) || 'end  ' WHEN 1 THEN 'a b ' || chr(10) || 'now ' || i || ', "x"' || chr(10) || 'end – ' || i || ' ' END AS content,
+  CASE doc_id % 5 WHEN 2 THEN 'several' WHEN 3 THEN 'not found' WHEN 4 THEN 'no change' END AS problem, CASE doc_id % 5 WHEN 0 THEN '2' WHEN 1 THEN '2' WHEN 4 THEN '1' ELSE '' END AS lines FROM d""")
+def x43_edits(spark, d) -> DataFrame:
+    """One edit of a text: exact, alike only, twice there, not there, and one that changes nothing."""
+    i, n = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    w = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]{3,8}", 0), F.lit("")), F.lit("none"))
+    text = (
+        F.when(n == 0, F.concat(F.lit("top\nsay "), w, F.lit(" “x” \nend  "))).when(n == 1, F.concat(F.lit("a b \nsay ‘"), w, F.lit("’, “x”  \nend – "), i, F.lit(" ")))
+        .when(n == 2, F.concat(F.lit("say ‘"), w, F.lit("’ and say '"), w, F.lit("'"))).when(n == 3, F.lit("nothing\nof it")).otherwise(F.concat(F.lit("say "), w))
+    )
+    old = F.when(n.isin(0, 4), F.concat(F.lit("say "), w)).otherwise(F.concat(F.lit("say '"), w, F.lit("'")))
+    new = F.when(n == 4, F.concat(F.lit("say "), w)).otherwise(F.concat(F.lit("now "), i))
+    rows = table(spark, d, "documents").select("doc_id", applied_edits(text, F.array(F.struct(old.alias("old"), new.alias("new")))).alias("e"))
+    return rows.select("doc_id", "e.content", "e.problem", F.array_join(F.transform("e.lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
 @R.add("x39_image_references", """
 WITH i AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 3 WHEN 0 THEN ':' || page_id WHEN 1 THEN ':v1/x' ELSE '' END AS x FROM pages),
 r AS (SELECT page_id, x, CASE WHEN contains(x, '/') AND (contains(split_part(x, '/', 1), '.') OR contains(split_part(x, '/', 1), ':') OR split_part(x, '/', 1) = 'localhost') THEN split_part(x, '/', 1) END AS registry FROM i),
