@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared
 from ..sources.tables import table
-from ..streaming import documents, feeds, runaway
+from ..streaming import documents, feeds, runaway, throttled
 from .registry import Registry
 
 R = Registry()
@@ -152,6 +152,23 @@ def t10(spark, d) -> DataFrame:
     return spark.read.schema("doc_id long, made string").parquet(out)
 
 
+@R.add("t11_throttled_commits", """
+WITH RECURSIVE e AS (SELECT user_id, event_type AS value, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, i, tm, value, tm AS committed, NULL::VARCHAR AS waits, NULL::BIGINT AS due_at, NULL::VARCHAR AS due, tm AS now_at, value AS now FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.tm, e.value, CASE WHEN e.tm >= b.base + 21600000 THEN e.tm ELSE b.base END, CASE WHEN e.tm >= b.base + 21600000 THEN NULL ELSE e.value END, b.due_at, b.due, CASE WHEN e.tm >= b.base + 21600000 THEN e.tm END, CASE WHEN e.tm >= b.base + 21600000 THEN e.value END
+  FROM (SELECT w.user_id, w.i, n.tm AS next_at, CASE WHEN w.waits IS NOT NULL AND w.committed + 21600000 <= n.tm THEN w.committed + 21600000 ELSE w.committed END AS base, CASE WHEN w.waits IS NOT NULL AND w.committed + 21600000 <= n.tm THEN w.committed + 21600000 END AS due_at,
+    CASE WHEN w.waits IS NOT NULL AND w.committed + 21600000 <= n.tm THEN w.waits END AS due FROM w JOIN e n ON n.user_id = w.user_id AND n.i = w.i + 1) b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, due_at AS at_ms, due AS value FROM w WHERE due_at IS NOT NULL UNION ALL SELECT CAST(user_id AS VARCHAR), now_at, now FROM w WHERE now_at IS NOT NULL""")
+def t11(spark, d) -> DataFrame:
+    """At most one commit in six hours a user; what waits when the feed ends stays uncommitted,
+    since no time passes after it (the watermark stays far behind)."""
+    _stateful(spark)
+    out = shared(spark, "throttled")
+    rows = lambda feed: feed.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("value"), F.lit(False).alias("final"))
+    replay(spark, d, lambda feed: sink(throttled.throttled(rows(feed), 21_600_000, "3650 days"), out))
+    return spark.read.schema(throttled.COMMITS).parquet(f"{out}/rows").select("key", "at_ms", "value")
+
+
 @R.add("t12_head_and_tail_buffers", """
 WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT CAST(user_id AS VARCHAR) AS session, max(n) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE i <= 3) AS head, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE i > 3 AND n - i < 3), '') AS tail, greatest(max(n) - 6, 0) AS left_out FROM o GROUP BY 1""")
