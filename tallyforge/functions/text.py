@@ -90,12 +90,13 @@ def runaway(c: Column, least: int = 20_000, tail: int = 400, low: int = 20, high
     """A long text whose end repeats with a period, or one of whose last complete lines
     recurs. Lines count without blanks at both ends, and only from `shortest` characters
     on, since code repeats short lines; the line behind the last line end may still grow."""
-    end = F.right(c, F.lit(tail))
-    periodic = (F.length(c) >= tail) & F.exists(F.sequence(F.lit(low), F.lit(high)), lambda p: F.substr(end, p + 1) == F.left(end, F.lit(tail) - p))
-    every = F.split(c, "\n")
-    whole = F.slice(every, F.greatest(F.size(every) - lines, F.lit(1)), F.least(F.size(every) - 1, F.lit(lines)))
+    # a value that a lambda looks at again and again is bound once, as the only element of an array
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    periods = F.sequence(F.lit(low), F.lit(high))
+    periodic = bound(F.right(c, F.lit(tail)), lambda end: (F.length(end) >= tail) & F.exists(periods, lambda p: F.substr(end, p + 1) == F.left(end, F.lit(tail) - p)))
+    whole = bound(F.split(c, "\n"), lambda every: F.slice(every, F.greatest(F.size(every) - lines, F.lit(1)), F.least(F.size(every) - 1, F.lit(lines))))
     rows = F.filter(F.transform(whole, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= shortest)
-    repeated = F.exists(F.array_distinct(rows), lambda x: F.size(F.filter(rows, lambda y: y == x)) >= repeats)
+    repeated = bound(rows, lambda r: F.exists(F.array_distinct(r), lambda x: F.size(F.filter(r, lambda y: y == x)) >= repeats))
     return (F.length(c) >= least) & (periodic | repeated)
 
 
