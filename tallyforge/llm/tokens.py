@@ -28,6 +28,9 @@ JOINED = 256
 #: Punctuation that both vocabularies cut off after an ASCII letter or digit; not the
 #: apostrophe, which may belong to the letters after it.
 TAIL = "".join(c for c in string.punctuation if c != "'")
+TAILED = "[0-9A-Za-z][" + "".join("\\" + c for c in TAIL) + "]+$"
+#: Words of letters below U+0100 only.
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
 _MEMOS: dict[str, "PieceMemo"] = {}
 
@@ -43,6 +46,11 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _listed(a: pa.Array) -> list:
+    """A list of Python values; by way of numpy, which is many times faster than to_pylist()."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceMemo:
     """Ids of texts under one `tokenizers` vocabulary file.
 
@@ -89,53 +97,51 @@ class PieceMemo:
                 last = n
         return out
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Ids of new pieces. A tail of punctuation after an ASCII letter or digit is
-        cut off by both vocabularies before merges, so it is looked up by itself."""
-        known, lead, words, rest, cut = self.known, " " if self.spaced else "", [], [], []
-        bases: set[str] = set()
-        for p in fresh:
-            base = p.rstrip(TAIL)
-            if base and len(base) < len(p) and base[-1].isascii() and base[-1].isalnum() and "<|" not in p:
-                cut.append((p, base))
-                if base not in known:
-                    bases.add(base)
-            elif p.isalpha() and max(p) < "Ā":
-                words.append(p)
-            else:
-                rest.append(p)
-        for b in bases.difference(fresh):
-            if b in self.older:
-                known[b] = self.older[b]
-            else:
-                (words if b.isalpha() and max(b) < "Ā" else rest).append(b)
-        known.update(zip(words, self._letters(words), strict=True))
-        known.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
-        tails = list({p[len(b) :] for p, b in cut}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode(tails), strict=True))
-        for p, b in cut:
-            known[p] = known[b] + self.tails[p[len(b) :]]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, from the memo as far as it has them."""
+    def _learn(self, fresh: pa.Array) -> None:
+        """Ids of new bases."""
+        plain = pc.match_substring_regex(fresh, LETTERS)
+        words, rest = _listed(fresh.filter(plain)), _listed(fresh.filter(pc.invert(plain)))
+        lead = " " if self.spaced else ""
+        self.known.update(zip(words, self._letters(words), strict=True))
+        self.known.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
+
+    def _bases(self, bases: pa.Array) -> list[bytes]:
+        """Ids of distinct bases, from the memo as far as it has them."""
         if len(self.known) > self.limit // 2:
             self.known, self.older, self.tails = {}, self.known, {}
-        known, older = self.known, self.older
-        found = list(map(known.get, pieces))
+        known, older, names = self.known, self.older, _listed(bases)
+        found = list(map(known.get, names))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         fresh = []
-        for i, ids in enumerate(found):
+        for i in missing:
+            ids = older.get(names[i])
             if ids is None:
-                p = pieces[i]
-                ids = older.get(p)
-                if ids is None:
-                    fresh.append(p)
-                else:
-                    known[p] = found[i] = ids
+                fresh.append(i)
+            else:
+                known[names[i]] = found[i] = ids
         if fresh:
-            self._learn(fresh)
-            found = [known[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+            self._learn(bases.take(pa.array(fresh, pa.int64())))
+            for i in fresh:
+                found[i] = known[names[i]]
         return found
 
+    def _ids(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces. A tail of punctuation after an ASCII letter or digit is
+        cut off by both vocabularies before merges, so base and tail are looked up by
+        themselves, and pieces that differ in their tails share a base."""
+        tailed = pc.and_not(pc.match_substring_regex(pieces, TAILED), pc.match_substring(pieces, "<|"))
+        bare = pc.if_else(tailed, pc.ascii_rtrim(pieces, characters=TAIL), pieces)
+        bases = bare.dictionary_encode()
+        found = self._bases(bases.dictionary)
+        out = list(map(found.__getitem__, _listed(bases.indices)))
+        which = np.flatnonzero(tailed.to_numpy(zero_copy_only=False)).tolist()
+        ends = [p[len(b) :] for p, b in zip(_listed(pieces.filter(tailed)), _listed(bare.filter(tailed)), strict=True)]
+        new = list(set(ends).difference(self.tails))
+        self.tails.update(zip(new, self._encode(new), strict=True))
+        for i, t in zip(which, ends, strict=True):
+            out[i] += self.tails[t]
+        return out
+
     def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another and where each text ends; a null text
         counts as empty. `end` is an id to put after each text."""
@@ -148,7 +154,7 @@ class PieceMemo:
         bounds = np.asarray(cut.offsets.to_numpy(), np.int64)
         bounds = bounds - bounds[0]
         words = cut.flatten().dictionary_encode()
-        at, pieces = np.asarray(words.indices.to_numpy(zero_copy_only=False), np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at, pieces = np.asarray(words.indices.to_numpy(zero_copy_only=False), np.int64), words.dictionary
         if self.spaced:
             odd = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words.dictionary), words.dictionary), pc.equal(words.dictionary, ""))
             found, at, bounds = self._spaced(texts, pieces, np.asarray(odd.to_numpy(zero_copy_only=False), bool), at, bounds)
@@ -165,7 +171,7 @@ class PieceMemo:
         ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds[1:]]
         return out, ends
 
-    def _spaced(self, texts: pa.Array, pieces: list[str], odd: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def _spaced(self, texts: pa.Array, pieces: pa.Array, odd: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """First pieces have no blank before them, and texts with odd pieces stay whole;
         both become entries of their own behind the pieces."""
         first, many = bounds[:-1], np.diff(bounds) > 1
@@ -177,9 +183,9 @@ class PieceMemo:
         used[at[inner]] = True
         found = [b""] * len(pieces)
         which = np.flatnonzero(used).tolist()
-        for i, ids in zip(which, self._ids([pieces[i] for i in which]), strict=True):
+        for i, ids in zip(which, self._ids(pieces.filter(pa.array(used))), strict=True):
             found[i] = ids
-        heads = [pieces[i] for i in at[first].tolist()]
+        heads = _listed(pieces.take(pa.array(at[first])))
         singly = self._encode([texts[i].as_py() if w else h for i, (w, h) in enumerate(zip(whole.tolist(), heads, strict=True))])
         at = at.copy()
         at[first] = len(pieces) + np.arange(len(first))
