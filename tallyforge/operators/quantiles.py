@@ -1,6 +1,8 @@
 """Exact quantiles per group that sort no whole column in one task.
 
-Values fall into buckets by a monotone function of the value. A first pass counts rows
+Values fall into buckets by a monotone function of the value: one part follows the
+logarithm, from 2^-40 up, the other divides the middle of the column evenly, so that
+neither tiny values nor times far from zero share one bucket. A first pass counts rows
 per group and bucket; from these small counts follows which bucket holds each wanted
 position. A second pass counts the values of those buckets only.
 """
@@ -10,15 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets per doubling of the value.
-FINE = 256
+#: Buckets per doubling of the value, and even ones between the column's SPREAD.
+FINE, EVEN = 256, 8192
+#: Approximate shares of the column between which the even buckets lie.
+SPREAD = (0.005, 0.995)
 
 
-def bucket(v: Column) -> Column:
-    """A whole number that never falls as v grows; NaN comes last, as in sorting."""
+def middle(df: DataFrame, value: str) -> DataFrame:
+    """One row: low and high, about the SPREAD of the finite values; null without any.
+    They only place buckets, so their error moves no result."""
+    x = F.col(value).cast("double")
+    ends = F.percentile_approx(F.when(F.abs(x) < float("inf"), x), list(SPREAD), 1000)
+    return df.agg(ends.alias("_ends")).select(F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"))
+
+
+def bucket(v: Column, low: Column, high: Column) -> Column:
+    """A whole number that never falls as v grows, as the sum of two such numbers; NaN
+    comes last, as in sorting."""
     x = v.cast("double")
-    step = F.floor(F.log2(1 + F.abs(x)) * FINE)
-    return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(F.least(step, F.lit(1 << 39)) * F.signum(x)).cast("long")
+    step = F.least(F.floor(F.log2(1 + F.abs(x) * float(1 << 40)) * FINE), F.lit(1 << 39)) * F.signum(x)
+    inside = F.least(F.greatest(x, low), high)
+    even = F.when(high > low, F.floor((inside - low) / (high - low) * EVEN)).otherwise(0)
+    return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(step + F.coalesce(even, F.lit(0))).cast("long")
 
 
 def positions(kind: str, q: float, n: Column) -> tuple[Column, Column, Column]:
@@ -42,7 +57,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[
     """by and a column per wanted name -> (kind, q); rows with a null value are left out,
     and groups without a value have no row. disc and floor keep the value's type."""
     kind = dict(df.dtypes)[value]
-    rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("k"), F.col(value).alias("v"), bucket(F.col(value)).alias("b"))
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("k"), F.col(value).alias("v"))
+    ranged = rows.crossJoin(F.broadcast(middle(df, value)))  # one row
+    rows = ranged.select("k", "v", bucket(F.col("v"), F.col("_low"), F.col("_high")).alias("b"))
     hist = rows.groupBy("k", "b").agg(F.count("*").alias("n"))
     group = Window.partitionBy("k")
     hist = hist.select("k", "b", "n", (F.sum("n").over(group.orderBy("b")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
