@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ from . import common, tokens
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WINDOW, LEAST, MOST, MASK = 8, 64, 2048, 255
+#: Bytes of texts that are tokenised at once, so that their pieces are looked up once.
+GATHERED = 8 << 20
+#: Pieces that a worker of this operator remembers: it holds little else.
+MEMO_PIECES = 1_200_000
 #: Digests that a task remembers to leave out chunks it has already sent.
 SEEN = 100_000
 #: Nodes under one node of the manifest's hash trees, and levels of them.
@@ -117,33 +122,54 @@ def _batch(rows: list[tuple], kinds: list, ddl: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in ddl.split(", ")])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, as many in one as have GATHERED bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _encoder(path: str, spaced: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = tokens.memo(path, spaced)
+        memo = tokens.memo(path, spaced, MEMO_PIECES)
         seen: set[bytes] = set()
-        for b in batches:
+        for b in _gathered(batches):
             ids, ends = memo.flat(b.column(1), END_ID)
-            raw = ids.astype("<u4").tobytes()
-            width = 2 if not len(ids) or ids.max() < 1 << 16 else 4  # of the stored ids; the first byte of a body says it
-            short, mark = ids.astype(f"<u{width}").tobytes(), bytes([width])
-            out, last = [], 0
-            for doc_id, stops in zip(b.column(0).to_pylist(), boundaries(ids, ends), strict=True):
-                digests, n = [], stops[-1] - last
-                for stop in stops:
-                    digests.append(d := digest(raw[4 * last : 4 * stop]))
-                    if d not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(d)
-                        out.append((1, d, mark + short[width * last : width * stop], None, None, None, None))
-                    last = stop
-                out.append((0, None, None, doc_id, n, digests, merkle(digests)))
-            yield _batch(out, KINDS, ROWS)
+            docs, ends = b.column(0).to_pylist(), np.concatenate([[0], ends])
+            for i in range(0, len(docs), common.BATCH_ROWS):
+                some = ends[i : i + common.BATCH_ROWS + 1]
+                yield _batch(_chunked(docs[i : i + common.BATCH_ROWS], ids[some[0] : some[-1]], some[1:] - some[0], seen), KINDS, ROWS)
         pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
 
+def _chunked(docs: list[int | None], ids: np.ndarray, ends: np.ndarray, seen: set[bytes]) -> list[tuple]:
+    """ROWS of documents that end at `ends` in ids: new chunks, and a recipe each."""
+    raw = ids.astype("<u4").tobytes()
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4  # of the stored ids; the first byte of a body says it
+    short, mark = ids.astype(f"<u{width}").tobytes(), bytes([width])
+    out, last = [], 0
+    for doc_id, stops in zip(docs, boundaries(ids, ends), strict=True):
+        digests, n = [], stops[-1] - last
+        for stop in stops:
+            digests.append(d := digest(raw[4 * last : 4 * stop]))
+            if d not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(d)
+                out.append((1, d, mark + short[width * last : width * stop], None, None, None, None))
+            last = stop
+        out.append((0, None, None, doc_id, n, digests, merkle(digests)))
+    return out
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by digest, the first of each; rows without a digest all pass."""
     last = None
@@ -217,11 +243,15 @@ def _assembler(sums: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, part, place, start, n, root, chunks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                chunks = sorted(chunks or [], key=lambda x: x["pos"])
+            out, lists = [], b.column(6)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = lists.flatten()  # of all documents in turn; a null list has none
+            order = np.lexsort((found.field("pos").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)))
+            bodies = found.field("body").take(pa.array(order)).to_pylist()
+            stops = np.cumsum(sizes).tolist()
+            for doc_id, part, place, start, n, root, a, z in zip(*(c.to_pylist() for c in b.columns[:6]), [0, *stops], stops, strict=False):
                 try:
-                    parts = [unsqueeze(x["body"]) for x in chunks]
+                    parts = [unsqueeze(x) for x in bodies[a:z]]
                 except (IndexError, ValueError) as e:
                     raise ValueError(f"document {doc_id} differs from its recipe: {e}") from e
                 ids = b"".join(parts)

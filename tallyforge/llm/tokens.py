@@ -97,32 +97,35 @@ class PieceMemo:
                 last = n
         return out
 
-    def _learn(self, fresh: pa.Array) -> None:
-        """Ids of new bases."""
-        plain = pc.match_substring_regex(fresh, LETTERS)
-        words, rest = _listed(fresh.filter(plain)), _listed(fresh.filter(pc.invert(plain)))
+    def _learn(self, names: list[str], plain: list[bool]) -> list[bytes]:
+        """Ids of new bases; plain says which are words of letters."""
         lead = " " if self.spaced else ""
-        self.known.update(zip(words, self._letters(words), strict=True))
-        self.known.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
+        words = self._letters([x for x, p in zip(names, plain, strict=True) if p])
+        rest = self._encode([lead + x for x, p in zip(names, plain, strict=True) if not p])
+        words, rest = iter(words), iter(rest)
+        out = [next(words if p else rest) for p in plain]
+        self.known.update(zip(names, out, strict=True))
+        return out
 
     def _bases(self, bases: pa.Array) -> list[bytes]:
         """Ids of distinct bases, from the memo as far as it has them."""
         if len(self.known) > self.limit // 2:
             self.known, self.older, self.tails = {}, self.known, {}
-        known, older, names = self.known, self.older, _listed(bases)
-        found = list(map(known.get, names))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        fresh = []
-        for i in missing:
-            ids = older.get(names[i])
-            if ids is None:
-                fresh.append(i)
+        names = _listed(bases)
+        found = list(map(self.known.get, names))
+        for turn in ("older", "new"):
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if not missing:
+                break
+            keys = [names[i] for i in missing]
+            if turn == "older":
+                got = list(map(self.older.get, keys)) if self.older else []
+                self.known.update((k, ids) for k, ids in zip(keys, got, strict=bool(got)) if ids is not None)
             else:
-                known[names[i]] = found[i] = ids
-        if fresh:
-            self._learn(bases.take(pa.array(fresh, pa.int64())))
-            for i in fresh:
-                found[i] = known[names[i]]
+                plain = pc.match_substring_regex(bases.take(pa.array(missing, pa.int64())), LETTERS)
+                got = self._learn(keys, _listed(plain))
+            for i, ids in zip(missing, got, strict=bool(got)):
+                found[i] = ids
         return found
 
     def _ids(self, pieces: pa.Array) -> list[bytes]:
@@ -200,8 +203,8 @@ class PieceMemo:
         return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
-def memo(path: str, spaced: bool) -> PieceMemo:
+def memo(path: str, spaced: bool, limit: int = MEMO_PIECES) -> PieceMemo:
     """The worker's memo of a vocabulary, kept between tasks."""
     if path not in _MEMOS:
-        _MEMOS[path] = PieceMemo(path, spaced)
+        _MEMOS[path] = PieceMemo(path, spaced, limit)
     return _MEMOS[path]
