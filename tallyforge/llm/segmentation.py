@@ -11,9 +11,10 @@ search over those nodes pops the next best complete segmentation, and splits the
 it came from. The value of the best node left, kappa, gives each sample its inclusion
 score 1 - exp(-exp(log_prob - kappa)), or 1 when nothing is left.
 
-Pieces do not cross from a word into the blank before the next, so the lattice of a
-text is the chain of its words' lattices; those are kept per worker, and all words of a
-batch walk through them together. Draws are hashes of (seed, row key, sample, place),
+Pieces do not cross from a word into the blank before the next, nor (in a model like the
+public one, which is looked through for that) from letters into what is no letter, so the
+lattice of a text is the chain of its words' lattices; those are kept per worker, and all
+words of a batch walk through them together. Draws are hashes of (seed, row key, sample, place),
 so results depend on nothing but the row. Characters without a piece become bytes.
 
 A null text counts as empty; an empty text has one segmentation, of no pieces. Texts
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,12 @@ MEMO_WORDS = 300_000
 CEILING = 37.0
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Kinds of the first bytes of UTF-8 characters: blanks, Latin letters (and two signs among them), others.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0xC3, 0xC9)]] = 1
+_KIND[0x20] = 0
+#: Words whose lattices are made together, so that their arrays stay in the processor's caches.
+TOGETHER = 8192
 
 
 class Pieces:
@@ -70,6 +78,11 @@ class Pieces:
                 rank = min(-sp.get_score(i), float(n))
                 self.weight[p] = (i, -SLOPE * math.log(rank + SHIFT))
                 self.raw[i] = p.replace(SPACE, " ").encode("utf-8")
+        self.table = pa.array(self.raw, pa.binary())
+        # where a cut falls depends on the two characters beside it, so a piece that is whole here is whole everywhere
+        self.kind, names = _KIND, pa.array([p.replace(SPACE, " ") for p in self.weight], pa.string())
+        if len(self.cut(names)[0]) > len(names):
+            self.kind = np.minimum(_KIND, 1)  # cuts before blanks only
         self.trie()
 
     def trie(self) -> None:
@@ -96,6 +109,7 @@ class Pieces:
         count the characters of all words before, and one end per word. An edge of
         several ids (a character as bytes) has first id -1 - character."""
         codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), "<u4").astype(np.int64)  # a line end per word end
+        codes[codes == 0x20] = ord(SPACE)
         inside = np.ones(len(codes), bool)
         inside[np.cumsum([len(w) + 1 for w in words]) - 1] = False
         char = np.where(codes < len(self.char_of), self.char_of[np.minimum(codes, len(self.char_of) - 1)], 0)
@@ -123,6 +137,30 @@ class Pieces:
         n_bytes = 1 + (codes[rest] > 0x7F) + (codes[rest] > 0x7FF) + (codes[rest] > 0xFFFF)
         return np.concatenate([*src, rest]), np.concatenate([*dst, rest + 1]), np.concatenate([*own, -1 - codes[rest]]), np.concatenate([*weight, BYTE_WEIGHT * n_bytes])
 
+    def cut(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """Words of all texts, which have blanks for SPACE, and how many words each text has."""
+        n, base = len(texts), texts.offset
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[base : base + n + 1] if n else np.zeros(1, np.int32)
+        body = texts.buffers()[2] if n else None
+        raw = np.frombuffer(body, np.uint8)[: offsets[-1]] if body is not None and offsets[-1] else np.zeros(0, np.uint8)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        kind = self.kind[raw[at]]
+        heads = np.ones(len(at), bool)
+        heads[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[at[heads]] = True
+        begins[offsets] = True  # each text by itself
+        begins[: offsets[0]] = False
+        begins[len(raw)] = False
+        starts = np.flatnonzero(begins).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, np.int32(len(raw)))), pa.py_buffer(raw))
+        return words, np.diff(np.searchsorted(starts, offsets))
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """Bytes of ids, with the blank that encoding puts first."""
+        got = self.table.take(pa.array(ids))
+        return got.buffers()[2].to_pybytes() if len(ids) else b""
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids, without the blank that encoding puts first."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -133,6 +171,26 @@ def normalised(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Order by the keys, the first above all. The last are lengths of pieces; no two
+    rows are alike in all keys."""
+    head, length = keys[0], keys[-1]
+    if not len(head) or length.max() >= 32:
+        return np.lexsort(keys[::-1])
+    if len(keys) == 2:
+        return np.argsort(head * 32 + length) if head.max() < 1 << 58 else np.lexsort(keys[::-1])
+    if head.max() >= 1 << 27:
+        return np.lexsort(keys[::-1])
+    bits = (keys[1] + 0.0).astype("<f4").view("<u4").astype(np.int64)  # 31 bits in the order of numbers from zero up; no -0.0
+    return np.argsort((head << 36) | (bits << 5) | length)
+
+
+def blanked(texts: pa.Array) -> pa.StringArray:
+    """The texts as normalised() has them, but with a blank for SPACE."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), SPACE, " ")
+    return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise("", texts, " "))
+
+
 class Lattices:
     """Word lattices in flat arrays: nodes name their edges, likeliest first."""
 
@@ -177,13 +235,17 @@ class Lattices:
         return start
 
     def add(self, words: list[str]) -> None:
+        for i in range(0, len(words), TOGETHER):
+            self._add(words[i : i + TOGETHER])
+
+    def _add(self, words: list[str]) -> None:
         """Lattices of new words, their backward sums taken position by position together."""
         src, dst, own, lw = self.pieces.edges(words)
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         count, ends = int(sizes.sum()), np.cumsum(sizes) - 1
         base = ends - sizes + 1
         left = np.repeat(ends, sizes) - np.arange(count)  # characters to the end
-        order = np.lexsort((src, left[src]))
+        order = ordered(left[src] * count + src, dst - src)
         src, dst, own, lw = src[order], dst[order], own[order], lw[order]
         beta = np.zeros(count)
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
@@ -195,7 +257,7 @@ class Lattices:
             a, b = h[0], stops[cuts[k + 1]]
             beta[src[h]] = np.logaddexp.reduceat(lw[a:b] + beta[dst[a:b]], h - a)
         lp = lw + beta[dst] - beta[src]
-        order = np.lexsort((-lp, src))
+        order = ordered(src, -np.minimum(lp, 0.0), dst - src)
         src, dst, lp, own = src[order], dst[order], lp[order], own[order]
         p = np.exp(lp)
         total = np.cumsum(p)
@@ -216,15 +278,22 @@ class Lattices:
         self.at.update(zip(words, (node0 + base).tolist(), strict=True))
 
     def find(self, words: list[str]) -> np.ndarray:
-        """First node of each word."""
-        fresh = list({w: None for w in words if w not in self.at})
+        """First node of each of the distinct words."""
+        fresh = [w for w in words if w not in self.at]
         if fresh and len(self.at) + len(fresh) > MEMO_WORDS:
             self.clear()
-            fresh = list(dict.fromkeys(words))
+            fresh = words
         if fresh:
             self.add(fresh)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
+    def starts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """First node of each word of all blanked() texts, and how many words each text has."""
+        words, lengths = self.pieces.cut(texts)
+        words = words.dictionary_encode()
+        first = self.find(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return first[words.indices.to_numpy()], lengths
+
 
 _A, _B, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
@@ -347,11 +416,9 @@ class Search:
         return i, at, left[pick], value
 
 
-def sample(lat: Lattices, keys: list[int], texts: list[str | None], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(lat: Lattices, keys: list[int], texts: list[str | None] | pa.Array, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text its samples: (ids, log_prob, perturbed value, inclusion score), best first."""
-    each = [_WORD.findall(normalised(t)) for t in texts]
-    lengths = np.array([len(ws) for ws in each], np.int64)
-    first = lat.find([w for ws in each for w in ws])
+    first, lengths = lat.starts(blanked(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     seeds = lambda turn: np.array([seed_of(x, turn) for x in keys], np.uint64)
     place = np.arange(len(first)) - np.repeat(offsets[:-1], lengths)
@@ -441,12 +508,11 @@ def encoded(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(path)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for doc_id, text, rows in zip(ids, texts, sample(lat, [row_key(i, seed) for i in ids], texts, k), strict=True):
-                plain = (text or "").replace(SPACE, " ")
+            ids, out = b.column(0).to_pylist(), []
+            for doc_id, text, rows in zip(ids, blanked(b.column(1)), sample(lat, [row_key(i, seed) for i in ids], b.column(1), k), strict=True):
+                plain = text.as_py().encode("utf-8")
                 for turn, (own, lp, value, kept) in enumerate(rows, 1):
-                    same = lat.pieces.decode(own.tolist()) == plain
+                    same = lat.pieces.bytes_of(own) == plain
                     out.append((doc_id, turn, len(own), lp, value, kept, own.astype("<u4").tobytes(), same))
             cols = list(zip(*out, strict=True)) or [[]] * len(_KINDS)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in SAMPLED.split(", ")])
