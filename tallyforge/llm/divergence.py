@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,8 +43,10 @@ WIDTH, DEPTH = 1 << 23, 4
 SLICE = 1 << 16
 #: Parts in which the tasks' pieces of one slice merge first.
 SALTS = 64
-#: Terms that a task holds before it sends them on.
-HELD = 400_000
+#: Bytes of texts whose terms are counted together; a longer text is counted by itself.
+LOT = 32 << 20
+#: Rows of a batch that a task sends.
+SENT = 50_000
 #: Bytes of a text that are split at once.
 BLOCK = 1 << 20
 #: Most (lang, source) groups whose totals are broadcast; more are joined by shuffle.
@@ -84,34 +87,64 @@ def add(sketch: np.ndarray, at: np.ndarray, counts: np.ndarray, most: int) -> No
     sketch[where] = np.minimum(sketch[where] + np.minimum(more, most).astype(np.int64), most).astype(np.uint8)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes]]:
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in lots of at most LOT bytes of text, or of one text."""
+    held, size = [], 0
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        start = 0
+        for i, n in enumerate(pc.binary_length(b.column(2)).to_pylist()):
+            if size + n > LOT and (held or i > start):
+                held.append(b.slice(start, i - start))
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size, start = [], 0, i
+            size += n
+        held.append(b.slice(start))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _found(texts: pa.BinaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of a lot (UTF-8) and, per text and term of it, the numbers of both and how often it is there."""
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+    if n == 1 and ends[1] - ends[0] > LOT:
+        counts: Counter = Counter()
+        for found in terms(texts[0].as_py()):
+            counts.update(found)
+        return pa.array(list(counts), pa.binary()), np.zeros(len(counts), np.int64), np.arange(len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    body = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(_TERM_BYTES)
+    cut = pc.ascii_split_whitespace(pa.StringArray.from_buffers(n, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(body)))
+    words = cut.flatten().dictionary_encode()
+    names, v = words.dictionary, max(1, len(words.dictionary))
+    key = np.repeat(np.arange(n, dtype=np.int64) * v, pc.list_value_length(cut).to_numpy()) + words.indices.to_numpy()
+    key, count = np.unique(key, return_counts=True)
+    text, term = key // v, key % v
+    empty = pc.index(names, pa.scalar("")).as_py()  # beside blanks at the ends
+    if empty >= 0:
+        full = term != empty
+        text, term, count = text[full], term[full], count[full]
+    return names.cast(pa.binary()), text, term, count
+
+
+def _codes(values: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
 
 
 def _sketched(least: int, width: int, depth: int, slice_: int, salts: int):
     """Documents (lang, source, text) as bytes -> the pieces of the task's sketch that are not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, size = np.zeros(width * depth, np.uint8), {}, 0
-
-        def flush() -> None:
-            for lang, counts in held.items():
-                if counts:
-                    add(sketch, cells(lang, list(counts), width, depth), np.fromiter(counts.values(), np.int64, len(counts)), least)
-            held.clear()
-
-        for lang, _, text in _texts(batches):
-            counts, distinct = held.setdefault(lang, Counter()), set()
-            before = len(counts)
-            for found in terms(text):
-                distinct.update(found)
-            counts.update(distinct)
-            size += len(counts) - before
-            if size > HELD:
-                flush()
-                size = 0
-        flush()
+        sketch = np.zeros(width * depth, np.uint8)
+        for b in _lots(batches):
+            names, text, term, _ = _found(b.column(2))
+            langs, lang = _codes(b.column(0))
+            key, docs = np.unique(lang[text] * max(1, len(names)) + term, return_counts=True)
+            for i, name in enumerate(langs):
+                a, z = np.searchsorted(key, [i * max(1, len(names)), (i + 1) * max(1, len(names))])
+                if a < z:
+                    own = names.take(pa.array(key[a:z] % len(names))).to_numpy(zero_copy_only=False).tolist()
+                    add(sketch, cells(name, own, width, depth), docs[a:z], least)
         out = []
         salt = TaskContext.get().partitionId() % salts
         for i in range(0, width * depth, slice_):
@@ -173,39 +206,43 @@ def _counted(bits, width: int, depth: int):
     not rule out, and a row without a term per group of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, groups, size = np.frombuffer(bits.value, np.uint8), {}, 0
-
-        def rows(lang: bytes, source: bytes, found: list, n: list, docs: list) -> pa.RecordBatch:
-            same = lambda x: pa.repeat(pa.scalar(x.decode()), len(found))
-            return pa.record_batch([same(lang), same(source), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "n_docs"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs) in groups.items():
-                found = list(n)
-                if found:
-                    at = cells(lang, found, width, depth)
-                    may = ((known[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
-                    found = [t for t, ok in zip(found, may.tolist(), strict=True) if ok]
-                for i in range(0, len(found), 50_000):
-                    part = found[i : i + 50_000]
-                    yield rows(lang, source, part, [n[t] for t in part], [docs[t] for t in part])
-                n.clear()
-                docs.clear()
-
-        for lang, source, text in _texts(batches):
-            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            before, distinct = len(n), set()
-            for found in terms(text):
-                n.update(found)
-                distinct.update(found)
-            docs.update(distinct)
-            size += len(n) - before
-            if size > HELD:
-                yield from flush()
-                size = 0
-        yield from flush()
-        for lang, source in groups:
-            yield rows(lang, source, [None], [0], [0])
+        known, groups = np.frombuffer(bits.value, np.uint8), set()
+
+        def rows(langs: pa.Array, sources: pa.Array, found: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([*(x.cast(pa.string()) for x in (langs, sources, found)), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "n_docs"])
+
+        def possible_terms(langs: list[bytes], names: pa.Array, lang: np.ndarray, term: np.ndarray) -> np.ndarray:
+            """Per row whether the sketch leaves the term to the language."""
+            v = len(names)
+            key, back = np.unique(lang * v + term, return_inverse=True)
+            may = np.zeros(len(key), bool)
+            for i, name in enumerate(langs):
+                a, z = np.searchsorted(key, [i * v, (i + 1) * v])
+                if a < z:
+                    at = cells(name, names.take(pa.array(key[a:z] % v)).to_numpy(zero_copy_only=False).tolist(), width, depth)
+                    may[a:z] = ((known[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
+            return may[back]
+
+        for b in _lots(batches):
+            names, text, term, count = _found(b.column(2))
+            (langs, lang), (sources, source) = _codes(b.column(0)), _codes(b.column(1))
+            group = lang * len(sources) + source
+            groups.update((langs[g // len(sources)], sources[g % len(sources)]) for g in np.unique(group).tolist())
+            if not len(term):
+                continue
+            key, back, docs = np.unique(group[text] * len(names) + term, return_inverse=True, return_counts=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, back, count)
+            group, term = key // len(names), key % len(names)
+            may = possible_terms(langs, names, group // len(sources), term)
+            group, term, n, docs = group[may], term[may], n[may], docs[may]
+            langs, sources = pa.array(langs, pa.binary()), pa.array(sources, pa.binary())
+            for i in range(0, len(term), SENT):
+                g = group[i : i + SENT]
+                yield rows(langs.take(pa.array(g // len(sources))), sources.take(pa.array(g % len(sources))), names.take(pa.array(term[i : i + SENT])), n[i : i + SENT], docs[i : i + SENT])
+        if groups:
+            langs, sources = zip(*groups, strict=True)
+            yield rows(pa.array(langs, pa.binary()), pa.array(sources, pa.binary()), pa.nulls(len(groups), pa.binary()), np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64))
 
     return run
 
