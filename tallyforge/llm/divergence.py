@@ -44,7 +44,7 @@ SLICE = 1 << 16
 #: Parts in which the tasks' pieces of one slice merge first.
 SALTS = 64
 #: Bytes of texts whose terms are counted together; a longer text is counted by itself.
-LOT = 32 << 20
+LOT = 16 << 20
 #: Rows of a batch that a task sends.
 SENT = 50_000
 #: Bytes of a text that are split at once.
@@ -116,7 +116,9 @@ def _found(texts: pa.BinaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.
     cut = pc.ascii_split_whitespace(pa.StringArray.from_buffers(n, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(body)))
     words = cut.flatten().dictionary_encode()
     names, v = words.dictionary, max(1, len(words.dictionary))
-    key = np.repeat(np.arange(n, dtype=np.int64) * v, pc.list_value_length(cut).to_numpy()) + words.indices.to_numpy()
+    key = np.repeat(np.arange(n, dtype=np.int64) * v, pc.list_value_length(cut).to_numpy())
+    key += words.indices.to_numpy()
+    del cut, words, body
     key, count = np.unique(key, return_counts=True)
     text, term = key // v, key % v
     empty = pc.index(names, pa.scalar("")).as_py()  # beside blanks at the ends
@@ -151,6 +153,7 @@ def _sketched(least: int, width: int, depth: int, slice_: int, salts: int):
             if (piece := sketch[i : i + slice_]).any():
                 out.append((i // slice_, salt, zlib.compress(piece.tobytes(), 1)))
         yield _pieces(out)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -243,6 +246,7 @@ def _counted(bits, width: int, depth: int):
         if groups:
             langs, sources = zip(*groups, strict=True)
             yield rows(pa.array(langs, pa.binary()), pa.array(sources, pa.binary()), pa.nulls(len(groups), pa.binary()), np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64))
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
