@@ -24,17 +24,39 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs; 1 without any."""
-    n, low = (b + c).cast("int"), F.least(b, c).cast("int")
-    choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda a, i: a * (n - k + i) / i)  # noqa: E731  whole numbers at every step
-    log_choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.log(n - k + i) - F.log(i))
-    whole = lambda f, k, none: F.when(k > 0, f(F.greatest(k, F.lit(1)))).otherwise(none)
-    exact = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda a, k: a + whole(choose, k, 1.0)) / F.pow(F.lit(2.0), n)
-    by_logs = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda a, k: a + F.exp(whole(log_choose, k, 0.0) - n * math.log(2)))
+    """Exact two-sided p of b against c discordant pairs; 1 without any.
+
+    The tail is summed from its largest term downwards, each term from the one before.
+    Beyond sqrt(n (42 + ln n) / 2) + 2 steps all that remains is less than e^-42 of the
+    largest term, which no double can show, so the work grows with the root of n."""
+    n, low = (b + c).cast("long"), F.least(b, c).cast("long")
+    up = lambda k: F.sequence(F.lit(1).cast("long"), k)
+    choose = lambda k: F.aggregate(up(k), F.lit(1.0), lambda a, i: a * (n - k + i) / i)  # noqa: E731  whole numbers at every step
+    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.lit(0.0), lambda a, k: a + F.when(k > 0, choose(F.greatest(k, F.lit(1)))).otherwise(1.0)) / F.pow(F.lit(2.0), n)
+    by_logs = F.exp(_log_binomial(n, low, up)) * _falling(n, low)
     tail = F.when(n <= 50, exact).otherwise(by_logs)  # up to 50 all sums are exact in doubles
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def _log_binomial(n: Column, k: Column, up) -> Column:
+    """log(choose(n, k) / 2^n): logarithms added up for a small k, else by Stirling's series."""
+    x, y = k.cast("double"), (n - k).cast("double")
+    few = F.aggregate(up(F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(n - k + i) - F.log(i))
+    few = F.when(k > 0, few).otherwise(0.0) - n * math.log(2)
+    d = (n - 2 * k) / n
+    rest = lambda v: 1 / (12 * v) - 1 / (360 * v * v * v) + 1 / (1260 * v * v * v * v * v)
+    many = 0.5 * (F.log(n) - math.log(2 * math.pi) - F.log(x) - F.log(y)) - x * F.log1p(-d) - y * F.log1p(d) + rest(n.cast("double")) - rest(x) - rest(y)
+    return F.when(k < 32, few).otherwise(many)
+
+
+def _falling(n: Column, low: Column) -> Column:
+    """The sum of choose(n, k) over k <= low, in units of its last term."""
+    steps = F.least(low, F.ceil(F.sqrt(n * (42 + F.log(n)) / 2)) + 2).cast("long")
+    state = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+    below = lambda s, i: state(s["term"] * (low - i) / (n - low + 1 + i), s["total"] + s["term"])
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), steps), state(F.lit(1.0), F.lit(0.0)), below, lambda s: s["total"])
+
+
 def geomean(x: Column) -> Column:
     """Aggregate: exp of the mean logarithm of positive values."""
     return F.exp(F.avg(F.log(x)))
