@@ -14,17 +14,20 @@ systems reach (local, HDFS, S3, GCS).
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _STAMP = re.compile(r"(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z")
-#: Bytes of a range, of a block that is read at once, and files of a task of first lines.
+#: Bytes of a range, of a block that is read at once, and most files of a task (with no more bytes than a range).
 RANGE, BLOCK, FILES = 64 << 20, 1 << 16, 200
 SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
@@ -90,9 +93,15 @@ class LogReader(DataSourceReader):
                 continue
             step = self.range if self.only == "all" else max(info.size, 1)
             ranges += [(info.path, i, min(i + step, info.size), at) for i in range(0, max(info.size, 1), step)]
-        if self.only == "all":
-            return [Ranges([r]) for r in ranges] or [Ranges([])]
-        return [Ranges(ranges[i : i + FILES]) for i in range(0, len(ranges), FILES)] or [Ranges([])]
+        packs, held = [[]], 0
+        for r in ranges:
+            size = r[2] - r[1] if self.only == "all" else 0
+            if packs[-1] and (len(packs[-1]) == FILES or held + size > self.range):
+                packs.append([])
+                held = 0
+            packs[-1].append(r)
+            held += size
+        return [Ranges(p) for p in packs]
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
         system, _ = self._system()
@@ -133,6 +142,64 @@ class LogReader(DataSourceReader):
             yield place, held
 
 
+class BatchReader(LogReader):
+    """The same rows in Arrow batches; a file that a range holds whole is read and split at once."""
+
+    #: Rows and bytes of lines of a batch.
+    ROWS, BYTES = 20_000, 8 << 20
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        paths, times, counts, places, lines, size = [], [], [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            of = pa.array(np.repeat(np.arange(len(paths)), counts))
+            try:
+                text = pa.array(lines, pa.binary()).cast(pa.string())
+            except pa.ArrowInvalid:  # what is not UTF-8 is replaced
+                text = pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())
+            cols = [pa.array(paths, pa.string()).take(of), pa.array(times, pa.timestamp("us", "UTC")).take(of), pa.array(np.concatenate(places)), text]
+            return pa.record_batch(cols, names=["path", "time", "start", "line"])
+
+        system, _ = self._system()
+        for path, start, end, at in partition.items:
+            self.opened.append(path)
+            with system.open_input_stream(path) if start == 0 and end <= self.BYTES else contextlib.nullcontext() as file:
+                data = file.read(end + 1) if file else b""
+            if file and len(data) == end:
+                self.bytes_read += end
+                found = data.split(b"\n")
+                if not found[-1]:
+                    found.pop()
+                lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
+                rows = [(np.cumsum(lengths) - lengths, found)]
+            else:  # a part of a file, or one that has grown since it was listed
+                rows = self._some(system, path, start, end)
+            for where, found in rows:
+                paths.append(path)
+                times.append(at)
+                counts.append(len(found))
+                places.append(where)
+                lines += found
+                size += sum(map(len, found)) + len(path)
+                if len(lines) >= self.ROWS or size >= self.BYTES:
+                    yield batch()
+                    paths, times, counts, places, lines, size = [], [], [], [], [], 0
+        if lines:
+            yield batch()
+
+    def _some(self, system, path: str, start: int, end: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        with system.open_input_file(path) as file:
+            pairs, size = [], 0
+            for pair in self._lines(file, start, end):
+                pairs.append(pair)
+                size += len(pair[1])
+                if len(pairs) >= self.ROWS or size >= self.BYTES:
+                    yield np.array([p for p, _ in pairs], np.int64), [x for _, x in pairs]
+                    pairs, size = [], 0
+            if pairs:
+                yield np.array([p for p, _ in pairs], np.int64), [x for _, x in pairs]
+
+
 class LogFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -142,7 +209,8 @@ class LogFiles(DataSource):
         return "path string, time timestamp, start long, line string"
 
     def reader(self, schema) -> LogReader:
-        return LogReader(self.options)
+        whole = self.options.get("only", "all") == "all"
+        return (BatchReader if whole else LogReader)(self.options)
 
 
 def scan(spark: SparkSession, folder: str, suffix: str = ".jsonl", only: str = "all", since: str | None = None, before: str | None = None) -> DataFrame:
