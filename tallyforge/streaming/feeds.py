@@ -28,13 +28,21 @@ def windowed(feed: DataFrame, time: str, width: str, delay: str, by: list[str])
 
 def starts_in_last_hour(rows: DataFrame, time: str) -> DataFrame:
     """rows with `in_hour`: how many started in the hour up to each (batch form of a
-    rate limit). Each row also counts in the next hour's bucket, so no task sees more
-    than two hours of rows."""
+    rate limit; rows without a time count each other). Each row also enters the next
+    hour's bucket, at the moment it falls out of the hour, so no task sees more than two
+    hours of rows, and one running sum over them in order of time gives every count: what
+    the hour before holds, plus one for a start, less one for a row that falls out."""
     sec = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     hour = F.floor(sec / 3600)
-    shared = rows.withColumn("_s", sec).withColumn("_own", hour).withColumn("_b", F.explode(F.array(hour, hour + 1)))
-    w = Window.partitionBy("_b").orderBy("_s").rangeBetween(-3600, 0)
-    return shared.withColumn("in_hour", F.count("*").over(w)).where("_b = _own").drop("_s", "_own", "_b")
+    own = F.struct(hour.alias("b"), sec.alias("at"), F.lit(0).alias("out"), F.struct(*rows.columns).alias("row"))
+    # starts at one moment count for each other, and a row leaves after the starts an hour later
+    gone = F.struct((hour + 1).alias("b"), (sec + 3600).alias("at"), F.lit(1).alias("out"), F.lit(None).alias("row"))
+    both = rows.select(F.explode(F.when(sec.isNull(), F.array(own)).otherwise(F.array(own, gone))).alias("e")).select("e.*")
+    w = Window.partitionBy("b").orderBy("at", "out")
+    before = F.sum("out").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    running = F.sum(1 - 2 * F.col("out")).over(w)
+    counted = both.select("row", "out", (before + running).alias("in_hour"))
+    return counted.where("out = 0").select("row.*", "in_hour")
 
 
 class LoopGuard(StatefulProcessor):
