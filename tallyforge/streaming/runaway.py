@@ -116,7 +116,7 @@ class Scan:
             return None
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         best = None
-        for p in range(limits.low, limits.high + 1):
+        for p in _periods(codes, limits):
             wrong = np.flatnonzero(codes[p:] != codes[:-p]) + p  # places that differ from the place p before
             # a prefix of n characters has the period when no place from n - tail + p on is wrong
             n = first
@@ -134,6 +134,18 @@ class Scan:
         return ("repeated piece", n + offset, text[n - p : n], limits.tail // p)
 
 
+def _periods(codes: np.ndarray, limits: Limits) -> list[int]:
+    """The periods that a tail of a prefix may have. All of its tail - p characters from the
+    p-th on are equal to those p before, so enough of the samples among them are."""
+    periods = np.arange(limits.low, limits.high + 1)
+    step = (limits.tail - limits.high) // 4
+    if step < 2:
+        return periods.tolist()
+    at = np.arange(0, len(codes), step)[:, None]
+    equal = (at >= periods) & (codes[at] == codes[np.maximum(at - periods, 0)])
+    return periods[equal.sum(0) >= (limits.tail - periods) // step].tolist()
+
+
 def find(text: str, limits: Limits = Limits()) -> tuple | None:
     """The cut of a whole text."""
     return Scan().add(text, limits)
@@ -156,9 +168,9 @@ class Runaways(StatefulProcessor):
         if known == "":  # cut before
             return
         scan, cut = Scan.of(known) if known else Scan(), None
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if row.chunk and (cut := scan.add(row.chunk, self.limits)):
-                break
+        chunks = pd.concat(list(rows)).sort_values("seq")["chunk"]
+        if text := "".join(c for c in chunks if c):  # how it is split does not matter
+            cut = scan.add(text, self.limits)
         self.scan.update(("" if cut else scan.to_json(),))
         if cut:
             yield pd.DataFrame([(str(key[0]), *cut)], columns=["key", "rule", "at", "piece", "times"])
